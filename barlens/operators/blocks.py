@@ -43,40 +43,41 @@ def blocked(
     block_rows: int = BLOCK_ROWS, slice_bars: int = SLICE_BARS,
 ) -> DataFrame:
     """Add ``_blk`` and ``_own``; rows in reach of a neighbouring block are repeated there."""
-    keys = list(KEYS)
+    keys = ", ".join(KEYS)
     width = timeframe_seconds(F.col("timeframe")) * slice_bars
     sliced = bars.withColumn("_slice", F.floor(F.unix_seconds("ts") / width).cast("long"))
-    by_slice = Window.partitionBy(*keys).orderBy("_slice")
-    per_series = Window.partitionBy(*keys)
     counts = (
-        sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_first",
-            F.coalesce(F.sum("_n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .withColumn("_home", F.floor(F.col("_first") / block_rows))
-        .withColumn("_last", F.max("_home").over(per_series))
-        .withColumn("_nmax", F.max("_n").over(per_series))
-    )
-    lo = (
-        F.greatest(F.lit(0), F.floor((F.col("_first") - F.col("_nmax") - after) / block_rows))
-        if after else F.col("_home")
-    )
-    hi = (
-        F.least(F.col("_last"), F.ceil((F.col("_first") + F.col("_n") + before) / block_rows) - 1)
-        if before else F.col("_home")
-    )
-    homes = counts.select(
-        *keys, "_slice", "_home",
-        F.explode(F.sequence(F.least(lo, F.col("_home")), F.greatest(hi, F.col("_home")))).alias("_blk"),
+        sliced.groupBy(*KEYS, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+        .selectExpr("*", f"""coalesce(sum(_n) OVER (PARTITION BY {keys} ORDER BY _slice
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _first""")
+        .selectExpr("*", f"_first div {block_rows} AS _home", f"max(_n) OVER (PARTITION BY {keys}) AS _nmax",
+                    f"max(_first div {block_rows}) OVER (PARTITION BY {keys}) AS _last")
     )
+    lo = f"greatest(0, floor((_first - _nmax - {after}) / {block_rows}))" if after else "_home"
+    hi = f"least(_last, ceil((_first + _n + {before}) / {block_rows}) - 1)" if before else "_home"
+    homes = counts.selectExpr(
+        *KEYS, "_slice", "_home", f"explode(sequence(least({lo}, _home), greatest({hi}, _home))) AS _blk")
     return (
-        sliced.join(homes, [*keys, "_slice"])
-        .withColumn("_own", F.col("_blk") == F.col("_home"))
+        sliced.join(homes, [*KEYS, "_slice"])
+        .withColumn("_own", F.expr("_blk = _home"))
         .drop("_slice", "_home")
     )
 
 
+# the rows of a block in time order, as SQL text
+FRAME_SQL = f"PARTITION BY {', '.join(FRAME_KEYS)} ORDER BY ts"
+
+
+def lag_sql(col: str, k: int = 1) -> str:
+    return f"lag({col}, {k}) OVER ({FRAME_SQL})"
+
+
+def rolling_sql(agg: str, col: str, n: int, min_n: int | None = None) -> str:
+    """Trailing aggregate over ``n`` rows, null until ``min_n`` (default ``n``) values are present."""
+    w = f"OVER ({FRAME_SQL} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({col}) {w} >= {min_n or n} THEN {agg} {w} END"
+
+
 def frame() -> WindowSpec:
     """Rows of a block in time order."""
     return Window.partitionBy(*FRAME_KEYS).orderBy("ts")
@@ -155,3 +156,9 @@ def columns(ins: Sequence[str], exprs: Callable[[], dict[str, Column]], outs: Se
             before: int = 0, after: int = 0) -> Step:
     """Step that adds several columns at once."""
     return Step(tuple(ins), tuple(outs), lambda df: df.withColumns(exprs()), before, after)
+
+
+def sql_columns(ins: Sequence[str], exprs: dict[str, str], before: int = 0, after: int = 0) -> Step:
+    """Step that adds columns given as SQL text."""
+    return Step(tuple(ins), tuple(exprs), lambda df: df.selectExpr("*", *[f"{e} AS {n}" for n, e in exprs.items()]),
+                before, after)

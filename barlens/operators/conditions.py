@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from barlens.functions.core import KEYS, cond
+from barlens.functions.core import KEYS
 from barlens.operators import indicators as ind
-from barlens.operators.blocks import Step, column, columns, compute, lag, rolling, run_steps
+from barlens.operators.blocks import Step, compute, lag_sql, rolling_sql, sql_columns
 from barlens.operators.recurrence import ewm, span_alpha, wilder_alpha
 
 
@@ -107,21 +106,13 @@ BY_ID = {x.condition_id: x for x in CONDITIONS}
 
 def inputs() -> list[Step]:
     """Every column the rules name, each computed once."""
-    def lags() -> dict[str, Column]:
-        return {
-            **{f"c{k}": lag("close", k) for k in (1, 2, 3)}, **{f"o{k}": lag("open", k) for k in (1, 2, 3)},
-            "h1": lag("high"), "l1": lag("low"),
-        }
-
-    def extremes() -> dict[str, Column]:
-        return {
-            **{f"max{n}": rolling(F.max, "close", n) for n in (5, 20)},
-            **{f"min{n}": rolling(F.min, "close", n) for n in (5, 20)},
-        }
-
+    lags = {
+        **{f"c{k}": lag_sql("close", k) for k in (1, 2, 3)}, **{f"o{k}": lag_sql("open", k) for k in (1, 2, 3)},
+        "h1": lag_sql("high"), "l1": lag_sql("low"),
+    }
+    extremes = {f"{f}{n}": rolling_sql(f"{f}(close)", "close", n) for f in ("max", "min") for n in (5, 20)}
     return [
-        columns([], lags, ["c1", "c2", "c3", "o1", "o2", "o3", "h1", "l1"], before=3),
-        columns([], extremes, ["max5", "min5", "max20", "min20"], before=20),
+        sql_columns([], lags, before=3), sql_columns([], extremes, before=20),
         ind.true_range("tr"), ind.rsi_inputs(),
         ewm([
             ("ema20", "close", span_alpha(20)), ("ema50", "close", span_alpha(50)),
@@ -130,8 +121,7 @@ def inputs() -> list[Step]:
         ]),
         ind.rsi_value("rsi14", "gain14", "loss14"),
         ind.bollinger(20, 2.0),
-        columns(["rsi14", "ema20"], lambda: {"rsi14_1": lag("rsi14"), "ema20_1": lag("ema20")},
-                ["rsi14_1", "ema20_1"], before=1),
+        sql_columns(["rsi14", "ema20"], {"rsi14_1": lag_sql("rsi14"), "ema20_1": lag_sql("ema20")}, before=1),
         ind.rolling_quantiles({"atr_q25": 0.25, "atr_q75": 0.75}, "atr14"),
         ind.rolling_quantiles({"bbw_q25": 0.25, "bbw_q75": 0.75}, "bb_width"),
     ]
@@ -145,12 +135,13 @@ def check_ids(ids: list[str] | None) -> list[str]:
     return chosen
 
 
-def rule(condition_id: str) -> Column:
-    return cond(F.expr(BY_ID[condition_id].rule))
+def rule(condition_id: str) -> str:
+    """The rule as SQL; a comparison with a missing value is false."""
+    return f"coalesce({BY_ID[condition_id].rule}, false)"
 
 
 def with_conditions(df: DataFrame, ids: list[str]) -> DataFrame:
-    return df.withColumns({i: rule(i) for i in ids})
+    return df.selectExpr("*", *[f"{rule(i)} AS {i}" for i in ids])
 
 
 def conditions_wide(bars: DataFrame, ids: list[str] | None = None, **layout: int) -> DataFrame:

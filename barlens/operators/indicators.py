@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barlens.functions.core import KEYS, safe_div
 from barlens.operators.blocks import (
-    FRAME_KEYS, Step, blocked, column, columns, frame, lag, own_rows, rolling, trailing,
+    FRAME_KEYS, FRAME_SQL, Step, blocked, column, columns, frame, lag, lag_sql, rolling, rolling_sql, sql_columns,
+    trailing,
 )
 from barlens.operators.recurrence import ewm, span_alpha, warm_up, wilder_alpha
 
@@ -67,21 +68,23 @@ def rolling_min(out: str, x: str, n: int) -> Step:
 
 def rolling_quantiles(outs: dict[str, float], x: str, n: int = 252, min_n: int = 30) -> Step:
     """Exact, linearly interpolated quantiles of the trailing ``n`` values; one sorted frame for all."""
-    probs = list(outs.values())
+    probs = ", ".join(f"{p!r}D" for p in outs.values())
+    w = f"OVER ({FRAME_SQL} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
     def fn(df: DataFrame) -> DataFrame:
-        w = trailing(n)
-        q = F.percentile(x, F.array(*[F.lit(p) for p in probs])).over(w)
-        df = df.withColumns({"_q": q, "_qn": F.count(x).over(w)})
-        return df.withColumns({
-            name: F.when(F.col("_qn") >= min_n, F.col("_q")[i]) for i, name in enumerate(outs)
-        }).drop("_q", "_qn")
+        kept = df.columns
+        df = df.selectExpr("*", f"percentile({x}, array({probs})) {w} AS _q", f"count({x}) {w} AS _qn")
+        return df.selectExpr(*kept, *[
+            f"CASE WHEN _qn >= {min_n} THEN _q[{i}] END AS {name}" for i, name in enumerate(outs)])
 
     return Step((x,), tuple(outs), fn, before=n)
 
 
+TRUE_RANGE_SQL = f"greatest(high - low, abs(high - {lag_sql('close')}), abs(low - {lag_sql('close')}))"
+
+
 def true_range(out: str = "tr") -> Step:
-    return column(out, [], lambda: F.greatest(h() - l(), F.abs(h() - lag("close")), F.abs(l() - lag("close"))), before=1)
+    return sql_columns([], {out: TRUE_RANGE_SQL}, before=1)
 
 
 def atr(out: str, period: int) -> Step:
@@ -90,15 +93,13 @@ def atr(out: str, period: int) -> Step:
 
 def rsi_inputs() -> Step:
     """Gains and losses of one bar, null on the first bar."""
-    def exprs() -> dict[str, Column]:
-        d = c() - lag("close")
-        return {"gain": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))),
-                "loss": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))}
-    return columns([], exprs, ["gain", "loss"], before=1)
+    d = f"close - {lag_sql('close')}"
+    return sql_columns([], {name: f"CASE WHEN {d} IS NOT NULL THEN greatest({sign}({d}), 0D) END"
+                            for name, sign in (("gain", ""), ("loss", "-"))}, before=1)
 
 
 def rsi_value(out: str, g: str, ls: str) -> Step:
-    return column(out, [g, ls], lambda: 100 - 100 / (1 + safe_div(F.col(g), F.col(ls))))
+    return sql_columns([g, ls], {out: f"100 - 100 / (1 + {g} / nullif({ls}, 0))"})
 
 
 def rsi(out: str, period: int) -> Step:
@@ -113,9 +114,11 @@ def rsi(out: str, period: int) -> Step:
 def bollinger(n: int = 20, k: float = 2.0, mid: str = "bb_mid", upper: str = "bb_upper",
               lower: str = "bb_lower", width: str = "bb_width") -> Step:
     def fn(df: DataFrame) -> DataFrame:
-        df = df.withColumns({mid: rolling(F.avg, "close", n), "_sd": rolling(F.stddev_samp, "close", n)})
-        df = df.withColumns({upper: F.col(mid) + k * F.col("_sd"), lower: F.col(mid) - k * F.col("_sd")})
-        return df.withColumn(width, F.col(upper) - F.col(lower)).drop("_sd")
+        kept = df.columns
+        df = df.selectExpr("*", f"{rolling_sql('avg(close)', 'close', n)} AS {mid}",
+                           f"{rolling_sql('stddev_samp(close)', 'close', n)} AS _sd")
+        df = df.selectExpr(*kept, mid, f"{mid} + {float(k)!r}D * _sd AS {upper}", f"{mid} - {float(k)!r}D * _sd AS {lower}")
+        return df.selectExpr("*", f"{upper} - {lower} AS {width}")
     return Step((), (mid, upper, lower, width), fn, before=n)
 
 

@@ -13,10 +13,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from barlens.operators.blocks import FRAME_KEYS, Step, frame
+from barlens.operators.blocks import FRAME_KEYS, FRAME_SQL, Step
 
 # the weight of older rows falls below exp(-40), about 4e-18
 NEGLIGIBLE = 40.0
@@ -49,37 +48,33 @@ def ewm(averages: Sequence[tuple[str, str, float]]) -> Step:
     copies = [a for a in averages if a[2] >= 1]
     bits = sorted({_chunk_bits(a) for _, _, a in scans}, reverse=True)
 
+    keys = ", ".join(FRAME_KEYS)
+    chunks = [f"_c{b}" for b in bits]
+    whole = f"PARTITION BY {keys} ORDER BY {', '.join([*chunks, 'ts'])}"
+    up_to_now = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    up_to_last = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    xs = sorted({x for _, x, _ in scans})
+
     def fn(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_k", F.row_number().over(frame()) - 1)
-        df = df.withColumns({f"_c{b}": F.shiftright("_k", b) for b in bits})
-        order = [f"_c{b}" for b in bits] + ["ts"]
-        whole = Window.partitionBy(*FRAME_KEYS).orderBy(*order)
-        so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
-        seen = {f"_seen_{x}": F.count(x).over(so_far) for x in {x for _, x, _ in scans}}
-        df = df.withColumns(seen)
-        local, carry, final = {}, {}, {}
+        df = df.selectExpr("*", f"row_number() OVER ({FRAME_SQL}) - 1 AS _k")
+        df = df.selectExpr("*", *[f"shiftright(_k, {b}) AS _c{b}" for b in bits])
+        df = df.selectExpr("*", *[f"count({x}) OVER ({whole} {up_to_now}) AS _seen_{x}" for x in xs])
+        local, carry, final = [], [], []
         for out, x, a in scans:
             b, d = _chunk_bits(a), _decay(a)
-            upto = order.index(f"_c{b}") + 1
-            chunk = (
-                Window.partitionBy(*FRAME_KEYS, *order[:upto]).orderBy(*order[upto:])
-                .rowsBetween(Window.unboundedPreceding, 0)
-            )
-            pos = F.col("_k") % (1 << b)
-            weight = F.when(F.col(f"_seen_{x}") == 1, 1.0).otherwise(a)
-            term = F.coalesce(F.col(x) * weight, F.lit(0.0)) * F.exp(pos * d)
-            local[f"_l_{out}"] = F.sum(term).over(chunk) * F.exp(-pos * d)
-            is_end = pos == (1 << b) - 1
-            carry[f"_e_{out}"] = F.last(F.when(is_end, F.col(f"_l_{out}")), ignorenulls=True).over(
-                whole.rowsBetween(Window.unboundedPreceding, -1)
-            )
-            final[out] = F.when(
-                F.col(f"_seen_{x}") > 0,
-                F.col(f"_l_{out}") + F.coalesce(F.col(f"_e_{out}") * F.exp(-(pos + 1) * d), F.lit(0.0)),
-            )
-        final.update({out: F.col(x) for out, x, _ in copies})
-        df = df.withColumns(local).withColumns(carry).withColumns(final)
-        return df.drop(*local, *carry, *seen, *[f"_c{b}" for b in bits], "_k")
+            cut = chunks.index(f"_c{b}") + 1
+            chunk = f"PARTITION BY {', '.join([keys, *chunks[:cut]])} ORDER BY {', '.join([*chunks[cut:], 'ts'])}"
+            pos = f"(_k & {(1 << b) - 1})"
+            weight = f"CASE WHEN _seen_{x} = 1 THEN 1D ELSE {a!r}D END"
+            term = f"coalesce({x} * {weight}, 0D) * exp({pos} * {d!r}D)"
+            local.append(f"sum({term}) OVER ({chunk} {up_to_now}) * exp(-{pos} * {d!r}D) AS _l_{out}")
+            carry.append(f"last(CASE WHEN {pos} = {(1 << b) - 1} THEN _l_{out} END, true) "
+                         f"OVER ({whole} {up_to_last}) AS _e_{out}")
+            final.append(f"CASE WHEN _seen_{x} > 0 THEN _l_{out} + "
+                         f"coalesce(_e_{out} * exp(-({pos} + 1) * {d!r}D), 0D) END AS {out}")
+        kept = df.columns[: -(1 + len(bits) + len(xs))]
+        final += [f"{x} AS {out}" for out, x, _ in copies]
+        return df.selectExpr("*", *local).selectExpr("*", *carry).selectExpr(*kept, *final)
 
     return Step(
         tuple({x for _, x, _ in averages}), tuple(o for o, _, _ in averages), fn,
