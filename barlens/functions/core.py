@@ -61,6 +61,11 @@ def profit_factor(value: Column, no_loss: str = "null") -> Column:
     raise ValueError(f"unknown no_loss policy {no_loss!r}")
 
 
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Correlation as an aggregate; null where one side does not vary."""
+    return safe_div(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def sd_from_sums(n: Column, s: Column, ss: Column) -> Column:
     """Sample deviation from count, sum and sum of squares."""
     var = (ss - s * s / n) / F.when(n > 1, n - 1)

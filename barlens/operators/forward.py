@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions.core import (
-    KEYS, profit_factor, sd_from_sums, sharpe_horizon, student_t_pvalue, t_stat,
+    KEYS, profit_factor, safe_corr, sd_from_sums, sharpe_horizon, student_t_pvalue, t_stat,
 )
 from barlens.operators.blocks import Step, column, compute, frame
 from barlens.operators.conditions import check_ids, inputs, with_conditions
@@ -156,7 +156,7 @@ def feature_forward_corr(df: DataFrame, keys: Sequence[str], feature: str, ret:
     known = df.where(F.col(feature).isNotNull() & F.col(ret).isNotNull())
     ranked = average_ranks(average_ranks(known, keys, feature, "_rf"), keys, ret, "_rr")
     return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(feature, ret).alias("pearson"), F.corr("_rf", "_rr").alias("spearman"))
+        F.count(F.lit(1)).alias("n"), safe_corr(feature, ret).alias("pearson"), safe_corr("_rf", "_rr").alias("spearman"))
 
 
 def two_sample_tests(df: DataFrame, keys: Sequence[str], flag: str, value: str) -> DataFrame:

@@ -298,14 +298,17 @@ def rolling_autocorr(out: str, x: str, k: int, n: int) -> Step:
     return chain(
         (x,), (out,),
         column("_lagged", [x], lambda: lag(x, k), before=k),
-        column(out, [x], lambda: F.when(
-            F.count("_lagged").over(trailing(n)) == n, F.corr(x, "_lagged").over(trailing(n))), before=n),
+        rolling_corr(out, x, "_lagged", n),
     )
 
 
 def rolling_corr(out: str, x: str, y: str, n: int) -> Step:
-    return column(out, [x, y], lambda: F.when(
-        F.count(x).over(trailing(n)) == n, F.corr(x, y).over(trailing(n))), before=n)
+    def expr() -> Column:
+        w = trailing(n)
+        both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
+        rho = safe_div(F.covar_samp(x, y).over(w), F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w))
+        return F.when(F.count(both).over(w) == n, rho)
+    return column(out, [x, y], expr, before=n)
 
 
 # --- indicators over whole days or the whole history --------------------------
