@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from barlens.plans import condition_research, indicator_columns, signal_research  # noqa: F401
+from barlens.plans import condition_research, indicator_columns, signal_research, trade_outcomes  # noqa: F401
 from barlens.plans.catalog import ORACLES, QUERIES  # noqa: F401

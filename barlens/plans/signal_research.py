@@ -202,13 +202,14 @@ def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sweep_best_variant", _STAT_SQL + """,
 named AS (SELECT *, split_part(spec_id, '_', 1) AS family FROM stats WHERE horizon = 5 AND side = 'both' AND profit_factor IS NOT NULL),
-k AS (SELECT *, row_number() OVER (PARTITION BY family, symbol, timeframe ORDER BY profit_factor DESC, spec_id, regime_filter) AS rank FROM named)
+k AS (SELECT *, row_number() OVER (PARTITION BY family, symbol, timeframe ORDER BY round(profit_factor, 9) DESC, spec_id, regime_filter) AS rank FROM named)
 SELECT family, symbol, spec_id, regime_filter, n, round(profit_factor, 5) AS profit_factor, rank FROM k WHERE rank <= 3""")
 def sweep_best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best three parameter variants per indicator family and symbol by profit factor five bars ahead."""
     s = swept_stats(spark, sf_dir).where("horizon = 5 AND side = 'both'")
-    s = s.withColumn("family", F.split_part("spec_id", F.lit("_"), F.lit(1))).withColumn("_order", F.struct("spec_id", "regime_filter"))
-    best = sweep(s, by=["family", *KEYS], metric="profit_factor", order="_order", keep=3)
+    s = s.withColumn("family", F.split_part("spec_id", F.lit("_"), F.lit(1))).withColumns(
+        {"_order": F.struct("spec_id", "regime_filter"), "_pf": F.round("profit_factor", 9)})
+    best = sweep(s, by=["family", *KEYS], metric="_pf", order="_order", keep=3)
     return best.select("family", "symbol", "spec_id", "regime_filter", "n", r("profit_factor", 5).alias("profit_factor"),
                        F.col("rank").cast("long"))
 
