@@ -60,10 +60,15 @@ def viable_timeframes(metrics: DataFrame, *, by: Sequence[str], top: int = 3) ->
     return metrics.where("trades > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def tighten_bounds(gain: Column, start: Column, end: Column, cap: Column, min_gain: float = 0.1) -> Column:
-    """Search bounds around a found session and daily cap, where the gain is worth it."""
+def tighten_bounds(gain: Column, start: Column, end: Column, min_gain: float = 0.1, slack: int = 3) -> Column:
+    """Search bounds around a found session, where the gain is worth it."""
     bounds = F.struct(
-        F.greatest(start - 3, F.lit(0)).alias("start_lo"), F.least(start + 3, F.lit(23)).alias("start_hi"),
-        F.greatest(end - 3, F.lit(0)).alias("end_lo"), F.least(end + 3, F.lit(23)).alias("end_hi"),
-        F.greatest(cap - 2, F.lit(1)).alias("cap_lo"), (cap + 3).alias("cap_hi"))
+        F.greatest(start - slack, F.lit(0)).alias("start_lo"), F.least(start + slack, end - 1).alias("start_hi"),
+        F.greatest(start + 1, end - slack).alias("end_lo"), F.least(end + slack, F.lit(23)).alias("end_hi"))
     return F.when(gain > min_gain, bounds)
+
+
+def tighten_cap(gain: Column, cap: Column, kind: str = "trades", min_gain: float = 0.1) -> Column:
+    """Upper bound for daily trades (found + 3, at most 10) or daily losses (found + 2, at most 6)."""
+    more, most = (3, 10) if kind == "trades" else (2, 6)
+    return F.when(gain > min_gain, F.least(cap + more, F.lit(most)))

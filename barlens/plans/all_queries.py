@@ -1,4 +1,6 @@
 """Imports every module that registers queries."""
 
-from barlens.plans import condition_research, indicator_columns, signal_research, trade_outcomes  # noqa: F401
+from barlens.plans import (  # noqa: F401
+    condition_research, indicator_columns, signal_research, strategy_evaluation, trade_outcomes,
+)
 from barlens.plans.catalog import ORACLES, QUERIES  # noqa: F401

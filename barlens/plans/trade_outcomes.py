@@ -231,11 +231,9 @@ SELECT st.*, round(raw - base_pnl_r, 6) + 0.0 AS improvement FROM ({_rule_stats_
 @query("indicator_exits", _indicator_exit_sql())
 def indicator_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six indicator exits on EMA cross entries against a fixed target of 2R."""
-    from barlens.operators.recurrence import ewm, span_alpha
     entry = oc.ema_cross_entry(5, 20)
-    rename = oc.path_indicators()
     paths = materialise(oc.forward_paths(
-        bars_1h(spark, sf_dir), [*_without_atr(rename), *entry], N, path=(*oc.OHLC, *oc.EXIT_COLUMNS)), "paths")
+        bars_1h(spark, sf_dir), [*oc.path_indicators(), *entry], N, path=(*oc.OHLC, *oc.EXIT_COLUMNS)), "paths")
     rules = None
     for name, (lo, sh) in oc.INDICATOR_EXITS.items():
         part = oc.indicator_exit_outcomes(paths.withColumn("rule", F.lit(name)), long_exit=lo, short_exit=sh, keep=["rule"])
@@ -246,10 +244,6 @@ def indicator_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("rule", "n", *[r(c).alias(c) for c in [*STATS_SQL.split(", ")[1:], "improvement"]])
 
 
-def _without_atr(steps: list) -> list:
-    return steps
-
-
 def _pending_sql(kind: str) -> str:
     sign = "-signal" if kind == "limit" else "signal"
     low = "signal = 1" if kind == "limit" else "signal = -1"

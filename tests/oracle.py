@@ -25,7 +25,7 @@ def connect(sf_dir: str):
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if str(df[c].dtype).startswith(("float", "Float")):
+        if pd.api.types.is_numeric_dtype(df[c]) and df[c].dtype != bool:
             df[c] = df[c].astype(float)
         elif df[c].dtype == object:
             df[c] = df[c].map(lambda x: None if x is None or (isinstance(x, float) and x != x) else x)
