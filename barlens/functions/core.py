@@ -163,9 +163,3 @@ def normal_cdf(x: Column) -> Column:
         * F.exp(-(step * i) * (step * i) / 2),
     ) * step / 3 / math.sqrt(2 * math.pi)
     return F.when(x >= 0, 0.5 + area).otherwise(0.5 - area)
-
-
-def hash_fraction(*parts: Column) -> Column:
-    """Number in [0, 1) drawn from the md5 of the parts; the same on every engine."""
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0

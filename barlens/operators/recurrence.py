@@ -4,8 +4,9 @@ y[t] = (1-a) * y[t-1] + a * x[t] starting at the first value is, inside a chunk
 rows, a running sum of x[j] * (1-a) ** -j scaled back.  A chunk is long enough that
 anything older than the chunk before it weighs less than the rounding of a
 double, so the value is the chunk's own sum plus the decayed end of the previous
-chunk.  Chunk lengths are powers of two and nest, hence all averages of a step
-share one sort order.
+chunk.  Averages share a chunk length as long as their weights stay far from the
+limits of a double; chunk lengths are powers of two and nest, hence all averages
+of a step share one sort order.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from barlens.operators.blocks import FRAME_KEYS, FRAME_SQL, Step
 
 # the weight of older rows falls below exp(-40), about 4e-18
 NEGLIGIBLE = 40.0
+# exponents of weights stay below this
+LARGEST = 450.0
 
 
 def span_alpha(period: int) -> float:
@@ -33,8 +36,15 @@ def _decay(alpha: float) -> float:
     return -math.log1p(-alpha)
 
 
-def _chunk_bits(alpha: float) -> int:
-    return max(1, math.ceil(math.log2(NEGLIGIBLE / _decay(alpha))))
+def _chunk_bits(alphas: Sequence[float]) -> dict[float, int]:
+    """Chunk length (as a power of two) of each rate, in as few different lengths as possible."""
+    bits: dict[float, int] = {}
+    current: int | None = None
+    for a in sorted(set(alphas)):
+        if current is None or _decay(a) * (1 << current) > LARGEST:
+            current = max(1, math.ceil(math.log2(NEGLIGIBLE / _decay(a))))
+        bits[a] = current
+    return bits
 
 
 def warm_up(alpha: float) -> int:
@@ -46,7 +56,8 @@ def ewm(averages: Sequence[tuple[str, str, float]]) -> Step:
     """Step adding ``(out, input column, alpha)`` averages; inputs are null only at the start."""
     scans = [a for a in averages if a[2] < 1]
     copies = [a for a in averages if a[2] >= 1]
-    bits = sorted({_chunk_bits(a) for _, _, a in scans}, reverse=True)
+    bits_of = _chunk_bits([a for _, _, a in scans])
+    bits = sorted(set(bits_of.values()), reverse=True)
 
     keys = ", ".join(FRAME_KEYS)
     chunks = [f"_c{b}" for b in bits]
@@ -56,12 +67,12 @@ def ewm(averages: Sequence[tuple[str, str, float]]) -> Step:
     xs = sorted({x for _, x, _ in scans})
 
     def fn(df: DataFrame) -> DataFrame:
-        df = df.selectExpr("*", f"row_number() OVER ({FRAME_SQL}) - 1 AS _k")
+        df = df.selectExpr("*", f"row_number() OVER ({FRAME_SQL}) - 1 AS _k",
+                           *[f"count({x}) OVER ({FRAME_SQL} {up_to_now}) AS _seen_{x}" for x in xs])
         df = df.selectExpr("*", *[f"shiftright(_k, {b}) AS _c{b}" for b in bits])
-        df = df.selectExpr("*", *[f"count({x}) OVER ({whole} {up_to_now}) AS _seen_{x}" for x in xs])
         local, carry, final = [], [], []
         for out, x, a in scans:
-            b, d = _chunk_bits(a), _decay(a)
+            b, d = bits_of[a], _decay(a)
             cut = chunks.index(f"_c{b}") + 1
             chunk = f"PARTITION BY {', '.join([keys, *chunks[:cut]])} ORDER BY {', '.join([*chunks[cut:], 'ts'])}"
             pos = f"(_k & {(1 << b) - 1})"

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.core import KEYS, hash_fraction, profit_factor, sd_from_sums, sharpe_perm
+from barlens.functions.core import KEYS, profit_factor, sd_from_sums, sharpe_perm
 from barlens.operators.blocks import SLICE_BARS, timeframe_seconds
 from barlens.operators.numbering import cumulative, number_rows
 
@@ -28,6 +28,20 @@ def poisson_weight(u: Column) -> Column:
     return w.cast("double")
 
 
+def replicates(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
+    """Each row once per replicate ``rep`` with its own draw ``u`` in [0, 1).
+
+    One md5 of (seed, group of four replicates, row key) yields four draws.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_g").cast("string"), *[F.col(k).cast("string") for k in key]))
+    groups = df.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))).alias("_g")).withColumn("_h", digest)
+    draws = F.array(*[
+        F.struct((F.col("_g") * 4 + i + 1).alias("rep"),
+                 (F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0).alias("u"))
+        for i in range(4)])
+    return groups.select(*df.columns, F.inline(draws)).where(F.col("rep") <= n)
+
+
 def _replicates(n: int) -> Column:
     return F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep")
 
@@ -68,8 +82,8 @@ def order_invariant_check(trades: DataFrame, by: Sequence[str], n: int = 1000) -
 
 def sign_flip_test(trades: DataFrame, by: Sequence[str], key: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
     """Null of a symmetric outcome: each trade keeps or flips its sign."""
-    flip = F.when(hash_fraction(F.lit(seed), F.col("rep"), *[F.col(k) for k in key]) < 0.5, -1.0).otherwise(1.0)
-    reps = trades.select(*by, *[k for k in key if k not in by], "pnl", _replicates(n)).withColumn("x", F.col("pnl") * flip)
+    slim = trades.select(*by, *[k for k in key if k not in by], "pnl")
+    reps = replicates(slim, n, seed, key).withColumn("x", F.when(F.col("u") < 0.5, -F.col("pnl")).otherwise(F.col("pnl")))
     x = F.col("x")
     sums = reps.groupBy(*by, "rep").agg(F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_ss"))
     return _test(sums.select(*by, _stat(F.col("_n"), F.col("_s"), F.col("_ss")).alias("stat")), _actual(trades, by), by)
@@ -90,8 +104,8 @@ def bootstrap_ci(trades: DataFrame, by: Sequence[str], key: Sequence[str], n: in
     Those weights are what drawing with replacement tends to, and they need no
     row numbers, no join and no second pass.
     """
-    w = poisson_weight(hash_fraction(F.lit(seed), F.col("rep"), *[F.col(k) for k in key]))
-    reps = trades.select(*by, *[k for k in key if k not in by], "pnl", _replicates(n)).withColumn("w", w).where("w > 0")
+    slim = trades.select(*by, *[k for k in key if k not in by], "pnl")
+    reps = replicates(slim, n, seed, key).withColumn("w", poisson_weight(F.col("u")))
     x, w = F.col("pnl"), F.col("w")
     sums = reps.groupBy(*by, "rep").agg(F.sum(w).alias("_n"), F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_ss")).where("_n > 1")
     return _interval(sums.select(*by, _stat(F.col("_n"), F.col("_s"), F.col("_ss")).alias("stat")), by, level)
@@ -105,8 +119,7 @@ def block_bootstrap(trades: DataFrame, by: Sequence[str], order: Sequence[str],
     x = F.col("pnl")
     blocks = numbered.where(F.col("_total") >= 3 * block).groupBy(*by, F.floor(F.col("rn") / block).alias("blk")).agg(
         F.count(x).alias("c"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
-    w = poisson_weight(hash_fraction(F.lit(seed), F.col("rep"), *[F.col(b) for b in by], F.col("blk")))
-    reps = blocks.select("*", _replicates(n)).withColumn("w", w).where("w > 0")
+    reps = replicates(blocks, n, seed, [*by, "blk"]).withColumn("w", poisson_weight(F.col("u")))
     sums = reps.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in ("c", "s", "ss")]).where("_c > 1")
     return _interval(sums.select(*by, _stat(F.col("_c"), F.col("_s"), F.col("_ss")).alias("stat")), by, level)
 

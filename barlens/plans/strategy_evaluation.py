@@ -292,7 +292,9 @@ def viable_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frac(*parts: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS UBIGINT) / 4294967296.0"
+    """Draw number (rep - 1) % 4 of the md5 of the parts, where the replicate stands as its group of four."""
+    text = ", ".join("(rep - 1) // 4" if p == "rep" else p for p in parts)
+    return f"CAST('0x' || substr(md5(concat_ws(':', {text})), CAST(8 * ((rep - 1) % 4) + 1 AS INTEGER), 8) AS UBIGINT) / 4294967296.0"
 
 
 _SHARPE = "({s} / {n}) / greatest(sqrt(greatest(({ss} - {s} * {s} / {n}) / ({n} - 1), 0)), 1e-10) * sqrt({n})"
