@@ -25,35 +25,45 @@ def forward_return(out: str, h: int, kind: str = "simple") -> Step:
 
 
 def condition_hits(bars: DataFrame, ids: Sequence[str] | None, horizons: Sequence[int]) -> DataFrame:
-    """(symbol, timeframe, condition_id, forward_bars, ret): only conditions that hold, only known returns.
-
-    Conditions that do not hold leave no row, and the rows feed an aggregation
-    in the same stage; they are never shuffled as such.
-    """
+    """Per bar the numbers of the conditions that hold (``hits``) and the forward returns ``fwd<h>``."""
     chosen = check_ids(list(ids) if ids is not None else None)
 
     def pack(df: DataFrame) -> DataFrame:
         df = with_conditions(df, chosen)
-        hits = F.array_compact(F.array(*[F.when(F.col(i), F.lit(i)) for i in chosen]))
-        return df.select(*KEYS, hits.alias("hits"), *[f"fwd{h}" for h in horizons],
-                         *[c for c in df.columns if c.startswith("_")])
+        hits = ", ".join(f"CASE WHEN {c} THEN CAST({i} AS SMALLINT) END" for i, c in enumerate(chosen))
+        return df.selectExpr(*KEYS, f"array_compact(array({hits})) AS hits", *[f"fwd{h}" for h in horizons],
+                             *[c for c in df.columns if c.startswith("_")])
 
-    wide = compute(bars, [*inputs(), *[forward_return(f"fwd{h}", h) for h in horizons],
+    return compute(bars, [*inputs(), *[forward_return(f"fwd{h}", h) for h in horizons],
                           Step(tuple(f"fwd{h}" for h in horizons), (), pack)])
+
+
+def spread_hits(wide: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """(symbol, timeframe, forward_bars, ret, bucket, condition_no): only what holds, only known returns.
+
+    Conditions that do not hold leave no row, and the rows feed an aggregation
+    in the same stage; they are never shuffled as such.
+    """
     pairs = F.array(*[F.struct(F.lit(h).alias("forward_bars"), F.col(f"fwd{h}").alias("ret")) for h in horizons])
     return (
         wide.select(*KEYS, "hits", F.explode(pairs).alias("_p"))
         .select(*KEYS, "hits", "_p.*").where("ret IS NOT NULL")
         .withColumn("bucket", value_bucket(F.col("ret")))
-        .select(*KEYS, "forward_bars", "ret", "bucket", F.explode("hits").alias("condition_id"))
+        .select(*KEYS, "forward_bars", "ret", "bucket", F.explode("hits").alias("condition_no"))
     )
 
 
 def condition_stats(bars: DataFrame, *, ids: Sequence[str] | None = None,
                     horizons: Sequence[int] = (1, 4, 12, 24), min_n: int = 30, alpha: float = 0.05) -> DataFrame:
-    """Sample size, mean, deviation, median, hit rate, t, p and Sharpe per condition and horizon."""
-    keys = ["condition_id", *KEYS, "forward_bars"]
-    hits = condition_hits(bars, ids, horizons)
+    """Sample size, mean, deviation, median, hit rate, t, p and Sharpe per condition and horizon.
+
+    The conditions of each bar are written once as small numbers; sums and value
+    counts come from one pass over them, exact medians from a second pass over
+    the values near the middle.
+    """
+    chosen = check_ids(list(ids) if ids is not None else None)
+    keys = ["condition_no", *KEYS, "forward_bars"]
+    hits = spread_hits(materialise(condition_hits(bars, chosen, horizons), "hits"), horizons)
     ret = F.col("ret")
     hist = materialise(
         hits.groupBy(*keys, "bucket").agg(
@@ -69,8 +79,9 @@ def condition_stats(bars: DataFrame, *, ids: Sequence[str] | None = None,
         .withColumn("p_value", student_t_pvalue(F.col("t_stat"), n - 1))
         .withColumn("sharpe", sharpe_horizon(mean, sd, F.col("timeframe"), F.col("forward_bars")))
     )
+    name = F.element_at(F.array(*[F.lit(c) for c in chosen]), F.col("condition_no").cast("int") + 1)
     return stats.join(median, keys, "left").select(
-        *keys, n.alias("n_samples"), "mean_return", "std_return", "median_return",
+        name.alias("condition_id"), *KEYS, "forward_bars", n.alias("n_samples"), "mean_return", "std_return", "median_return",
         (F.col("wins") / n).alias("hit_rate"), "t_stat", "p_value", "sharpe",
         F.coalesce((F.col("p_value") < alpha) & (n >= 30), F.lit(False)).alias("is_significant"))
 

@@ -23,7 +23,7 @@ SELECT symbol, count(*) AS n, round(avg(ret), 6) AS mean_return,
 FROM x WHERE coalesce(hit, false) AND ret IS NOT NULL GROUP BY symbol""")
 def after_bullish_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often and how much the next bar rises after a bullish bar, per symbol."""
-    hits = fwd.condition_hits(bars_1h(spark, sf_dir), ["prev_candle_bullish"], [1])
+    hits = fwd.spread_hits(fwd.condition_hits(bars_1h(spark, sf_dir), ["prev_candle_bullish"], [1]), [1])
     ret = F.col("ret")
     return hits.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg(ret)).alias("mean_return"),
