@@ -89,25 +89,31 @@ def _gamma_half_ratio(x: Column) -> Column:
     return F.sqrt(y) * series / shift
 
 
-def student_t_pvalue(t: Column, dof: Column, nodes: int = 1000) -> Column:
+def _simpson(lo: Column, hi: Column, nodes: int, f, *extra: Column) -> Column:
+    """Integral of ``f(x, *extra)`` by Simpson's rule; bounds and extras are evaluated once per row."""
+    bound = F.struct(lo.alias("lo"), ((hi - lo) / nodes).alias("step"), *[e.alias(f"e{k}") for k, e in enumerate(extra)])
+
+    def area(x: Column) -> Column:
+        weight = lambda i: F.when((i == 0) | (i == nodes), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(nodes)), F.lit(0.0),
+            lambda acc, i: acc + weight(i) * f(x["lo"] + x["step"] * i, *[x[f"e{k}"] for k in range(len(extra))]),
+        ) * x["step"] / 3
+    return F.transform(F.array(bound), area)[0]
+
+
+def student_t_pvalue(t: Column, dof: Column, nodes: int = 600) -> Column:
     """Two-sided Student p-value as a plain expression.
 
-    With t = sqrt(dof) * tan(a) the tail is an integral of cos(a) ** (dof - 1),
-    taken with Simpson's rule.  Meant for aggregated rows.
+    With t = sqrt(dof) * tan(a) the tail is an integral of cos(a) ** (dof - 1).
+    Meant for aggregated rows.
     """
     nu = dof.cast("double")
     root = F.sqrt(nu)
     lo = F.atan(F.abs(t) / root)
     hi = F.when(nu >= 9, F.atan((F.abs(t) + 40.0) / root)).otherwise(F.lit(math.pi / 2))
-    step = (hi - lo) / nodes
-    area = F.aggregate(
-        F.sequence(F.lit(0), F.lit(nodes)),
-        F.lit(0.0),
-        lambda acc, i: acc
-        + F.when((i == 0) | (i == nodes), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        * F.pow(F.greatest(F.cos(lo + step * i), F.lit(0.0)), nu - 1),
-    ) * step / 3
-    p = 2 * _gamma_half_ratio(nu / 2) / math.sqrt(math.pi) * area
+    tail = _simpson(lo, hi, nodes, lambda a, k: F.pow(F.greatest(F.cos(a), F.lit(0.0)), k), nu - 1)
+    p = 2 * _gamma_half_ratio(nu / 2) / math.sqrt(math.pi) * tail
     return F.when(t.isNotNull() & (nu > 0), F.least(p, F.lit(1.0)))
 
 
@@ -152,14 +158,5 @@ def normal_cdf(x: Column) -> Column:
 
     Spark has no erf; Simpson's rule over the density is exact to about 1e-10.
     """
-    z = F.least(F.abs(x), F.lit(10.0))
-    nodes = 400
-    step = z / nodes
-    area = F.aggregate(
-        F.sequence(F.lit(0), F.lit(nodes)),
-        F.lit(0.0),
-        lambda acc, i: acc
-        + F.when((i == 0) | (i == nodes), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        * F.exp(-(step * i) * (step * i) / 2),
-    ) * step / 3 / math.sqrt(2 * math.pi)
+    area = _simpson(F.lit(0.0), F.least(F.abs(x), F.lit(10.0)), 400, lambda z: F.exp(-z * z / 2)) / math.sqrt(2 * math.pi)
     return F.when(x >= 0, 0.5 + area).otherwise(0.5 - area)

@@ -30,7 +30,7 @@ FRAME_KEYS = (*KEYS, "_blk")
 
 def timeframe_seconds(col: Column) -> Column:
     """Seconds of '15m', '1h', '4h', '1d', '1w'."""
-    amount = F.regexp_extract(col, r"^(\d+)", 1).cast("long")
+    amount = F.regexp_extract(col, r"^(\d+)", 1).try_cast("long")
     unit = F.regexp_extract(col, r"([a-z])$", 1)
     seconds = (
         F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).when(unit == "w", 604800)

@@ -467,3 +467,55 @@ def asof_higher(bars: DataFrame, higher: DataFrame, value_cols: list[str], width
     out = both.withColumn("_cur", F.last("_val", ignorenulls=True).over(w)).where("_side = 1")
     out = out.join(base, ["symbol", "_month"], "left").withColumn("_v", F.coalesce("_cur", "_base"))
     return out.select(*bars.columns, *[F.col(f"_v.{x}").alias(f"higher_{x}") for x in value_cols])
+
+
+def market_structure(lookback: int = 5, memory: int = 250, slope: int = 10) -> list[Step]:
+    """Regime columns: swing structure, slope of the average, band width and volume regimes.
+
+    A swing counts from the bar on which it is confirmed; the one before it is
+    looked for in the last ``memory`` bars.
+    """
+    back = f"OVER ({FRAME_SQL} ROWS BETWEEN {memory} PRECEDING AND 1 PRECEDING)"
+    upto = f"OVER ({FRAME_SQL} ROWS BETWEEN {memory} PRECEDING AND CURRENT ROW)"
+    side = f"ROWS BETWEEN {2 * lookback} PRECEDING AND {lookback + 1} PRECEDING"
+    after = f"ROWS BETWEEN {lookback - 1} PRECEDING AND CURRENT ROW"
+
+    def confirmed(x: str, agg: str, sign: str) -> str:
+        level = lag_sql(x, lookback)
+        full = f"count({x}) OVER ({FRAME_SQL} {side}) = {lookback}"
+        return (f"CASE WHEN {full} AND {level} {sign} {agg}({x}) OVER ({FRAME_SQL} {side}) "
+                f"AND {level} {sign} {agg}({x}) OVER ({FRAME_SQL} {after}) THEN {level} END")
+
+    return [
+        sql_columns([], {"_sh": confirmed("high", "max", ">"), "_sl": confirmed("low", "min", "<")}, before=2 * lookback),
+        sql_columns(["_sh", "_sl"], {
+            "_hh": f"CASE WHEN _sh IS NOT NULL THEN _sh > last(_sh, true) {back} END",
+            "_hl": f"CASE WHEN _sl IS NOT NULL THEN _sl > last(_sl, true) {back} END"}, before=memory),
+        sql_columns(["_hh", "_hl"], {"_h": f"last(_hh, true) {upto}", "_l": f"last(_hl, true) {upto}"}, before=memory),
+        sql_columns(["_h", "_l"], {
+            "structure": "CASE WHEN _h AND _l THEN 'up' WHEN NOT _h AND NOT _l THEN 'down' ELSE 'mixed' END",
+            "ma": rolling_sql("avg(close)", "close", 50), "volume_mean": rolling_sql("avg(volume)", "volume", 20),
+            "_w": f"4D * ({rolling_sql('stddev_samp(close)', 'close', 20)})"}, before=50),
+        rolling_quantiles({"_w25": 0.25, "_w75": 0.75}, "_w"),
+        sql_columns(["ma", "volume_mean", "_w25"], {
+            "ma_slope": f"(ma - {lag_sql('ma', slope)}) / {slope}",
+            "width_regime": "CASE WHEN _w < _w25 THEN 'narrow' WHEN _w > _w75 THEN 'wide' WHEN _w25 IS NOT NULL THEN 'normal' END",
+            "volume_regime": "CASE WHEN volume > 1.5D * volume_mean THEN 'high' WHEN volume < 0.5D * volume_mean THEN 'low' WHEN volume_mean IS NOT NULL THEN 'normal' END",
+        }, before=slope),
+    ]
+
+
+def apply_indicator(bars: DataFrame, fn, schema: str, *, before: int, block_rows: int = 16384) -> DataFrame:
+    """A Python function over each block of a series (pandas in and out).
+
+    The function gets the rows of a block in time order with ``before`` earlier
+    rows in front, and returns one row per input row with symbol, timeframe and
+    ts first in ``schema``; only the block's own rows are kept.
+    """
+    framed = blocked(bars, before=before, block_rows=block_rows)
+
+    def run(pdf):
+        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        return fn(pdf.drop(columns=["_blk", "_own"]))[pdf["_own"].to_numpy()]
+
+    return framed.groupBy(*FRAME_KEYS).applyInPandas(run, schema)

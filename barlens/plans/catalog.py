@@ -39,7 +39,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars_1h(spark: SparkSession, sf_dir: str, width: str = "1h") -> DataFrame:
     return bars_from_ticks(
         ticks(spark, sf_dir), symbol=F.col("symbol"), ts=F.col("ts"), price=F.col("price"),
-        size=F.lit(1.0), width=width, tie=[F.col("event_id")])
+        size=F.lit(1.0), width=width)
 
 
 def bars_15m(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,3 +379,45 @@ SELECT symbol, {TS_SQL}, trend AS direction, round(sar, 5) AS sar FROM st""")
 def psar(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = seq.psar(bars_1h(spark, sf_dir), [(0.02, 0.2)])
     return df.select("symbol", ts_text().alias("ts"), F.col("psar_dir_0").alias("direction"), r("psar_0", 5).alias("sar"))
+
+
+def _structure_sql(n: int = 5, m: int = 250) -> str:
+    side = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {2 * n} PRECEDING AND {n + 1} PRECEDING)"
+    aft = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    back = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {m} PRECEDING AND 1 PRECEDING)"
+    upto = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {m} PRECEDING AND CURRENT ROW)"
+    return f"""{BARS_1D}, a AS (SELECT *, lag(high, {n}) OVER {W_SQL} AS hn, lag(low, {n}) OVER {W_SQL} AS ln, count(*) OVER {side} AS k, max(high) OVER {side} AS mh, min(low) OVER {side} AS ml,
+  max(high) OVER {aft} AS ah, min(low) OVER {aft} AS al, {roll_sql('avg(close)', 50)} AS ma, {roll_sql('avg(volume)', 20)} AS vm, 4 * {roll_sql('stddev_samp(close)', 20)} AS w FROM bars),
+b AS (SELECT *, CASE WHEN k = {n} AND hn > mh AND hn > ah THEN hn END AS sh, CASE WHEN k = {n} AND ln < ml AND ln < al THEN ln END AS sl, (ma - lag(ma, 10) OVER {W_SQL}) / 10 AS slope,
+  {roll_sql('quantile_cont(w, 0.25)', 252, 30, 'w')} AS w25, {roll_sql('quantile_cont(w, 0.75)', 252, 30, 'w')} AS w75 FROM a),
+c AS (SELECT *, CASE WHEN sh IS NOT NULL THEN sh > last_value(sh IGNORE NULLS) {back} END AS hh, CASE WHEN sl IS NOT NULL THEN sl > last_value(sl IGNORE NULLS) {back} END AS hl FROM b),
+d AS (SELECT *, last_value(hh IGNORE NULLS) {upto} AS h9, last_value(hl IGNORE NULLS) {upto} AS l9 FROM c)"""
+
+
+@query("market_structure", f"""WITH {_structure_sql()} SELECT symbol, {TS_SQL}, CASE WHEN h9 AND l9 THEN 'up' WHEN NOT h9 AND NOT l9 THEN 'down' ELSE 'mixed' END AS structure, round(slope, 4) + 0.0 AS ma_slope,
+  CASE WHEN w < w25 THEN 'narrow' WHEN w > w75 THEN 'wide' WHEN w25 IS NOT NULL THEN 'normal' END AS width_regime,
+  CASE WHEN volume > 1.5 * vm THEN 'high' WHEN volume < 0.5 * vm THEN 'low' WHEN vm IS NOT NULL THEN 'normal' END AS volume_regime FROM d""")
+def market_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compute(bars_1d(spark, sf_dir), ind.market_structure())
+    return df.select("symbol", ts_text().alias("ts"), "structure", r("ma_slope", 4).alias("ma_slope"), "width_regime", "volume_regime")
+
+
+@query("apply_indicator", sel(f"{BARS_1H}, x AS (SELECT *, {roll_sql('avg(close)', 10)} - {roll_sql('avg(open)', 10, x='open')} AS spread FROM bars)", "x", spread=6))
+def apply_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's Python function over blocks of bars."""
+    def spread(pdf):
+        pdf["spread"] = pdf["close"].rolling(10).mean() - pdf["open"].rolling(10).mean()
+        return pdf[["symbol", "timeframe", "ts", "spread"]]
+    df = ind.apply_indicator(bars_1h(spark, sf_dir), spread, "symbol string, timeframe string, ts timestamp, spread double", before=10)
+    return out(df, spread=6)
+
+
+@query("bars_written_and_read", sel(BARS_1H, "bars", **_BAR) + " WHERE symbol <> 'click'")
+def bars_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars through the partitioned Parquet layout; the filter prunes folders."""
+    import os
+    import uuid
+    from barlens.session import scratch_dir
+    path = os.path.join(scratch_dir(spark), f"bars-{uuid.uuid4().hex}")
+    src.write_bars(bars_1h(spark, sf_dir), path)
+    return out(src.read_bars(spark, path).where("symbol <> 'click'"), **_BAR)

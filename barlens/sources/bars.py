@@ -32,11 +32,18 @@ CRYPTO_PAIRS = (
     "DOTUSD", "LINKUSD", "MATICUSD",
 )
 
-# interval literal of each timeframe that bars can be built for
+# interval literal and seconds of each timeframe that bars can be built for
 WIDTHS = {
     "1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "4h": "4 hours",
     "1d": "1 day",
 }
+SECONDS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "4h": 14400, "1d": 86400}
+
+
+def bucket_start(ts: str, width: str) -> Column:
+    """Start of the bar a time falls into, as a plain timestamp."""
+    step = SECONDS[width]
+    return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / step) * step)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +102,7 @@ def parse_timeframe(tf: Column) -> Column:
         .when(unit == "w", "week")
         .otherwise(F.raise_error(F.concat(F.lit("unknown timeframe "), tf)).cast("string"))
     )
-    return F.struct(amount.cast("int").alias("multiplier"), name.alias("span"))
+    return F.struct(amount.try_cast("int").alias("multiplier"), name.alias("span"))
 
 
 def validate_bars(bars: DataFrame) -> DataFrame:
@@ -143,14 +150,15 @@ def bars_from_ticks(ticks: DataFrame, *, symbol: Column, ts: Column, price: Colu
         symbol.alias("symbol"), ts.cast("timestamp").alias("_t"), price.cast("double").alias("_p"),
         size.cast("double").alias("_s"), *[c.alias(f"_tie{i}") for i, c in enumerate(tie or [])],
     )
-    order = F.struct("_t", *[f"_tie{i}" for i in range(len(tie or []))])
+    # a plain timestamp keeps the aggregation in hash maps; a struct makes Spark sort
+    order = F.struct("_t", *[f"_tie{i}" for i in range(len(tie))]) if tie else F.col("_t")
     return (
-        t.groupBy("symbol", F.window("_t", WIDTHS[width]).alias("_w"))
+        t.groupBy("symbol", bucket_start("_t", width).alias("ts"))
         .agg(
             F.min_by("_p", order).alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
             F.max_by("_p", order).alias("close"), F.sum("_s").alias("volume"),
         )
-        .select("symbol", F.lit(width).alias("timeframe"), F.col("_w.start").alias("ts"),
+        .select("symbol", F.lit(width).alias("timeframe"), "ts",
                 "open", "high", "low", "close", "volume")
     )
 
@@ -158,12 +166,12 @@ def bars_from_ticks(ticks: DataFrame, *, symbol: Column, ts: Column, price: Colu
 def resample_bars(bars: DataFrame, to: str) -> DataFrame:
     """Bars of a coarser timeframe."""
     return (
-        bars.groupBy("symbol", F.window("ts", WIDTHS[to]).alias("_w"))
+        bars.groupBy("symbol", bucket_start("ts", to).alias("_at"))
         .agg(
             F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
             F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),
         )
-        .select("symbol", F.lit(to).alias("timeframe"), F.col("_w.start").alias("ts"),
+        .select("symbol", F.lit(to).alias("timeframe"), F.col("_at").alias("ts"),
                 "open", "high", "low", "close", "volume")
     )
 
