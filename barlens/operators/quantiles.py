@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barlens.session import materialise
 
 
-def value_bucket(x: Column, per_e: int = 64, scale: float = 1e6) -> Column:
+def value_bucket(x: Column, per_e: int = 16, scale: float = 1e6) -> Column:
     """Monotone bucket number of a double: logarithmic, both signs."""
     return F.floor(F.signum(x) * F.ln(1 + F.abs(x) * scale) * per_e).cast("int")
 
@@ -25,6 +25,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
                     hist: DataFrame | None = None) -> DataFrame:
     """One row per group with a column per probability, linearly interpolated.
 
+    The result is written out: it is one row per group, often joined back to the
+    data, and its true size then decides how.
+
     ``hist`` may bring counts per (keys, ``bucket``) as ``n`` when the caller has
     them already.
     """
@@ -59,4 +62,4 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         pos = F.lit(p) * (F.col("_total") - 1)
         lo, hi = F.col(f"_f_{name}"), F.col(f"_c_{name}")
         cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return out.select(*keys, *cols)
+    return materialise(out.select(*keys, *cols), "quantiles")

@@ -255,6 +255,17 @@ def viable_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
         r("t_stat", 4).alias("t_stat"), r("p_value", 5).alias("p_value"), r("sharpe", 4).alias("sharpe"), "is_significant")
 
 
+@query("bullish_conditions", _stats_sql(BARS_1H, 6240.0, (4,)).split("SELECT condition_id, symbol, timeframe, forward_bars, n_samples, round(m")[0] + """
+SELECT condition_id, symbol, n_samples, round(hit_rate, 6) AS hit_rate, 'bull' AS direction FROM pp WHERE coalesce(hit_rate, 0.5) > 0.5 AND timeframe IN ('4h', '1d', '1h')
+ORDER BY round(abs(t), 6) DESC, condition_id, symbol LIMIT 40""")
+def bullish_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest results that point up; the direction is filtered before the limit."""
+    s = fwd.condition_stats(bars_1h(spark, sf_dir), horizons=[4]).withColumn("direction", fwd.direction_of(F.col("hit_rate")))
+    s = s.where((F.col("direction") == "bull") & F.col("timeframe").isin("4h", "1d", "1h"))
+    top = s.orderBy(F.desc(F.round(F.abs("t_stat"), 6)), "condition_id", "symbol").limit(40)
+    return top.select("condition_id", "symbol", "n_samples", r("hit_rate").alias("hit_rate"), "direction")
+
+
 _FEATURE = f"""{BARS_1D}, {RN}, {DIFFS}, a AS (SELECT *, {ewm_sql('gain', '1.0/14', 1)} AS ag, {ewm_sql('loss', '1.0/14', 1)} AS al,
   {ema_sql('close', 50)} AS ema50, lead(close, 1) OVER {W_SQL} / close - 1 AS ret FROM tr),
 f AS (SELECT *, round(100 - 100 / (1 + ag / nullif(al, 0)), 1) AS rsi, close > ema50 AS trend FROM a)"""
