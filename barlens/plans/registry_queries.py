@@ -278,7 +278,7 @@ def _scan_sql(src: str, key: str, text: str) -> str:
     return f"""WITH c AS (SELECT {key} AS id, {text} || chr(10) || CASE {key} % 7 {cases} END AS code FROM {src}),
 s AS (SELECT id, CAST({hits('critical')} + CASE WHEN NOT contains(code, 'class') AND NOT contains(code, 'def next') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(code, '{tx.CALL_IN_NEXT}') THEN 1 ELSE 0 END AS INTEGER) AS critical,
   CAST({hits('warning')} + CASE WHEN NOT contains(code, 'self.I(') AND contains(code, 'def init') THEN 1 ELSE 0 END AS INTEGER) AS warnings FROM c)
-SELECT id, critical, warnings, round(greatest(0.0, 10 - 2.5 * critical - 0.5 * warnings), 1) AS score, greatest(0.0, 10 - 2.5 * critical - 0.5 * warnings) >= 7 AS passed FROM s"""
+SELECT id, critical, warnings, CAST(round(greatest(0.0, 10 - 2.5 * critical - 0.5 * warnings), 1) AS DOUBLE) AS score, greatest(0.0, 10 - 2.5 * critical - 0.5 * warnings) >= 7 AS passed FROM s"""
 
 
 def _scan(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -88,7 +88,7 @@ def barrier_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r("pnl_r").alias("pnl_r"), r("mae_r").alias("mae_r"), r("mfe_r").alias("mfe_r"), "bars_held")
 
 
-_MULTS = "(VALUES (1.0), (1.5), (2.0), (2.5), (3.0)) q(atr_mult)"
+_MULTS = "(VALUES (CAST(1.0 AS DOUBLE)), (1.5), (2.0), (2.5), (3.0)) q(atr_mult)"
 
 
 @query("atr_stop_grid", f"{_E1D}, {_path_sql(N, 'atr_mult * atr14', params=', ' + _MULTS)}, {_barrier_sql('symbol, ts, atr_mult', '2.0')} "
@@ -111,7 +111,7 @@ _TW = "(PARTITION BY symbol, ts, trail_mult ORDER BY step ROWS BETWEEN {a} PRECE
 
 
 def _trail_query(best: str) -> str:
-    p = _path_sql(N, "trail_mult * atr14", params=", (VALUES (1.5), (2.0), (2.5), (3.0)) q(trail_mult)")
+    p = _path_sql(N, "trail_mult * atr14", params=", (VALUES (CAST(1.5 AS DOUBLE)), (2.0), (2.5), (3.0)) q(trail_mult)")
     return (f"{_E1D}, {p}, {_trail_sql(best)}, "
             + _closed_sql("symbol, ts, trail_mult", "x2", "CASE WHEN s IS NULL THEN pl ELSE trail END") + " " + _rule_stats_sql("trail_mult"))
 
@@ -128,7 +128,7 @@ _register_trail("highest_close_trail", f"max(pl) OVER {_TW.format(a=14)} - trail
 _register_trail("chandelier", f"max(fav) OVER {_TW.format(a=14)} - 1")
 
 
-@query("breakeven_stop", f"""{_E1D}, {_path_sql(N, '1.5 * atr14', params=', (VALUES (0.5), (0.75), (1.0), (1.25), (1.5)) q(breakeven_trigger_r)')},
+@query("breakeven_stop", f"""{_E1D}, {_path_sql(N, '1.5 * atr14', params=', (VALUES (CAST(0.5 AS DOUBLE)), (0.75), (1.0), (1.25), (1.5)) q(breakeven_trigger_r)')},
 g AS (SELECT symbol, ts, breakeven_trigger_r, min(step) FILTER (WHERE fav >= breakeven_trigger_r) AS g FROM pth GROUP BY ALL),
 h AS (SELECT pth.*, g.g FROM pth JOIN g USING (symbol, ts, breakeven_trigger_r)),
 bx AS (SELECT symbol, ts, breakeven_trigger_r, any_value(g) AS g, min(step) FILTER (WHERE CASE WHEN g IS NOT NULL AND step > g THEN adv >= 0 ELSE adv >= 1 END) AS s,
@@ -141,7 +141,7 @@ def breakeven_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rule_stats(oc.breakeven_outcomes(paths, trigger="breakeven_trigger_r", keep=["breakeven_trigger_r"]), "breakeven_trigger_r")
 
 
-@query("scale_out", f"""{_E1D}, {_path_sql(N, '1.5 * atr14', params=', (VALUES (0.25), (0.5), (0.75)) q(scale_out_pct)')},
+@query("scale_out", f"""{_E1D}, {_path_sql(N, '1.5 * atr14', params=', (VALUES (CAST(0.25 AS DOUBLE)), (0.5), (0.75)) q(scale_out_pct)')},
 tl AS (SELECT *, CASE WHEN step = 1 THEN -1.0 ELSE greatest(-1.0, max(pl) OVER (PARTITION BY symbol, ts, scale_out_pct ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1) END AS trail FROM pth),
 bx AS (SELECT symbol, ts, scale_out_pct, min(step) FILTER (WHERE -adv <= trail) AS s, min(step) FILTER (WHERE fav >= 1.0) AS t, max(step) AS m FROM tl GROUP BY ALL),
 xs AS (SELECT *, coalesce(s, m) AS xstep FROM bx), x2 AS (SELECT xs.*, trail FROM xs JOIN tl ON tl.symbol = xs.symbol AND tl.ts = xs.ts AND tl.scale_out_pct = xs.scale_out_pct AND tl.step = xs.xstep),
