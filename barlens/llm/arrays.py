@@ -68,7 +68,7 @@ def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 13) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets within the bytes); null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -82,7 +82,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        end = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1), row + rows, len(column))
         yield row, end, data[offsets[row]: offsets[end]], offsets[row: end + 1] - offsets[row]
         row = end
 

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import bpe, exact_dedup, mixing, quality, toxicity, url_reputation
+from barlens.llm import bpe, exact_dedup, lattice, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity, url_reputation
 from barlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_factorisation_machine": lambda s, d: quality.score_documents(table(s, d, "documents"), table(s, d, "labels")),
     "op2_mixing_by_raking": lambda s, d: mixing.sample_documents(table(s, d, "documents")),
+    "op3_suffix_array_dedup": lambda s, d: suffix_dedup.drop_repeated_strings(table(s, d, "documents")),
+    "op4_probminhash_near_dedup": lambda s, d: minhash.near_groups(table(s, d, "documents")),
     "op5_exact_dedup_quotient_filter": lambda s, d: exact_dedup.exact_groups(table(s, d, "documents")),
     "op6_toxicity_boosted_trees": lambda s, d: toxicity.score_documents(table(s, d, "documents"), table(s, d, "labels")),
+    "op7_lattice_near_dedup": lambda s, d: lattice.near_vectors(table(s, d, "embeddings")),
+    "op8_repeated_phrase_dedup": lambda s, d: phrase_dedup.drop_repeated_phrases(table(s, d, "documents")),
     "op9_bpe_merge_replay": lambda s, d: bpe.encode_decode(table(s, d, "documents")),
     "op10_url_reputation": lambda s, d: url_reputation.judge_urls(table(s, d, "pages"), table(s, d, "labels")),
 }
