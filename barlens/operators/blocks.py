@@ -29,13 +29,13 @@ FRAME_KEYS = (*KEYS, "_blk")
 
 
 def timeframe_seconds(col: Column) -> Column:
-    """Seconds of '15m', '1h', '4h', '1d', '1w'."""
-    amount = F.regexp_extract(col, r"^(\d+)", 1).try_cast("long")
-    unit = F.regexp_extract(col, r"([a-z])$", 1)
-    seconds = (
-        F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).when(unit == "w", 604800)
-    )
-    return amount * seconds
+    """Seconds of '15m', '1h', '4h', '1d', '1w'; case and blanks around don't matter, anything else is an error."""
+    plain = F.lower(F.trim(col))
+    amount = F.regexp_extract(plain, r"^(\d+)[mhdw]$", 1).try_cast("long")
+    unit = F.right(plain, F.lit(1))
+    seconds = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).when(unit == "w", 604800)
+    unknown = F.raise_error(F.concat(F.lit("unknown timeframe "), F.coalesce(col, F.lit("null")))).cast("long")
+    return F.when(amount > 0, amount * seconds).otherwise(unknown)
 
 
 def blocked(

@@ -61,9 +61,9 @@ CONDITIONS: tuple[Condition, ...] = tuple(
         },
         "session": {
             "session_asian": "hour(ts) < 7",
-            "session_london": "hour(ts) >= 7 AND hour(ts) < 12",
-            "session_overlap": "hour(ts) >= 13 AND hour(ts) < 16",
-            "session_ny": "hour(ts) >= 13 AND hour(ts) < 21",
+            "session_london": "hour(ts) >= 7 AND hour(ts) < 13",
+            "session_overlap": "hour(ts) >= 13 AND hour(ts) < 17",
+            "session_ny": "hour(ts) >= 13 AND hour(ts) < 22",
             "hour_10_12": "hour(ts) IN (10, 11)",
             "hour_13_15": "hour(ts) IN (13, 14)",
             "hour_18_22": "hour(ts) IN (18, 19, 20, 21)",

@@ -72,7 +72,7 @@ def upsert(base: DataFrame, updates: DataFrame, *, keys: Sequence[str], version:
     """
     values = [c for c in base.columns if c not in keys]
     both = base.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    picked = both.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(version, "_new")).alias("_row"))
+    picked = both.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(version, "_new", F.to_json(F.struct(*values)))).alias("_row"))
     return picked.select(*keys, "_row.*").select(*base.columns)
 
 
@@ -116,7 +116,8 @@ def transitions(table: DataFrame, rules: Sequence[tuple[Column, str, str]], *, k
 
 
 def older_than(column: str, as_of: str, minutes: int) -> Column:
-    return F.col(column) < F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    """Whether a time lies so long before ``as_of``; a missing time does."""
+    return F.col(column).isNull() | (F.col(column) < F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))
 
 
 def stale_rules(as_of: str) -> list[tuple[Column, str, str]]:
@@ -126,7 +127,7 @@ def stale_rules(as_of: str) -> list[tuple[Column, str, str]]:
         ((s == "running") & older_than("updated_at", as_of, 35), "failed", "research timed out"),
         ((s == "backtesting") & older_than("updated_at", as_of, 52), "failed", "backtest timed out"),
         ((s == "quick_testing") & older_than("updated_at", as_of, 20), "failed", "quick test timed out"),
-        ((s == "failed") & (F.col("retry_count") < 3) & older_than("updated_at", as_of, 15), "pending", "retry"),
+        ((s == "failed") & (F.coalesce("retry_count", F.lit(0)) < 3) & older_than("updated_at", as_of, 15), "pending", "retry"),
     ]
 
 
@@ -162,8 +163,8 @@ def promising(by_timeframe: Column) -> Column:
     return F.exists(F.map_values(by_timeframe), lambda m: (m["trades"] >= 10) & (m["sharpe"] >= 0.3))
 
 
-def fan_out(tasks: DataFrame, symbols: Sequence[str] = FAN_OUT_SYMBOLS, batch: int | None = 6) -> DataFrame:
-    """Copies of finished tasks for the other symbols; ``batch`` is the number made per cycle."""
+def fan_out(tasks: DataFrame, symbols: Sequence[str] = FAN_OUT_SYMBOLS, batch: int | None = None) -> DataFrame:
+    """Copies of finished tasks for the other symbols; ``batch``, where given, is the number made per cycle."""
     todo = tasks.where("status = 'done' AND NOT coalesce(fanned_out, false) AND parent_task_id IS NULL AND symbol IS NOT NULL")
     copies = todo.withColumn("new_symbol", F.explode(F.array(*[F.lit(s) for s in symbols]))).where("new_symbol <> symbol")
     title = F.when(F.contains("title", "symbol"), F.replace("title", "symbol", "new_symbol")).otherwise(
@@ -240,12 +241,17 @@ def ideas_grouped(ideas: DataFrame, strategies: DataFrame, passed: Sequence[str]
 
 
 def dependencies_done(strategies: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Whether every task in ``pending_ids`` is done or failed, and which are done."""
-    pairs = strategies.select("id", F.explode("pending_ids").alias("task_id"))
-    joined = pairs.join(tasks.select(F.col("id").alias("task_id"), F.col("status").alias("task_status")), "task_id")
-    return joined.groupBy("id").agg(
-        F.bool_and(F.col("task_status").isin("done", "failed")).alias("all_done"),
-        F.count_if(F.col("task_status") == "done").alias("n_done"), F.count(F.lit(1)).alias("n_tasks"))
+    """For every strategy: whether all its known tasks are done or failed, how many are done, and what follows.
+
+    ``next`` is 'filtered' for a strategy that names no task, or none that is still there,
+    'ready' when all are finished, else null: it goes on waiting.
+    """
+    pairs = strategies.select("id", F.explode_outer("pending_ids").alias("task_id"))
+    known = tasks.select(F.col("id").alias("task_id"), F.coalesce("status", F.lit("")).alias("task_status"))
+    per = pairs.join(known, "task_id", "left").groupBy("id").agg(
+        F.coalesce(F.bool_and(F.col("task_status").isin("done", "failed")), F.lit(False)).alias("all_done"),
+        F.count_if(F.col("task_status") == "done").alias("n_done"), F.count("task_status").alias("n_tasks"))
+    return per.withColumn("next", F.when(F.col("n_tasks") == 0, "filtered").when(F.col("all_done"), "ready"))
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:

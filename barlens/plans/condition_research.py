@@ -30,13 +30,39 @@ def after_bullish_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
         r(F.avg(F.when(ret > 0, 1.0).otherwise(0.0))).alias("hit_rate"))
 
 
-def _sql_rule(rule: str) -> str:
-    """The rule text in the other dialect."""
-    out = rule
-    for a, b in (("0.5D", "0.5"), ("0.75D", "0.75"), ("0.25D", "0.25"), ("0.1D", "0.1"), ("0.7D", "0.7"),
-                 ("1.5D", "1.5"), ("0.3D", "0.3"), ("weekday(ts)", "(isodow(ts) - 1)")):
-        out = out.replace(a, b)
-    return out
+# The 65 conditions stated once more, from their definitions and not from the operator's rules:
+# bodies and ranges as fractions, times by extract(), days counted from the calendar.
+_UP, _DOWN = "c{k} - o{k} > 0", "o{k} - c{k} > 0"
+STATED = {
+    "prev_candle_bullish": _UP.format(k=1), "prev_candle_bearish": _DOWN.format(k=1),
+    "prev_candle_bull_large": "c1 - o1 > greatest(atr14, 0) AND atr14 IS NOT NULL", "prev_candle_bear_large": "o1 - c1 > greatest(atr14, 0) AND atr14 IS NOT NULL",
+    "prev_2_bullish": " AND ".join(_UP.format(k=k) for k in (1, 2)), "prev_2_bearish": " AND ".join(_DOWN.format(k=k) for k in (1, 2)),
+    "prev_3_bullish": " AND ".join(_UP.format(k=k) for k in (1, 2, 3)), "prev_3_bearish": " AND ".join(_DOWN.format(k=k) for k in (1, 2, 3)),
+    "close_near_high": "CASE WHEN high = low THEN false ELSE (close - low) / (high - low) >= 0.75 END",
+    "close_near_low": "CASE WHEN high = low THEN false ELSE (close - low) / (high - low) <= 0.25 END",
+    "inside_bar": "h1 > high AND l1 < low",
+    "doji": "high > low AND 10 * abs(open - close) < high - low", "large_body": "high > low AND abs(open - close) / (high - low) > 0.7",
+    "new_5bar_high": "close = max5", "new_5bar_low": "close = min5", "new_20bar_high": "close = max20", "new_20bar_low": "close = min20",
+    "gap_up": "open > c1 + 0.1 * atr14", "gap_down": "open < c1 - 0.1 * atr14",
+    **{f"above_ema{n}": f"ema{n} < close" for n in (20, 50, 200)}, **{f"below_ema{n}": f"ema{n} > close" for n in (20, 50, 200)},
+    "ema20_above_ema50": "ema50 < ema20", "ema20_below_ema50": "ema50 > ema20",
+    "cross_ema20_up": "NOT (close <= ema20 OR c1 > ema20_1)", "cross_ema20_dn": "NOT (close >= ema20 OR c1 < ema20_1)",
+    "far_above_ema50": "close > ema50 + 1.5 * atr14", "far_below_ema50": "close < ema50 - 1.5 * atr14", "near_ema50": "abs(ema50 - close) < 0.3 * atr14",
+    # hours from the definition: Asia before 7, London 7 to 12, overlap 13 to 16, New York 13 to 21, all inclusive
+    "session_asian": "extract(hour FROM ts) BETWEEN 0 AND 6", "session_london": "extract(hour FROM ts) BETWEEN 7 AND 12",
+    "session_overlap": "extract(hour FROM ts) BETWEEN 13 AND 16", "session_ny": "extract(hour FROM ts) BETWEEN 13 AND 21",
+    "hour_10_12": "extract(hour FROM ts) BETWEEN 10 AND 11", "hour_13_15": "extract(hour FROM ts) BETWEEN 13 AND 14", "hour_18_22": "extract(hour FROM ts) BETWEEN 18 AND 21",
+    **{f"weekday_{day}": f"isodow(ts) = {i}" for i, day in enumerate(("monday", "tuesday", "wednesday", "thursday", "friday"), 1)},
+    "weekday_mid": "isodow(ts) BETWEEN 2 AND 4",
+    "month_end": "month(CAST(ts AS DATE) + 3) <> month(CAST(ts AS DATE))", "month_start": "extract(day FROM ts) < 4",
+    "high_atr": "atr_q75 < atr14", "low_atr": "atr_q25 > atr14", "above_bb_upper": "bb_upper < close", "below_bb_lower": "bb_lower > close",
+    "inside_bb": "close BETWEEN bb_lower AND bb_upper", "bb_squeeze": "bbw_q25 > bb_width", "bb_expansion": "bbw_q75 < bb_width",
+    "rsi_oversold": "30 > rsi14", "rsi_overbought": "70 < rsi14",
+    "rsi_mid_bull": "rsi14 BETWEEN 45 AND 55 AND rsi14 - rsi14_1 > 0", "rsi_mid_bear": "rsi14 BETWEEN 45 AND 55 AND rsi14 - rsi14_1 < 0",
+    "rsi_above_50": "50 < rsi14", "rsi_below_50": "50 > rsi14", "rsi_cross_50_up": "rsi14_1 <= 50 AND 50 < rsi14", "rsi_cross_50_dn": "rsi14_1 >= 50 AND 50 > rsi14",
+    "bb_lower_rsi_oversold": "bb_lower > close AND 30 > rsi14", "bb_upper_rsi_overbought": "bb_upper < close AND 70 < rsi14",
+    "bb_lower_rsi_mid": "bb_lower > close AND rsi14 BETWEEN 30 AND 50",
+}
 
 
 def _condition_ctes(bars: str) -> str:
@@ -49,8 +75,7 @@ def _condition_ctes(bars: str) -> str:
         [f"lag(close, {k}) OVER {W_SQL} AS c{k}, lag(open, {k}) OVER {W_SQL} AS o{k}" for k in (1, 2, 3)]
         + [f"lag(high) OVER {W_SQL} AS h1, lag(low) OVER {W_SQL} AS l1"])
     ext = ", ".join(f"{roll_sql(f'{f}(close)', n)} AS {f}{n}" for f in ("max", "min") for n in (5, 20))
-    flags = ",\n".join(
-        f"coalesce({_sql_rule(x.rule)}, false) AS {x.condition_id}" for x in cnd.CONDITIONS)
+    flags = ",\n".join(f"coalesce({rule}, false) AS {name}" for name, rule in STATED.items())
     return f"""{bars}, {RN}, {DIFFS},
 e AS (SELECT *, {ema_sql('close', 20)} AS ema20, {ema_sql('close', 50)} AS ema50, {ema_sql('close', 200)} AS ema200,
   {ewm_sql('tr', '1.0/14')} AS atr14, {ewm_sql('gain', '1.0/14', 1)} AS ag, {ewm_sql('loss', '1.0/14', 1)} AS al,

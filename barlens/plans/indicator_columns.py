@@ -56,6 +56,13 @@ def bars_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(src.resample_bars(bars_1h(spark, sf_dir), "4h"), **_BAR)
 
 
+@query("bars_weekly", sel(BARS_1D + """,
+weeks AS (SELECT symbol, CAST(date_trunc('week', ts) AS TIMESTAMP) AS ts, arg_min(open, ts) AS open, max(high) AS high,
+  min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)""", "weeks", **_BAR))
+def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(src.resample_bars(bars_1d(spark, sf_dir), " 1W "), **_BAR)
+
+
 @query("normalise_bars", """
 WITH raw AS (SELECT event_type AS symbol, epoch_ms(date_trunc('minute', ts)) AS ms, value, event_id,
   CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS volume FROM events)
@@ -96,16 +103,17 @@ def parse_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("validate_bars", """
-WITH raw AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS ts, value AS close,
+WITH raw AS (SELECT event_type AS symbol, event_id, date_trunc('minute', ts) AS ts, value AS close,
   CASE WHEN event_id % 7 = 0 THEN value - 1 ELSE value + 1 END AS high, value AS low FROM events)
 SELECT symbol, count(*) AS n_rows, count(*) FILTER (WHERE high < low) AS n_high_lt_low,
-  count(*) FILTER (WHERE close <= 0) AS n_nonpositive_close, count(*) - count(DISTINCT ts) AS n_dup_ts FROM raw GROUP BY symbol""")
+  count(*) FILTER (WHERE close <= 0) AS n_nonpositive_close, count(*) - count(DISTINCT ts) AS n_dup_ts, count(*) FILTER (WHERE event_id % 50 = 0) AS n_missing_price FROM raw GROUP BY symbol""")
 def validate_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     v = F.col("value")
     raw = e.select(
         F.col("event_type").alias("symbol"), F.lit("1m").alias("timeframe"),
-        F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("ts"), v.alias("open"),
+        F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("ts"),
+        F.when(F.col("event_id") % 100 == 0, F.lit(float("nan"))).when(F.col("event_id") % 50 != 0, v).alias("open"),
         F.when(F.col("event_id") % 7 == 0, v - 1).otherwise(v + 1).alias("high"), v.alias("low"), v.alias("close"))
     return src.validate_bars(raw).drop("timeframe")
 

@@ -141,13 +141,14 @@ FROM t, s WHERE status = 'done' AND NOT fanned_out AND parent_task_id IS NULL AN
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tasks(spark, sf_dir).withColumns({
         "title": F.expr("CASE WHEN id % 2 = 0 THEN 'Trend of ' || symbol ELSE 'Trend' END"), "question": F.expr("'Does ' || symbol || ' trend?'")})
-    return rg.fan_out(t, batch=None)
+    return rg.fan_out(t)
 
 
-@query("dependencies_done", f"""WITH {_TASKS}, s AS (SELECT o_orderkey AS id, unnest([o_custkey, o_custkey + 1, o_custkey + 2]) AS task_id FROM orders)
-SELECT s.id, bool_and(t.status IN ('done', 'failed')) AS all_done, count(*) FILTER (WHERE t.status = 'done') AS n_done, count(*) AS n_tasks FROM s JOIN tasks t ON t.id = s.task_id GROUP BY 1""")
+@query("dependencies_done", f"""WITH {_TASKS}, s AS (SELECT o_orderkey AS id, unnest(CASE o_orderkey % 10 WHEN 0 THEN [NULL] WHEN 1 THEN [-1] ELSE [o_custkey, o_custkey + 1, o_custkey + 2] END) AS task_id FROM orders)
+SELECT s.id, coalesce(bool_and(t.status IN ('done', 'failed')), false) AS all_done, count(*) FILTER (WHERE t.status = 'done') AS n_done, count(t.id) AS n_tasks,
+  CASE WHEN count(t.id) = 0 THEN 'filtered' WHEN bool_and(t.status IN ('done', 'failed')) THEN 'ready' END AS next FROM s LEFT JOIN tasks t ON t.id = s.task_id GROUP BY 1""")
 def dependencies_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "array(o_custkey, o_custkey + 1, o_custkey + 2) AS pending_ids")
+    s = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CASE o_orderkey % 10 WHEN 0 THEN array() WHEN 1 THEN array(-1L) ELSE array(o_custkey, o_custkey + 1, o_custkey + 2) END AS pending_ids")
     return rg.dependencies_done(s, tasks(spark, sf_dir))
 
 

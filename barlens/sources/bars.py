@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,23 +34,42 @@ CRYPTO_PAIRS = (
     "DOTUSD", "LINKUSD", "MATICUSD",
 )
 
-# interval literal and seconds of each timeframe that bars can be built for
-WIDTHS = {
-    "1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "4h": "4 hours",
-    "1d": "1 day",
-}
-SECONDS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "4h": 14400, "1d": 86400}
+UNITS = {"m": ("minutes", 60), "h": ("hours", 3600), "d": ("days", 86400), "w": ("weeks", 604800)}
+#: The first Monday of the epoch, from which weeks are counted.
+MONDAY = 4 * 86400
+
+
+def width_of(timeframe: str) -> tuple[int, str]:
+    """(15, 'm') of '15m', ' 15M ' and the like; anything else is an error."""
+    found = re.fullmatch(r"(\d+)([mhdw])", timeframe.strip().lower())
+    if not found or int(found[1]) == 0:
+        raise ValueError(f"unknown timeframe {timeframe!r}")
+    return int(found[1]), found[2]
+
+
+def interval_of(timeframe: str) -> str:
+    """'15 minutes' of '15m'."""
+    n, unit = width_of(timeframe)
+    return f"{n} {UNITS[unit][0]}"
 
 
 def bucket_start(ts: str, width: str) -> Column:
-    """Start of the bar a time falls into, as a plain timestamp."""
-    step = SECONDS[width]
-    return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / step) * step)
+    """Start of the bar a time falls into, as a plain timestamp; weeks start on Monday."""
+    n, unit = width_of(width)
+    step, origin = n * UNITS[unit][1], MONDAY if unit == "w" else 0
+    return F.timestamp_seconds(F.floor((F.unix_seconds(ts) - origin) / step) * step + origin)
+
+
+def number(name: str) -> Column:
+    """A price or volume as a double; NaN, which Spark orders above all numbers, is a missing value."""
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars partitioned by timeframe and symbol; filters on those prune folders."""
-    return spark.read.schema(BAR_SCHEMA).parquet(path)
+    """Bars partitioned by timeframe and symbol; filters on those prune folders, and NaN is a missing value."""
+    bars = spark.read.schema(BAR_SCHEMA).parquet(path)
+    return bars.select(*[number(f.name).alias(f.name) if f.dataType == T.DoubleType() else f.name for f in BAR_SCHEMA])
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -66,20 +87,21 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def normalise_bars(raw: DataFrame, arrival: str | None = None) -> DataFrame:
-    """Epoch milliseconds to UTC, doubles, missing volume 0, last row of a duplicate wins.
+    """Epoch milliseconds to UTC, doubles, NaN and missing volume 0, last row of a duplicate wins.
 
+    Without ``arrival``, and where arrivals are equal, the larger values win, so one input gives one result.
     A partial aggregation picks the last row, so copies of one bar are reduced
     before the shuffle however many there are.
     """
     values = ["open", "high", "low", "close", "volume"]
     typed = raw.select(
         "symbol", "timeframe", F.timestamp_millis("ts_ms").alias("ts"),
-        *[F.col(c).cast("double").alias(c) for c in values[:-1]],
-        F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"),
+        *[number(c).alias(c) for c in values[:-1]],
+        F.coalesce(number("volume"), F.lit(0.0)).alias("volume"),
         *([F.col(arrival).alias("_arrival")] if arrival else [F.lit(0).alias("_arrival")]),
     )
-    picked = typed.groupBy(*KEYS, "ts").agg(F.max_by(F.struct(*values), "_arrival").alias("_bar"))
-    return picked.select(*KEYS, "ts", "_bar.*")
+    picked = typed.groupBy(*KEYS, "ts").agg(F.max(F.struct("_arrival", F.struct(*values).alias("bar"))).alias("_last"))
+    return picked.select(*KEYS, "ts", "_last.bar.*")
 
 
 def normalise_symbol(symbol: Column, fx: tuple[str, ...] = FX_PAIRS,
@@ -95,8 +117,9 @@ def normalise_symbol(symbol: Column, fx: tuple[str, ...] = FX_PAIRS,
 
 def parse_timeframe(tf: Column) -> Column:
     """'15m' to (15, 'minute'); anything else is an error."""
-    amount = F.regexp_extract(tf, r"^(\d+)([mhdw])$", 1)
-    unit = F.regexp_extract(tf, r"^(\d+)([mhdw])$", 2)
+    plain = F.lower(F.trim(tf))
+    amount = F.regexp_extract(plain, r"^(\d+)([mhdw])$", 1)
+    unit = F.regexp_extract(plain, r"^(\d+)([mhdw])$", 2)
     name = (
         F.when(unit == "m", "minute").when(unit == "h", "hour").when(unit == "d", "day")
         .when(unit == "w", "week")
@@ -105,6 +128,11 @@ def parse_timeframe(tf: Column) -> Column:
     return F.struct(amount.try_cast("int").alias("multiplier"), name.alias("span"))
 
 
+def missing_price() -> Column:
+    """Whether any of the four prices is null or NaN."""
+    return F.greatest(*[(F.col(c).isNull() | F.isnan(c)) for c in ("open", "high", "low", "close")])
+
+
 def validate_bars(bars: DataFrame) -> DataFrame:
     """Counts of faulty rows per series.
 
@@ -115,18 +143,20 @@ def validate_bars(bars: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("high") < F.col("low")).alias("bad_range"),
         F.count_if(F.col("close") <= 0).alias("bad_close"),
+        F.count_if(missing_price()).alias("missing"),
     )
     return per_ts.groupBy(*KEYS).agg(
         F.sum("n").alias("n_rows"),
         F.sum("bad_range").alias("n_high_lt_low"),
         F.sum("bad_close").alias("n_nonpositive_close"),
         F.sum(F.col("n") - 1).alias("n_dup_ts"),
+        F.sum("missing").alias("n_missing_price"),
     )
 
 
 def require_valid(bars: DataFrame) -> DataFrame:
-    """The bars, failing at run time on a row with high < low or a close that is not positive."""
-    ok = (F.col("high") >= F.col("low")) & (F.col("close") > 0)
+    """The bars, failing at run time on a row with high < low, a close that is not positive, or a missing price."""
+    ok = (F.col("high") >= F.col("low")) & (F.col("close") > 0) & ~missing_price()
     return bars.withColumn(
         "close", F.when(ok, F.col("close")).otherwise(F.raise_error(F.lit("faulty bar")).cast("double"))
     )
@@ -142,14 +172,15 @@ def date_chunks(ranges: DataFrame, days: int) -> DataFrame:
 
 def bars_from_ticks(ticks: DataFrame, *, symbol: Column, ts: Column, price: Column, size: Column,
                     width: str, tie: list[Column] | None = None) -> DataFrame:
-    """Aggregate ticks into bars of ``width`` (a key of ``WIDTHS``).
+    """Aggregate ticks into bars of ``width`` ('5m', '2h', '1w' …).
 
     Map-side combined; a busy symbol or bucket sends one row per task.
     """
     t = ticks.select(
-        symbol.alias("symbol"), ts.cast("timestamp").alias("_t"), price.cast("double").alias("_p"),
-        size.cast("double").alias("_s"), *[c.alias(f"_tie{i}") for i, c in enumerate(tie or [])],
+        symbol.alias("symbol"), ts.cast("timestamp").alias("_t"), F.nanvl(price.cast("double"), F.lit(None)).alias("_p"),
+        F.nanvl(size.cast("double"), F.lit(None)).alias("_s"), *[c.alias(f"_tie{i}") for i, c in enumerate(tie or [])],
     )
+    t = t.where("_p IS NOT NULL")  # a tick without price, null or NaN, makes no bar
     # a plain timestamp keeps the aggregation in hash maps; a struct makes Spark sort
     order = F.struct("_t", *[f"_tie{i}" for i in range(len(tie))]) if tie else F.col("_t")
     return (
@@ -158,20 +189,22 @@ def bars_from_ticks(ticks: DataFrame, *, symbol: Column, ts: Column, price: Colu
             F.min_by("_p", order).alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
             F.max_by("_p", order).alias("close"), F.sum("_s").alias("volume"),
         )
-        .select("symbol", F.lit(width).alias("timeframe"), "ts",
+        .select("symbol", F.lit(width.strip().lower()).alias("timeframe"), "ts",
                 "open", "high", "low", "close", "volume")
     )
 
 
 def resample_bars(bars: DataFrame, to: str) -> DataFrame:
-    """Bars of a coarser timeframe."""
+    """Bars of a coarser timeframe; bars of several timeframes in one symbol are an error, choose one before."""
+    mixed = F.raise_error(F.concat(F.lit("several timeframes of "), F.coalesce("symbol", F.lit("null")))).cast("string")
     return (
         bars.groupBy("symbol", bucket_start("ts", to).alias("_at"))
         .agg(
+            F.min("timeframe").alias("_least"), F.max("timeframe").alias("_most"),
             F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
             F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),
         )
-        .select("symbol", F.lit(to).alias("timeframe"), F.col("_at").alias("ts"),
+        .select("symbol", F.when(F.col("_least") < F.col("_most"), mixed).otherwise(F.lit(to.strip().lower())).alias("timeframe"), F.col("_at").alias("ts"),
                 "open", "high", "low", "close", "volume")
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barlens.operators.registry import upsert_path
 from barlens.session import scratch_dir
-from barlens.sources.bars import WIDTHS
+from barlens.sources.bars import interval_of
 
 
 def tick_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -29,7 +29,7 @@ def tick_stream(spark: SparkSession, folder: str, name: str, schema, files_per_t
 def candles(ticks: DataFrame, *, width: str, delay: str) -> DataFrame:
     """Bars of (symbol, ts, price, size) ticks; a bar is final when the watermark passes its end."""
     return (
-        ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", WIDTHS[width]).alias("w"))
+        ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", interval_of(width)).alias("w"))
         .agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
              F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume"))
         .select("symbol", F.lit(width).alias("timeframe"), F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
