@@ -198,7 +198,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
         leaf = RATE * np.bincount(node - inner, g, 2 ** DEPTH) / (np.bincount(node - inner, h, 2 ** DEPTH) + RIDGE)
         raw += leaf[node - inner]
         trees.append((feature, threshold, leaf))
-    return Boosted(start, *(np.array([t[i] for t in trees]).reshape(len(trees), -1) for i in range(3)))
+    return Boosted(start, *(np.array([t[i] for t in trees]).reshape(len(trees), width) for i, width in enumerate((inner, inner, inner + 1))))
 
 
 @dataclass
