@@ -113,11 +113,12 @@ def bootstrap_ci(trades: DataFrame, by: Sequence[str], key: Sequence[str], n: in
 
 def block_bootstrap(trades: DataFrame, by: Sequence[str], order: Sequence[str], block: int = 20, n: int = 1000, seed: int = 42,
                     level: float = 0.95) -> DataFrame:
-    """As ``bootstrap_ci`` but drawing runs of ``block`` consecutive trades; needs three blocks."""
+    """As ``bootstrap_ci`` but drawing runs of ``block`` consecutive trades; below three blocks single trades are drawn."""
     by = list(by)
     numbered = number_rows(trades, by, F.floor(F.unix_seconds(order[0]) / 86400), list(order), "rn", "_total")
     x = F.col("pnl")
-    blocks = numbered.where(F.col("_total") >= 3 * block).groupBy(*by, F.floor(F.col("rn") / block).alias("blk")).agg(
+    place = F.when(F.col("_total") >= 3 * block, F.floor(F.col("rn") / block)).otherwise(F.col("rn"))
+    blocks = numbered.groupBy(*by, place.alias("blk")).agg(
         F.count(x).alias("c"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
     reps = replicates(blocks, n, seed, [*by, "blk"]).withColumn("w", poisson_weight(F.col("u")))
     sums = reps.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in ("c", "s", "ss")]).where("_c > 1")

@@ -42,7 +42,8 @@ def best_symbol_timeframe(metrics: DataFrame, *, by: Sequence[str], min_trades:
     """One (symbol, timeframe) per strategy with the reason when the strategy is rejected.
 
     Enough trades: highest Sharpe; otherwise most trades.  Rejected when nothing
-    trades or every Sharpe with enough trades lies below ``floor``.
+    trades, or when the best Sharpe of all runs lies below ``floor``; a run without
+    trades counts with its own Sharpe, 0 if it has none.
     """
     enough = F.col("trades") >= min_trades
     w = Window.partitionBy(*by).orderBy(
@@ -50,7 +51,7 @@ def best_symbol_timeframe(metrics: DataFrame, *, by: Sequence[str], min_trades:
     groups = Window.partitionBy(*by)
     marked = metrics.select(
         "*", F.row_number().over(w).alias("_rank"), F.sum("trades").over(groups).alias("_trades"),
-        F.max(F.when(F.col("trades") > 0, F.col("sharpe"))).over(groups).alias("_best"))
+        F.max(F.coalesce("sharpe", F.when(F.col("trades") == 0, 0.0))).over(groups).alias("_best"))
     reason = F.when(F.col("_trades") == 0, "zero_trades").when(F.col("_best") < floor, "unprofitable")
     return marked.where("_rank = 1").select(*by, "symbol", "timeframe", "trades", "sharpe", reason.alias("reject_reason"))
 

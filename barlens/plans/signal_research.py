@@ -173,7 +173,8 @@ def signals_trend_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- forward statistics ---------------------------------------------------------
 
-_SWEPT = [s for s in SPECS if s.indicator in ("RSI", "MACD", "EMA_cross", "BBANDS")]
+# all but the state machines, whose SQL is recursive and stands in signals_trend_flips
+_SWEPT = [s for s in SPECS if s not in FLIPS]
 _STAT_SQL = f"""WITH {_signals_ctes(_SWEPT)},
 rp AS (SELECT *, unnest(CASE WHEN with_trend THEN [false, true] ELSE [false] END) AS regime_filter FROM sigs),
 fr AS ({' UNION ALL '.join(f"SELECT spec_id, regime_filter, symbol, timeframe, CAST({h} AS INTEGER) AS horizon, signal, fwd{h} * signal AS ret FROM rp WHERE fwd{h} IS NOT NULL" for h in (5, 10, 20, 50))}),
@@ -186,7 +187,7 @@ stats AS (SELECT spec_id, regime_filter, symbol, timeframe, horizon, side, n, CA
 
 
 def swept_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sig.with_regime_param(sig.signals_long(bars_1h(spark, sf_dir), _SWEPT, horizons=(5, 10, 20, 50)))
+    found = sig.with_regime_param(sig.signals_long(bars_1h(spark, sf_dir), _SWEPT, horizons=(5, 10, 20, 50), round_step=STEP))
     return fwd.signal_stats(found, keys=["spec_id", "regime_filter", *KEYS])
 
 

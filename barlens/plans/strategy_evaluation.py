@@ -275,7 +275,7 @@ def _symtf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("best_symbol_timeframe", f"""WITH {_SYMTF}, k AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY CASE WHEN trades >= 10 THEN 0 ELSE 1 END, CASE WHEN trades >= 10 THEN sharpe END DESC NULLS LAST, trades DESC, symbol, timeframe) AS r,
-  sum(trades) OVER (PARTITION BY strategy_id) AS tt, max(sharpe) OVER (PARTITION BY strategy_id) AS best FROM mt)
+  sum(trades) OVER (PARTITION BY strategy_id) AS tt, max(CASE WHEN sharpe IS NULL AND trades = 0 THEN 0.0 ELSE sharpe END) OVER (PARTITION BY strategy_id) AS best FROM mt)
 SELECT strategy_id, symbol, timeframe, trades, sharpe + 0.0 AS sharpe, CASE WHEN tt = 0 THEN 'zero_trades' WHEN best < -1.0 THEN 'unprofitable' END AS reject_reason FROM k WHERE r = 1""")
 def best_symbol_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.best_symbol_timeframe(_symtf(spark, sf_dir), by=BY)
@@ -338,7 +338,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("block_bootstrap", f"""WITH {ORDERS}, nr AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY entry_ts, trade_id) - 1 AS rn, count(*) OVER (PARTITION BY strategy_id) AS nn FROM trades),
-b AS (SELECT strategy_id, rn // 20 AS blk, count(*) AS c, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM nr WHERE nn >= 60 GROUP BY 1, 2),
+b AS (SELECT strategy_id, CASE WHEN nn >= 60 THEN rn // 20 ELSE rn END AS blk, count(*) AS c, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM nr GROUP BY 1, 2),
 u AS (SELECT b.*, rep, {_frac('42', 'rep', 'strategy_id', 'blk')} AS u FROM b, range(1, {REPS + 1}) q(rep)), w AS (SELECT *, {_poisson('u')} AS w FROM u),
 reps AS (SELECT strategy_id, rep, {_SHARPE.format(n='sum(w * c)', s='sum(w * s)', ss='sum(w * ss)')} AS stat FROM w WHERE w > 0 GROUP BY 1, 2 HAVING sum(w * c) > 1) {_CI}""")
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
