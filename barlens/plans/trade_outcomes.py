@@ -154,8 +154,8 @@ def scale_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RSI_ENTRY = f"""WITH {BARS_1D}, {RN}, {DIFFS},
 em AS (SELECT *, 100 - 100 / (1 + {ewm_sql('gain', '1.0/14', 1)} / nullif({ewm_sql('loss', '1.0/14', 1)}, 0)) AS rsi, {ewm_sql('tr', '1.0/14')} AS atr14 FROM tr),
-sg AS (SELECT *, CASE WHEN rsi > 45 AND lag(rsi) OVER {W_SQL} <= 45 THEN 1 WHEN rsi < 55 AND lag(rsi) OVER {W_SQL} >= 55 THEN -1 ELSE 0 END AS signal,
-  coalesce(atr14 > 1.1 * {roll_sql('avg(atr14)', 20, x='atr14')}, false) AS high_vol FROM em)"""
+sg AS (SELECT *, CASE WHEN rsi > 30 AND lag(rsi) OVER {W_SQL} <= 30 THEN 1 WHEN rsi < 70 AND lag(rsi) OVER {W_SQL} >= 70 THEN -1 ELSE 0 END AS signal,
+  coalesce(atr14 > 1.5 * {roll_sql('avg(atr14)', 20, x='atr14')}, false) AS high_vol FROM em)"""
 
 
 @query("volatility_regime_exit", f"""{_RSI_ENTRY}, {_path_sql(N, 'CASE WHEN high_vol THEN 3.0 ELSE 1.0 END * atr14')},
@@ -165,9 +165,7 @@ xs AS (SELECT *, s IS NOT NULL AND s <= coalesce(t, s) AS stopped, CASE WHEN s I
 j AS (SELECT tr8.*, high_vol FROM tr8 JOIN sg USING (symbol, ts)) """ + _rule_stats_sql("high_vol", "j"))
 def volatility_regime_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop and target by volatility regime of the entry bar."""
-    from barlens.operators.blocks import rolling_sql, sql_columns
-    regime = sql_columns(["atr14"], {"high_vol": f"coalesce(atr14 > 1.1D * {rolling_sql('avg(atr14)', 'atr14', 20)}, false)"}, before=20)
-    paths = oc.forward_paths(bars_1d(spark, sf_dir), [*oc.rsi_entry(14, 45, 55), regime], N, keep=("atr14", "high_vol"))
+    paths = oc.forward_paths(bars_1d(spark, sf_dir), [*oc.rsi_entry(14, 30, 70), *oc.regime_columns()], N, keep=("atr14", "high_vol"))
     t = oc.barrier_outcomes(paths, stop="IF(high_vol, 3D, 1D) * atr14", target_r="IF(high_vol, 1D, 1.5D)", keep=["high_vol"])
     return _rule_stats(t, "high_vol")
 
