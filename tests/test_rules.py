@@ -266,3 +266,74 @@ def test_symbols_and_timeframes(spark):
     tf = spark.createDataFrame([("15m",), ("1x",)], "tf string").select(src.parse_timeframe(F.col("tf")).alias("p"))
     with pytest.raises(Exception, match="unknown timeframe"):
         tf.collect()
+
+
+def test_session_hours_are_inclusive_of_their_last_hour(spark):
+    df = cnd.conditions_wide(closes(spark, range(1, 25)), ["session_asian", "session_london", "session_overlap", "session_ny"])
+    hours = {c: [r.ts.hour for r in df.where(c).orderBy("ts").collect()] for c in ("session_asian", "session_london", "session_overlap", "session_ny")}
+    assert hours == {"session_asian": list(range(7)), "session_london": list(range(7, 13)), "session_overlap": list(range(13, 17)), "session_ny": list(range(13, 22))}
+
+
+def test_widths_of_any_kind(spark):
+    assert src.width_of(" 2H ") == (2, "h") and src.interval_of("1w") == "1 weeks"
+    for bad in ("1mo", "h", "0m", "", "1x"):
+        with pytest.raises(ValueError, match="unknown timeframe"):
+            src.width_of(bad)
+    bars = closes(spark, range(1, 24 * 15 + 1))  # 2024-01-01 is a Monday
+    weeks = src.resample_bars(bars, "1W").orderBy("ts").collect()
+    assert [str(w.ts.date()) for w in weeks] == ["2024-01-01", "2024-01-08", "2024-01-15"] and {w.timeframe for w in weeks} == {"1w"}
+    assert src.resample_bars(bars, "30m").count() == bars.count() and src.resample_bars(bars, "2h").count() == bars.count() // 2
+    with pytest.raises(Exception, match="several timeframes"):
+        src.resample_bars(bars.union(bars.withColumn("timeframe", F.lit("1d"))), "1d").collect()
+
+
+def test_rows_of_an_unknown_timeframe_are_an_error_and_never_lost(spark):
+    bars = closes(spark, [1.0, 2.0, 3.0])
+    assert compute(bars.withColumn("timeframe", F.lit(" 1H")), [ind.sma("s", "close", 2)]).count() == 3
+    with pytest.raises(Exception, match="unknown timeframe"):
+        compute(bars.withColumn("timeframe", F.lit("1mo")), [ind.sma("s", "close", 2)]).collect()
+
+
+def test_nan_is_a_missing_value(spark):
+    raw = spark.createDataFrame([("X", "1h", 0, 1.0, 2.0, 0.5, float("nan"), float("nan"))], "symbol string, timeframe string, ts_ms long, open double, high double, low double, close double, volume double")
+    row = src.normalise_bars(raw).first()
+    assert row.close is None and row.volume == 0.0
+    assert src.validate_bars(raw.withColumn("ts", F.timestamp_millis("ts_ms"))).first().n_missing_price == 1
+    with pytest.raises(Exception, match="faulty bar"):
+        src.require_valid(raw).collect()
+    ticks = spark.createDataFrame([("X", 0, 1.0), ("X", 1, float("nan")), ("X", 2, None), ("X", 3, 2.0)], "s string, t long, p double")
+    bar = src.bars_from_ticks(ticks, symbol=F.col("s"), ts=F.timestamp_seconds("t"), price=F.col("p"), size=F.lit(1.0), width="1h").first()
+    assert (bar.open, bar.high, bar.close, bar.volume) == (1.0, 2.0, 2.0, 2.0)
+
+
+def test_duplicates_without_arrival_have_one_result(spark):
+    rows = [("X", "1h", 0, 1.0, 2.0, 0.5, float(c), 1.0) for c in (1, 3, 2)]
+    raw = spark.createDataFrame(rows, "symbol string, timeframe string, ts_ms long, open double, high double, low double, close double, volume double")
+    assert [src.normalise_bars(raw.orderBy(F.rand(s))).first().close for s in range(4)] == [3.0] * 4
+
+
+def test_every_strategy_is_answered_about_its_dependencies(spark):
+    s = spark.createDataFrame([(1, [10]), (2, []), (3, None), (4, [99]), (5, [10, 11]), (6, [12, 99])], "id int, pending_ids array<int>")
+    t = spark.createDataFrame([(10, "done"), (11, "running"), (12, "failed")], "id int, status string")
+    assert {r.id: r.next for r in rg.dependencies_done(s, t).collect()} == {1: "ready", 2: "filtered", 3: "filtered", 4: "filtered", 5: None, 6: "ready"}
+
+
+def test_missing_times_and_counts_are_stale_and_retried(spark):
+    t = spark.createDataFrame([(1, "running", None, 0), (2, "failed", None, None), (3, "failed", None, 3), (4, "live", None, 0)], "id int, status string, updated_at timestamp, retry_count int")
+    got = {r.id: r.new for r in rg.transitions(t, rg.stale_rules("2024-01-01 00:00:00"), key="id").collect()}
+    assert got == {1: "failed", 2: "pending"}
+
+
+def test_a_cluster_must_name_its_scratch_folder():
+    from barlens.session import scratch_dir
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session())
