@@ -7,6 +7,8 @@ into a map-side combined aggregation; only sums per replicate are shuffled.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +18,10 @@ from barlens.functions.core import KEYS, profit_factor, sd_from_sums, sharpe_per
 from barlens.operators.blocks import SLICE_BARS, timeframe_seconds
 from barlens.operators.numbering import cumulative, number_rows
 
-# fixed values: cumulative Poisson(1) probabilities; weights above 7 have probability 1e-6
-POISSON_STEPS = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
+# cumulative Poisson(1) probabilities; a weight above 12 is less likely than the 2**-32 that a draw can tell apart
+POISSON_STEPS = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
+#: Signs that one digest gives: 15 hexadecimal digits fit a long.
+SIGNS = 60
 
 
 def poisson_weight(u: Column) -> Column:
@@ -81,12 +85,20 @@ def order_invariant_check(trades: DataFrame, by: Sequence[str], n: int = 1000) -
 
 
 def sign_flip_test(trades: DataFrame, by: Sequence[str], key: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """Null of a symmetric outcome: each trade keeps or flips its sign."""
-    slim = trades.select(*by, *[k for k in key if k not in by], "pnl")
-    reps = replicates(slim, n, seed, key).withColumn("x", F.when(F.col("u") < 0.5, -F.col("pnl")).otherwise(F.col("pnl")))
-    x = F.col("x")
-    sums = reps.groupBy(*by, "rep").agg(F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_ss"))
-    return _test(sums.select(*by, _stat(F.col("_n"), F.col("_s"), F.col("_ss")).alias("stat")), _actual(trades, by), by)
+    """Null of a symmetric outcome: each trade keeps or flips its sign.
+
+    A sign needs one bit, so one md5 of (seed, group of replicates, row key) serves sixty
+    replicates, whose sums are columns of one map-side combined aggregation.  The number of trades and
+    the sum of squares are the same in all replicates.
+    """
+    pnl = F.col("pnl")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_g").cast("string"), *[F.col(k).cast("string") for k in key]))
+    drawn = trades.select(*by, *[k for k in key if k not in by], "pnl", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // SIGNS))).alias("_g")) \
+        .select(*by, "pnl", "_g", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_h"))
+    sums = drawn.groupBy(*by, "_g").agg(
+        F.count(pnl).alias("_n"), F.sum(pnl * pnl).alias("_ss"), *[F.sum(F.when(F.getbit("_h", F.lit(k)) == 1, -pnl).otherwise(pnl)).alias(f"_s{k}") for k in range(SIGNS)])
+    reps = sums.select(*by, "_n", "_ss", "_g", F.posexplode(F.array(*[f"_s{k}" for k in range(SIGNS)])).alias("_k", "_s")).where(F.col("_g") * SIGNS + F.col("_k") < n)
+    return _test(reps.select(*by, _stat(F.col("_n"), F.col("_s"), F.col("_ss")).alias("stat")), _actual(trades, by), by)
 
 
 def _interval(stats: DataFrame, by: Sequence[str], level: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -308,10 +310,10 @@ def _test_out(t: DataFrame) -> DataFrame:
     return t.select("strategy_id", "n", *[r(c, 5).alias(c) for c in ("actual", "null_mean", "null_std", "null_p95")], r("p_value").alias("p_value"), r("z", 4).alias("z"))
 
 
-@query("sign_flip_test", f"""WITH {ORDERS}, {_ACT}, f AS (SELECT strategy_id, rep, pnl * CASE WHEN {_frac('42', 'rep', 'trade_id')} < 0.5 THEN -1 ELSE 1 END AS x FROM trades, range(1, {REPS + 1}) q(rep)),
+@query("sign_flip_test", f"""WITH {ORDERS}, {_ACT}, f AS (SELECT strategy_id, rep, pnl * CASE WHEN (CAST('0x' || substr(md5(concat_ws(':', '42', (rep - 1) // 60, trade_id)), 1, 15) AS BIGINT) >> CAST((rep - 1) % 60 AS INTEGER)) & 1 = 1 THEN -1 ELSE 1 END AS x FROM trades, range(1, 1001) q(rep)),
 reps AS (SELECT strategy_id, rep, {_SHARPE.format(n='count(*)', s='sum(x)', ss='sum(x * x)')} AS stat FROM f GROUP BY 1, 2) {_TEST}""")
 def sign_flip_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _test_out(rs.sign_flip_test(orders_ledger(spark, sf_dir), BY, ["trade_id"], REPS))
+    return _test_out(rs.sign_flip_test(orders_ledger(spark, sf_dir), BY, ["trade_id"], 1000))
 
 
 @query("order_invariant_check", f"""WITH {ORDERS}, {_ACT}, reps AS (SELECT strategy_id, rep, {_SHARPE.format(n='count(*)', s='sum(pnl)', ss='sum(pnl * pnl)')} AS stat FROM trades, range(1, {REPS + 1}) q(rep) GROUP BY 1, 2) {_TEST}""")
@@ -320,7 +322,13 @@ def order_invariant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _poisson(u: str) -> str:
-    return "CASE " + " ".join(f"WHEN {u} < {p} THEN {k}.0" for k, p in enumerate(rs.POISSON_STEPS)) + f" ELSE {len(rs.POISSON_STEPS)}.0 END"
+    """Smallest k whose Poisson(1) distribution function exceeds u: exp(-1) times the sum of the first inverse factorials."""
+    steps, total, inverse = [], 0.0, math.exp(-1)
+    for k in range(13):
+        inverse = inverse / max(k, 1)
+        total += inverse
+        steps.append(f"WHEN {u} < {total!r} THEN {k}.0")
+    return f"CASE {' '.join(steps)} ELSE 13.0 END"
 
 
 _CI = """SELECT strategy_id, count(stat) AS replicates, round(avg(stat), 5) + 0.0 AS boot_mean, round(stddev_samp(stat), 5) AS boot_std, round(quantile_cont(stat, 0.025), 5) + 0.0 AS ci_low,
