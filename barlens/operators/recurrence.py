@@ -7,6 +7,10 @@ double, so the value is the chunk's own sum plus the decayed end of the previous
 chunk.  Averages share a chunk length as long as their weights stay far from the
 limits of a double; chunk lengths are powers of two and nest, hence all averages
 of a step share one sort order.
+
+A missing value leaves an average as it is: decay counts the values that are there, not
+the rows.  A chunk's values are taken to outweigh all before the chunk in front of it, so
+where more than half of a chunk is missing, older values may be off by exp(-20) of their size.
 """
 
 from __future__ import annotations
@@ -53,7 +57,7 @@ def warm_up(alpha: float) -> int:
 
 
 def ewm(averages: Sequence[tuple[str, str, float]]) -> Step:
-    """Step adding ``(out, input column, alpha)`` averages; inputs are null only at the start."""
+    """Step adding ``(out, input column, alpha)`` averages; a null input carries the average on."""
     scans = [a for a in averages if a[2] < 1]
     copies = [a for a in averages if a[2] >= 1]
     bits_of = _chunk_bits([a for _, _, a in scans])
@@ -70,22 +74,25 @@ def ewm(averages: Sequence[tuple[str, str, float]]) -> Step:
         df = df.selectExpr("*", f"row_number() OVER ({FRAME_SQL}) - 1 AS _k",
                            *[f"count({x}) OVER ({FRAME_SQL} {up_to_now}) AS _seen_{x}" for x in xs])
         df = df.selectExpr("*", *[f"shiftright(_k, {b}) AS _c{b}" for b in bits])
-        local, carry, final = [], [], []
+        before, local, carry, final = [], [], [], []
         for out, x, a in scans:
             b, d = bits_of[a], _decay(a)
             cut = chunks.index(f"_c{b}") + 1
             chunk = f"PARTITION BY {', '.join([keys, *chunks[:cut]])} ORDER BY {', '.join([*chunks[cut:], 'ts'])}"
-            pos = f"(_k & {(1 << b) - 1})"
+            end = f"(_k & {(1 << b) - 1}) = {(1 << b) - 1}"
+            # values in front of the chunk, and how many of the chunk's own came before this row's
+            before.append(f"first(_seen_{x} - CASE WHEN {x} IS NULL THEN 0 ELSE 1 END) OVER ({chunk} {up_to_now}) AS _b_{out}")
+            pos = f"(_seen_{x} - _b_{out} - 1)"
             weight = f"CASE WHEN _seen_{x} = 1 THEN 1D ELSE {a!r}D END"
             term = f"coalesce({x} * {weight}, 0D) * exp({pos} * {d!r}D)"
             local.append(f"sum({term}) OVER ({chunk} {up_to_now}) * exp(-{pos} * {d!r}D) AS _l_{out}")
-            carry.append(f"last(CASE WHEN {pos} = {(1 << b) - 1} THEN _l_{out} END, true) "
+            carry.append(f"last(CASE WHEN {end} AND _seen_{x} > _b_{out} THEN _l_{out} END, true) "
                          f"OVER ({whole} {up_to_last}) AS _e_{out}")
             final.append(f"CASE WHEN _seen_{x} > 0 THEN _l_{out} + "
                          f"coalesce(_e_{out} * exp(-({pos} + 1) * {d!r}D), 0D) END AS {out}")
         kept = df.columns[: -(1 + len(bits) + len(xs))]
-        final += [f"{x} AS {out}" for out, x, _ in copies]
-        return df.selectExpr("*", *local).selectExpr("*", *carry).selectExpr(*kept, *final)
+        final += [f"last({x}, true) OVER ({FRAME_SQL} {up_to_now}) AS {out}" for out, x, _ in copies]
+        return df.selectExpr("*", *before).selectExpr("*", *local).selectExpr("*", *carry).selectExpr(*kept, *final)
 
     return Step(
         tuple({x for _, x, _ in averages}), tuple(o for o, _, _ in averages), fn,

@@ -21,6 +21,26 @@ def ordered(df):
     return df.toPandas().sort_values(["symbol", "ts"], ignore_index=True)
 
 
+def test_missing_values_carry_an_average_on(spark):
+    """Over several chunks and blocks, beside pandas over the values that are there."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(9)
+    x = 100 + np.cumsum(rng.normal(0, 1, 1500))
+    x[rng.random(1500) < 0.2] = np.nan
+    x[:3] = np.nan
+    x[700:720] = np.nan
+    ts = pd.date_range("2024-01-01", periods=1500, freq="h")
+    pdf = pd.DataFrame({"symbol": "X", "timeframe": "1h", "ts": ts, "close": [None if v != v else v for v in x], "flat": [None if v != v else 100.0 for v in x]})
+    bars = spark.createDataFrame(pdf, "symbol string, timeframe string, ts timestamp, close double, flat double").withColumns(
+        {c: F.when(~F.isnan(c), F.col(c)) for c in ("close", "flat")})
+    step = [ewm([("a", "close", span_alpha(5)), ("b", "close", wilder_alpha(14)), ("f", "flat", span_alpha(20))])]
+    got = compute(bars, step, block_rows=400, slice_bars=50).orderBy("ts").toPandas()
+    for name, a in (("a", span_alpha(5)), ("b", wilder_alpha(14))):
+        np.testing.assert_allclose(got[name], pd.Series(x).ewm(alpha=a, adjust=False, ignore_na=True).mean(), rtol=1e-9)
+    assert got["f"].isna().sum() == 3 and np.allclose(got["f"].dropna(), 100.0)
+
+
 def test_every_row_is_owned_once_and_sees_its_reach(walk):
     pdf, bars = walk
     b = blocked(bars, before=37, after=11, **SMALL).toPandas()
