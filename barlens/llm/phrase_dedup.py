@@ -2,7 +2,7 @@
 
 Windows of 13 words that more than one document has are confirmed on the words themselves,
 compiled into Aho-Corasick automata, one per share of routes, over an alphabet in which
-every word is one symbol, and every document's snippets stream through the automaton of
+every word is a pair of symbols, and every document's snippets stream through the automaton of
 their route, which locates each occurrence.  An automaton is as large as a share of
 snippets, whatever the corpus.
 """
@@ -10,6 +10,7 @@ snippets, whatever the corpus.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,32 +19,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.llm.arrays import cover
-from barlens.llm.frames import map_batches, stored, text_of
+from barlens.llm.frames import map_batches, text_of
 from barlens.llm.recurring import Units, keyed, owned_runs, removed_windows
 
 WINDOW, GRAM = 13, 5
 WORDS = Units(words=True, window=WINDOW, gram=GRAM)
 
 
+#: Symbols of each of the three places of a word.  Nodes look for a child one by one, so the alphabet is small;
+#: the places have symbols of their own, so no match starts or ends inside a word.
+BASE, PLACES = 192, 2
+
+
 def symbols() -> Iterator[str]:
-    """Characters that stand for words, without the surrogates."""
-    yield from map(chr, range(1, 0xD800))
-    yield from map(chr, range(0xE000, 0x110000))
+    """Pairs of symbols that stand for words; the second comes from as many as are needed."""
+    for n in itertools.count():
+        yield chr(n % BASE + 1) + chr(n // BASE + BASE + 1)
 
 
 def phrases(rows: pa.Table, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Confirmed recurring windows of the snippets, located by the automaton."""
+    """Confirmed recurring windows of the snippets, located by the automaton.
+
+    A phrase is a window, or the whole snippet where its route has no other: then all its
+    windows are in the same documents.
+    """
     import ahocorasick
 
     lo, hi = (np.asarray(rows.column(c)).tolist() for c in ("lo", "hi"))
-    fresh = symbols()
+    _, at, size = np.unique(np.asarray(rows.column("route")), return_inverse=True, return_counts=True)
+    alone = (size[at] == 1).tolist()
+    fresh, width = symbols(), window * PLACES
     symbol: dict[bytes, str] = {}
     lines, owner = [], {}
-    for text, a, b in zip(rows.column("snippet").to_pylist(), lo, hi):
+    for text, a, b, single in zip(rows.column("snippet").to_pylist(), lo, hi, alone):
         line = "".join([symbol.get(w) or symbol.setdefault(w, next(fresh)) for w in text.split()])
         lines.append(line)
-        for i in range(len(line) - window + 1):
-            phrase = line[i: i + window]
+        if single:
+            if a < b:
+                owner[line] = (a, b)
+            continue
+        for i in range(0, len(line) - width + 1, PLACES):
+            phrase = line[i: i + width]
             known = owner.get(phrase)
             if known is None:
                 owner[phrase] = (a, b)
@@ -52,13 +68,17 @@ def phrases(rows: pa.Table, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     automaton = ahocorasick.Automaton()
     for phrase, (a, b) in owner.items():
         if a < b:  # confirmed: two documents have these words
-            automaton.add_word(phrase, a)
+            automaton.add_word(phrase, (a, len(phrase) // PLACES))
     if not len(automaton):
         return (np.zeros(0, np.int64),) * 4
     automaton.make_automaton()
-    found = [(k, end, a) for k, line in enumerate(lines) for end, a in automaton.iter(line)]
-    snippet, end, first_doc = (np.array(x, np.int64) for x in zip(*found))
-    return owned_runs(first_doc, snippet, end - window + 1)
+    found = [(k, end, a, n) for k, line in enumerate(lines) for end, (a, n) in automaton.iter(line)]
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    snippet, end, first_doc, length = (np.array(x, np.int64) for x in zip(*found))
+    first, many = (end + 1) // PLACES - length, length - window + 1
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return owned_runs(np.repeat(first_doc, many), np.repeat(snippet, many), np.repeat(first, many) + step)
 
 
 def drop_repeated_phrases(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -71,14 +91,14 @@ def drop_repeated_phrases(docs: DataFrame, keep_text: bool = False) -> DataFrame
     empty table gives an empty result.
     """
     whole = keyed(docs)
-    gone = stored(removed_windows(whole, WORDS, phrases, "op8", by_range=False), "op8-gone")
+    gone = removed_windows(whole, WORDS, phrases, "op8", by_range=False)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, digest, kept = [], [], [], []
         for text, starts, counts in zip(batch.column(1), batch.column(2), batch.column(3)):
             words = (text.as_py() or "").encode().split()
             left = words
-            if starts.is_valid:
+            if starts.is_valid and len(words) >= WINDOW:
                 lost = cover(np.asarray(starts.values).astype(np.int64), np.asarray(counts.values).astype(np.int64) + WINDOW - 1, len(words))
                 left = [w for w, x in zip(words, lost.tolist()) if not x]
             joined = b" ".join(left)
