@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.session import materialise
+from barlens.session import scratch_dir
 
+#: Whether shuffle files are removed at the end of each execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch; bounds what a Python worker holds at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,18 +39,32 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder, read it back, and let go of the shuffle files behind it.
+    """Write ``df`` to the shared folder and read it back; the shuffle files behind it go when it is written.
 
-    The driver drops a shuffle's files once the objects that stand for it are collected;
-    without a collection they would stay on the executors' disks until the query ends.
+    What was written is read from now on, so nothing needs them, and left alone they would fill
+    the executors' disks until the query ends.
     """
-    out = materialise(df, label)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove stored tables that no later step reads."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -2,7 +2,8 @@
 
 Every window has an anchor, its smallest gram.  Equal windows have equal anchors at equal
 places, so a window recurs only if its anchor's gram does.  Grams at anchors are a small
-part of all positions; those that only one document has are dropped first.  Around each
+part of all positions; those that only one text has are dropped first.  Documents whose
+whole text a smaller document has need no search: every window of theirs recurs.  Around each
 remaining anchor the snippet that holds its windows is routed by the gram: all equal
 windows of the corpus meet in one route.  A gram with very many occurrences is routed
 window by window instead, so that a route never has more than a bounded number of
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.llm.arrays import BYTE_CODES, U64, anchors, chunks, grams, word_bounds, word_hashes
-from barlens.llm.frames import map_batches, stored, text_of
+from barlens.llm.frames import map_batches, release, stored, text_of
 
 #: A gram in more places than this is routed window by window.
 HOT = 20_000
+#: Windows of a run that takes the whole text.
+ALL = 1 << 30
 #: Distinct snippets of one task's share, about.
-SHARE = 60_000
+SHARE = 10_000
 
 
 @dataclass(frozen=True)
@@ -67,12 +70,12 @@ def _distinct_anchors(units: Units, data: np.ndarray, offsets: np.ndarray) -> tu
 
 
 def recurring_grams(docs: DataFrame, units: Units) -> DataFrame:
-    """gram and hot of anchors that at least two documents have."""
+    """gram and hot of anchors that at least two different texts have."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = np.asarray(batch.column(0))
+        prints = np.asarray(batch.column(0))
         for lo, hi, data, offsets in chunks(batch.column(1)):
             text, hashes = _distinct_anchors(units, data, offsets)
-            doc = ids[lo:hi][text]
+            doc = prints[lo:hi][text]
             order = np.argsort(hashes, kind="stable")
             hashes, doc = hashes[order], doc[order]
             start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)])
@@ -81,7 +84,7 @@ def recurring_grams(docs: DataFrame, units: Units) -> DataFrame:
                     [pa.array(hashes[start].view(np.int64)), pa.array(np.minimum.reduceat(doc, start)), pa.array(np.maximum.reduceat(doc, start)),
                      pa.array(np.diff(np.concatenate((start, [len(hashes)]))).astype(np.int32))], ["gram", "lo", "hi", "n"])
 
-    return map_batches(docs.select("doc", "text"), run, "gram long, lo long, hi long, n int").groupBy("gram") \
+    return map_batches(docs.select("fp", "text"), run, "gram long, lo long, hi long, n int").groupBy("gram") \
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("gram", (F.col("n") > HOT).alias("hot"))
 
 
@@ -149,9 +152,6 @@ def snippets(docs: DataFrame, hits: DataFrame, units: Units) -> DataFrame:
     return map_batches(with_hits, run, SNIPPETS)
 
 
-Shard = Callable[[list[int], list[bytes], list[int], np.ndarray, np.ndarray], Iterator[tuple[int, int, int, int]]]
-
-
 def in_shares(find: Callable, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs ``find`` over whole routes, about ``share`` snippets at a time; rows arrive in the order of routes."""
     def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +196,8 @@ def owned_runs(owner: np.ndarray, snippet: np.ndarray, at: np.ndarray) -> tuple[
 def removed_windows(docs: DataFrame, units: Units, find: Callable, label: str, by_range: bool) -> DataFrame:
     """doc, fp, starts, counts: runs of windows of a document whose content also starts in a document of smaller id.
 
+    A copy of a smaller document's text has one run without end.
+
     ``find`` gets the snippets of whole routes (route, print, snippet, anchor, lo, hi: smallest and
     largest document that has the snippet) and returns, for windows that several documents have,
     (snippet's row, first window, number of windows, smallest document).
@@ -205,7 +207,9 @@ def removed_windows(docs: DataFrame, units: Units, find: Callable, label: str, b
     hits = gram_places(docs, units).join(known, "gram").groupBy("doc", "fp").agg(
         F.collect_list("gram").alias("known"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     hits = stored(hits, f"{label}-hits")
-    places = stored(snippets(docs, hits, units), f"{label}-snippets").withColumn("print", F.xxhash64("snippet", "anchor"))
+    release(known)
+    cut = stored(snippets(docs, hits, units), f"{label}-snippets")
+    places = cut.withColumn("print", F.xxhash64("snippet", "anchor"))
     distinct = places.groupBy("route", "snippet", "anchor").agg(F.first("print").alias("print"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     total = hits.agg(F.sum(F.size("known")).alias("n")).first()["n"] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARE + 1)
@@ -216,6 +220,11 @@ def removed_windows(docs: DataFrame, units: Units, find: Callable, label: str, b
         dealt = dealt.repartition(tasks, "route").sortWithinPartitions("route")
     owned = dealt.select("route", "print", "snippet", "anchor", "lo", "hi").mapInArrow(in_shares(find, SHARE), "route long, print long, first int, count int, owner long")
     owned = stored(owned.groupBy("route", "print").agg(F.collect_list(F.struct("first", "count", "owner")).alias("runs")), f"{label}-owned")
-    gone = places.select("route", "print", "doc", "fp", "start").join(owned, ["route", "print"]) \
-        .select("doc", "fp", "start", F.explode("runs").alias("r")).where("r.owner < doc")
-    return gone.groupBy("doc", "fp").agg(F.collect_list(F.col("start") + F.col("r.first")).alias("starts"), F.collect_list("r.count").alias("counts"))
+    found = places.select("route", "print", "doc", "fp", "start").join(owned, ["route", "print"]) \
+        .select("doc", "fp", "start", F.explode("runs").alias("r")).where("r.owner < doc").select("doc", "fp", (F.col("start") + F.col("r.first")).alias("start"), F.col("r.count").alias("count"))
+    same = docs.select("doc", "fp", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    copied = same.groupBy("sha").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = same.join(copied, "sha").where("doc > first").select("doc", "fp", F.lit(0).alias("start"), F.lit(ALL).alias("count"))
+    gone = stored(found.union(copies).groupBy("doc", "fp").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")), f"{label}-gone")
+    release(hits, cut, owned)
+    return gone

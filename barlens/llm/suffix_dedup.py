@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.llm.arrays import U64, cover, runs
-from barlens.llm.frames import map_batches, stored, text_of
+from barlens.llm.frames import map_batches, text_of
 from barlens.llm.recurring import Units, keyed, owned_runs, removed_windows
 
 WINDOW, GRAM = 50, 20
@@ -125,14 +125,14 @@ def drop_repeated_strings(docs: DataFrame, keep_text: bool = False) -> DataFrame
     table gives an empty result.
     """
     whole = keyed(docs)
-    gone = stored(removed_windows(whole, BYTES, suffix_classes, "op3", by_range=True), "op3-gone")
+    gone = removed_windows(whole, BYTES, suffix_classes, "op3", by_range=True)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
         for text, starts, counts in zip(batch.column(1), batch.column(2), batch.column(3)):
             raw = (text.as_py() or "").encode()
             left, spans = raw, 0
-            if starts.is_valid:
+            if starts.is_valid and len(raw) >= WINDOW:
                 lost = cover(np.asarray(starts.values).astype(np.int64), np.asarray(counts.values).astype(np.int64) + WINDOW - 1, len(raw))
                 spans = len(runs(lost)[0])
                 left = np.frombuffer(raw, np.uint8)[~lost].tobytes()
