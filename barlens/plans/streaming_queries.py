@@ -13,8 +13,8 @@ from barlens.plans.catalog import BARS_1H, TS_SQL, ema_sql, query
 from barlens.session import scratch_dir, table
 from barlens.streaming import streams as sm
 
-# windows that end this long before the last event are surely closed
-_CLOSED = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
+# a window is closed, and comes out, when the watermark of one hour has passed its end
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,18 +22,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.tick_stream(spark, sf_dir, "events", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _closed(spark: SparkSession, sf_dir: str, df: DataFrame, end: str) -> DataFrame:
-    last = table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 2 HOURS")).alias("_last"))
-    # one row
-    return df.join(F.broadcast(last), F.expr(f"{end} <= _last")).drop("_last")
-
-
 @query("stream_candles", f"WITH {BARS_1H} SELECT symbol, {TS_SQL}, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars WHERE ts + INTERVAL 1 HOUR <= {_CLOSED}")
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = _stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", (F.col("value") + 100.0).alias("price"), F.lit(1.0).alias("size"))
     bars = sm.drain(sm.candles(ticks, width="1h", delay="1 hour"), "candles")
-    done = _closed(spark, sf_dir, bars, "ts + INTERVAL 1 HOUR")
-    return done.select("symbol", ts_text().alias("ts"), *[r(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    return bars.select("symbol", ts_text().alias("ts"), *[r(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 @query("stream_ema", f"""WITH e AS (SELECT event_type AS symbol, '' AS timeframe, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS rn FROM events)
@@ -48,7 +41,7 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT strftime(day, '%Y-%m-%d') AS day, round(spent, 5) AS spent, round(greatest(0, 160.0 - spent), 5) AS remaining, spent >= 160 AS over_cap FROM d WHERE day + INTERVAL 1 DAY <= {_CLOSED}""")
 def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = _stream(spark, sf_dir).select("ts", (F.col("value") / 100).alias("cost_usd"))
-    days = _closed(spark, sf_dir, sm.drain(sm.budget_alerts(costs, cap=160.0, delay="1 hour"), "budget"), "day + INTERVAL 1 DAY")
+    days = sm.drain(sm.budget_alerts(costs, cap=160.0, delay="1 hour"), "budget")
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r("spent", 5).alias("spent"), r("remaining", 5).alias("remaining"), "over_cap")
 
 
@@ -57,7 +50,7 @@ s AS (SELECT f, sum(value) AS total FROM w WHERE f > ts - INTERVAL 60 SECOND GRO
 SELECT strftime(f, '%Y-%m-%d %H:%M:%S') AS from_ts, round(total, 5) AS total FROM s WHERE total > 400 AND f + INTERVAL 60 SECOND <= {_CLOSED}""")
 def stream_sliding_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = _stream(spark, sf_dir).select("ts", "value")
-    s = _closed(spark, sf_dir, sm.drain(sm.sliding_load(costs, column="value", limit=400.0), "sliding"), "to_ts")
+    s = sm.drain(sm.sliding_load(costs, column="value", limit=400.0, delay="1 hour"), "sliding")
     return s.select(ts_text("from_ts").alias("from_ts"), r("total", 5).alias("total"))
 
 
@@ -74,7 +67,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, strftime(f, '%Y-%m-%d %H:%M:%S') AS active_from, strftime(t, '%Y-%m-%d %H:%M:%S') AS stale_from, beats FROM a WHERE t <= {_CLOSED}""")
 def stream_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats = _stream(spark, sf_dir).select("user_id", "ts")
-    s = _closed(spark, sf_dir, sm.drain(sm.activity_sessions(beats, key="user_id", gap="6 hours", delay="1 hour"), "stale"), "stale_from")
+    s = sm.drain(sm.activity_sessions(beats, key="user_id", gap="6 hours", delay="1 hour"), "stale")
     return s.select("user_id", ts_text("active_from").alias("active_from"), ts_text("stale_from").alias("stale_from"), "beats")
 
 

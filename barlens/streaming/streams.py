@@ -89,8 +89,13 @@ def activity_sessions(beats: DataFrame, *, key: str, gap: str, delay: str) -> Da
     return s.select(key, F.col("w.start").alias("active_from"), F.col("w.end").alias("stale_from"), "beats")
 
 
-def upsert_stream(rows: DataFrame, path: str, *, keys: list[str], version: str, partition: list[str]) -> Callable[[], None]:
-    """Merge every micro-batch into a Parquet table; replaying a batch gives the same table."""
+def upsert_stream(rows: DataFrame, path: str, *, keys: list[str], version: str, partition: list[str], checkpoint: str | None = None) -> Callable[[], None]:
+    """Merge every micro-batch into a Parquet table; replaying a batch gives the same table.
+
+    ``checkpoint`` keeps how far the stream has come, by default beside the table, so a run goes on
+    where the last one stopped.
+    """
+    checkpoint = checkpoint or path.rstrip("/") + "_checkpoint"
     spark = rows.sparkSession
     spark.createDataFrame([], rows.schema).write.mode("ignore").partitionBy(*partition).parquet(path)
 
@@ -98,7 +103,7 @@ def upsert_stream(rows: DataFrame, path: str, *, keys: list[str], version: str,
         upsert_path(batch, path, keys=keys, version=version, partition=partition)
 
     def run() -> None:
-        q = (rows.writeStream.foreachBatch(merge).option("checkpointLocation", _fresh(spark, "upsert"))
+        q = (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         q.awaitTermination()
     return run
@@ -108,11 +113,15 @@ def _fresh(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_dir(spark), f"stream-{label}-{uuid.uuid4().hex}")
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, to a Parquet sink, and read the result."""
+def drain(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there, to a Parquet sink, and read the result.
+
+    With ``folder`` the result and how far the stream has come stay there, and a later run goes on from it.
+    """
     spark = stream.sparkSession
-    out = _fresh(spark, label)
+    folder = folder or _fresh(spark, label)
+    out = f"{folder}/rows"
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-         .option("checkpointLocation", _fresh(spark, f"{label}-cp")).trigger(availableNow=True).start())
+         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
