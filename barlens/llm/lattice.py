@@ -108,13 +108,14 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _units(vectors: DataFrame) -> DataFrame:
-    """One row for each distinct (label, direction's numbers): smallest id, multiplicity, label, vector."""
+    """One row for each distinct (label, vector): its key, smallest id and multiplicity."""
     return vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL") \
-        .groupBy("label", "vector").agg(F.min("vec_id").alias("unit"), F.countDistinct("vec_id").alias("copies"))
+        .groupBy("label", "vector").agg(F.min("vec_id").alias("unit"), F.countDistinct("vec_id").alias("copies")) \
+        .withColumn("uid", F.xxhash64("label", "vector"))
 
 
 def block_links(group: pa.Table, threshold: float) -> pa.Table:
-    """(unit, links, root) of one pair of blocks: how many vectors each links to, and the smallest unit its links join it to here."""
+    """(uid, unit, links, root) of one pair of blocks: how many vectors each links to, and the smallest unit its links join it to here."""
     side, itself = np.asarray(group.column("side")), group.column("itself")[0].as_py()
     unit, copies = np.asarray(group.column("unit")), np.asarray(group.column("copies")).astype(float)
     x = np.stack([np.asarray(v.values) for v in group.column("x")])
@@ -122,8 +123,7 @@ def block_links(group: pa.Table, threshold: float) -> pa.Table:
     if itself:
         b = a
     near = x[a] @ x[b].T >= threshold
-    if itself:
-        np.fill_diagonal(near, False)
+    near &= unit[a][:, None] != unit[b][None, :]  # not with itself, nor with other rows of its id
     links = np.zeros(len(unit))
     links[a] = near @ copies[b]
     if not itself:
@@ -138,7 +138,7 @@ def block_links(group: pa.Table, threshold: float) -> pa.Table:
         root[b] = low
         if (root == old).all():
             break
-    return pa.table({"unit": unit[touched], "links": links[touched].astype(np.int64), "root": root[touched]})
+    return pa.table({"uid": np.asarray(group.column("uid"))[touched], "unit": unit[touched], "links": links[touched].astype(np.int64), "root": root[touched]})
 
 
 def near_vectors(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
@@ -154,7 +154,7 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
 
     def prepare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         good, out = unit_rows(batch.column(1))
-        unit, label, copies = (np.asarray(batch.column(i))[good] for i in (2, 0, 3))
+        unit, label, copies, uid = (np.asarray(batch.column(i))[good] for i in (2, 0, 3, 4))
         lengths = np.array([len(v) for v in out], int)
         for dim in np.unique(lengths):
             at = np.flatnonzero(lengths == dim)
@@ -162,12 +162,12 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
             home, keys, sketch = hashed(x, label[at])
             home = mix(home ^ U64(dim))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(unit[at]), pa.array(copies[at]), pa.array(list(x), pa.list_(pa.float64())), pa.array(home.view(np.int64)), pa.array(np.ascontiguousarray(sketch[:, 0])),
+                [pa.array(uid[at]), pa.array(unit[at]), pa.array(copies[at]), pa.array(list(x), pa.list_(pa.float64())), pa.array(home.view(np.int64)), pa.array(np.ascontiguousarray(sketch[:, 0])),
                  pa.array(np.ascontiguousarray(sketch[:, 1])), pa.array(list(keys[:, :, 0].view(np.int64)), pa.list_(pa.int64())),
                  pa.array(list(keys[:, :, 1:].reshape(len(at), -1).view(np.int64)), pa.list_(pa.int64()))],
-                ["unit", "copies", "x", "home", "s1", "s2", "own", "probes"])
+                ["uid", "unit", "copies", "x", "home", "s1", "s2", "own", "probes"])
 
-    units = stored(map_batches(_units(rows), prepare, "unit long, copies long, x array<double>, home long, s1 long, s2 long, own array<long>, probes array<long>"), "op7-units")
+    units = stored(map_batches(_units(rows), prepare, "uid long, unit long, copies long, x array<double>, home long, s1 long, s2 long, own array<long>, probes array<long>"), "op7-units")
     # homes: a member's sketch as centre, how far the others are from it, how many blocks they fill
     centre = units.groupBy("home").agg(F.min(F.struct("s1", "s2")).alias("c"), F.count(F.lit(1)).alias("n"))
     apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("c.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("c.s2")))
@@ -187,19 +187,18 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     itself = ((F.col("h1") == F.col("h2")) & (F.col("b1") == F.col("b2"))).alias("itself")
     blocks = stored(blocks.select("h1", "b1", "h2", "b2", itself, F.struct("h1", "b1", "h2", "b2").alias("pair")), "op7-blocks")
     placed = units.join(homes.select("home", "blocks"), "home").select(
-        "unit", "copies", "x", F.col("home").alias("h"), F.pmod(F.xxhash64("unit", F.lit(3)), F.col("blocks")).cast("int").alias("b"))
+        "uid", "unit", "copies", "x", F.col("home").alias("h"), F.pmod(F.xxhash64("uid", F.lit(3)), F.col("blocks")).cast("int").alias("b"))
     sides = blocks.select(F.col("h1").alias("h"), F.col("b1").alias("b"), "pair", "itself", F.lit(0).alias("side")) \
         .union(blocks.where("NOT itself").select(F.col("h2").alias("h"), F.col("b2").alias("b"), "pair", "itself", F.lit(1).alias("side")))
-    found = sides.join(placed, ["h", "b"]).select("pair", "itself", "side", "unit", "copies", "x").groupBy("pair").applyInArrow(
-        lambda g: block_links(g, threshold), "unit long, links long, root long")
+    found = sides.join(placed, ["h", "b"]).select("pair", "itself", "side", "uid", "unit", "copies", "x").groupBy("pair").applyInArrow(
+        lambda g: block_links(g, threshold), "uid long, unit long, links long, root long")
     found = stored(found, "op7-found")
-    counts = found.groupBy("unit").agg(F.sum("links").alias("links"))
+    counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
     joined = stored(components(found.select(F.col("unit").alias("a"), F.col("root").alias("b"))), "op7-joined")
     # back to ids: copies of a unit link with each other too
-    unit_of = units.select("unit", "copies").join(counts, "unit", "left").join(joined, F.col("unit") == F.col("node"), "left") \
-        .select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "unit").alias("component"))
-    named = _units(rows).select("label", "vector", "unit").join(unit_of, "unit")
-    ids = rows.where("vec_id IS NOT NULL").select("vec_id", "label", "vector").distinct().join(named, ["label", "vector"], "left") \
+    unit_of = units.select("uid", "unit", "copies").join(counts, "uid", "left").join(joined, F.col("unit") == F.col("node"), "left") \
+        .select("uid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "unit").alias("component"))
+    ids = rows.where("vec_id IS NOT NULL").select("vec_id", F.xxhash64("label", "vector").alias("uid")).distinct().join(unit_of, "uid", "left") \
         .groupBy("vec_id").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"), F.min("component").alias("c"))
     return rows.select("vec_id").join(ids, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"),
