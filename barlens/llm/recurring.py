@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from barlens.llm.frames import map_batches, release, stored, text_of
 
 #: A gram in more places than this is routed window by window.
 HOT = 20_000
+#: Snippets of one Arrow batch.
+SLICE = 50_000
 #: Windows of a run that takes the whole text.
 ALL = 1 << 30
 #: Distinct snippets of one task's share, about.
@@ -136,17 +139,17 @@ def snippets(docs: DataFrame, hits: DataFrame, units: Units) -> DataFrame:
                 byte_from, byte_to = begin[from_], end[to - 1]
             else:
                 byte_from, byte_to = from_, to
-            raw = data.tobytes()
-            cuts = [raw[a:b] for a, b in zip(byte_from.tolist(), byte_to.tolist())]
-            if len(each):  # routed by what the window is
-                import xxhash
-
-                for i in range(len(one), len(cuts)):
-                    route[i] = xxhash.xxh64_intdigest(b" ".join(cuts[i].split()) if units.words else cuts[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(route.view(np.int64)), pa.array(ids[lo:hi][text[which]]), pa.array(prints[lo:hi][text[which]]),
-                 pa.array((from_ - first[text[which]]).astype(np.int32)), pa.array((place[which] - from_).astype(np.int32)), pa.array(cuts, pa.binary())],
-                ["route", "doc", "fp", "start", "anchor", "snippet"])
+            raw, hot_from = data.tobytes(), len(one)
+            for a in range(0, len(which), SLICE):  # a text that repeats itself has a snippet at nearly every unit
+                b = min(a + SLICE, len(which))
+                cuts = [raw[x:y] for x, y in zip(byte_from[a:b].tolist(), byte_to[a:b].tolist())]
+                for i in range(max(hot_from, a), b):  # routed by what the window is
+                    route[i] = xxhash.xxh64_intdigest(b" ".join(cuts[i - a].split()) if units.words else cuts[i - a])
+                doc = text[which[a:b]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(route[a:b].view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(prints[lo:hi][doc]),
+                     pa.array((from_[a:b] - first[doc]).astype(np.int32)), pa.array((place[which[a:b]] - from_[a:b]).astype(np.int32)), pa.array(cuts, pa.binary())],
+                    ["route", "doc", "fp", "start", "anchor", "snippet"])
 
     with_hits = docs.join(hits, ["doc", "fp"]).select("doc", "fp", "text", "known", "hot")
     return map_batches(with_hits, run, SNIPPETS)
