@@ -6,7 +6,7 @@ that merge to it replays the merges in rank order: the lowest rank in the index
 applied at all its positions in all words, and only the two pairs beside each new symbol
 are put back.  A word so costs its merges, however often it occurs, and a text is the
 concatenation of its words' ids.  The line holds the new words of about
-32 MB of text, so memory doesn't grow with the table; found words stay in a store that is
+16 MB of text, so memory doesn't grow with the table; found words stay in a store that is
 emptied once it holds more than ``STORE_WORDS``, which changes no result.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barlens.llm.frames import map_batches
 
-STORE_WORDS = 1_000_000
+STORE_WORDS = 250_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -185,7 +185,7 @@ def replay_of(path: str, pattern: str) -> Replay:
     return _LOADED[key]
 
 
-def texts_in_slices(column: pa.Array, limit: int = 1 << 25) -> Iterator[list[str]]:
+def texts_in_slices(column: pa.Array, limit: int = 1 << 24) -> Iterator[list[str]]:
     """Texts (null: empty) in lists of about ``limit`` characters."""
     part, size = [], 0
     for x in column:
