@@ -8,11 +8,12 @@ registers hold, which ends most after one or two.  Two texts agree in a register
 the probability Jaccard similarity of their weighted shingles.  Registers in bands of four
 make buckets; links are verified on whole shingle sets.
 
-No bucket is turned into all its pairs.  Equal texts are one node.  First each node is
+No bucket is turned into rows of pairs.  Equal texts are one node.  First each node is
 verified against the nearest first node of its buckets; the links join most groups.  Then
-only nodes of one bucket that are still in different components, and whose 128-bit
-sketches are near enough, are verified, so no link between components is left out and no
-link inside one is sought twice.  At a similarity of 0.8 a pair shares no bucket with
+nodes of one bucket that are still in different components are compared in blocks of
+bounded size, common shingles of a whole block at once, where their 128-bit sketches are
+near enough; a block gives one link for each two components that it joins.  So no link
+between components is left out.  At a similarity of 0.8 a pair shares no bucket with
 probability (1 - 0.8**4)**32, 5e-8.
 """
 
@@ -143,6 +144,61 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "wa", "eb", "wb"), run, "a long, b long")
 
 
+#: Nodes of one side of a block, and different shingles counted at once.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 8192
+
+
+def common_shingles(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of how many elements the sets ``a`` share with the sets ``b``."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, number, count = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, U64), return_inverse=True, return_counts=True)
+    several = count[number] > 1
+    owner, number = owner[several], np.unique(number[several], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, BLOCK_SHINGLES):
+        x, y = np.searchsorted(number, [lo, lo + BLOCK_SHINGLES])
+        has = np.zeros((len(sets), BLOCK_SHINGLES), np.float32)
+        has[owner[x:y], number[x:y] - lo] = 1
+        out += has[a] @ has[b].T
+    return out
+
+
+def block_links(group: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b) of one block pair, as many as join its components."""
+    side, node, component = (np.asarray(group.column(c)) for c in ("side", "node", "c"))
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if group.column("itself")[0].as_py():
+        b = a
+    bits = sum(np.bitwise_count(np.asarray(group.column(s))[a].view(U64)[:, None] ^ np.asarray(group.column(s))[b].view(U64)[None, :]) for s in ("s1", "s2"))
+    open_pairs = (component[a][:, None] != component[b][None, :]) & (bits <= FAR_BITS)
+    sets = [np.frombuffer(x.as_buffer(), U64) for x in group.column("elements")]
+    weights = [np.frombuffer(x.as_buffer(), np.int32) for x in group.column("weights")]
+    found: list[tuple[int, int]] = []
+    if open_pairs.any():
+        size, plain = np.array([len(s) for s in sets]), np.array([bool((w == 1).all()) for w in weights])
+        common = common_shingles(sets, a, b)
+        unweighted = plain[a][:, None] & plain[b][None, :]  # there the similarity is the plain one
+        near = open_pairs & unweighted & (common >= (similarity - 1e-12) * (size[a][:, None] + size[b][None, :] - common))
+        for i, j in np.argwhere(open_pairs & ~unweighted & (common > 0)):
+            near[i, j] = probability_jaccard(sets[a[i]], weights[a[i]], sets[b[j]], weights[b[j]]) >= similarity - 1e-12
+        root = {c: c for c in component.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for i, j in np.argwhere(near):
+            x, y = top(int(component[a[i]])), top(int(component[b[j]]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.append((int(node[a[i]]), int(node[b[j]])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
 def _bits_apart(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
 
@@ -173,11 +229,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     placed = buckets.join(joined, "node", "left").select("key", "node", "s1", "s2", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = stored(placed.join(open_keys, "key", "left_semi"), "op4-open")
-    right = left.select("key", F.col("node").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("c").alias("d"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("c") < F.col("d")) & (_bits_apart(F.col("s1"), F.col("s2"), F.col("b1"), F.col("b2")) <= FAR_BITS)) \
-        .select(F.col("node").alias("a"), "b").distinct()
-    more = stored(verified(across, sets, similarity), "op4-more")
+    still = stored(placed.join(open_keys, "key", "left_semi"), "op4-open")
+    blocks = still.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
+    dealt = still.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a node stands on one side of every block pair that holds its block
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sides = dealt.select("key", "node", "s1", "s2", "c", "mine", other).select(
+        "key", "node", "s1", "s2", "c", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"),
+        (F.col("mine") == F.col("other")).alias("itself"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    more = stored(sides.join(sets, "node").groupBy("key", "b1", "b2").applyInArrow(lambda g: block_links(g, similarity), "a long, b long").distinct(), "op4-more")
     classes = stored(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.take(1) else joined, "op4-classes")
 
     of_text = nodes.select("sha", "node").join(classes, "node", "left").select("sha", F.coalesce("component", "node").alias("class_id"))

@@ -186,3 +186,41 @@ def test_registers_agree_with_the_similarity():
 @pytest.mark.parametrize("operator", [exact_dedup.exact_groups, minhash.near_groups, suffix_dedup.drop_repeated_strings, phrase_dedup.drop_repeated_phrases])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
+
+
+@pytest.mark.parametrize("itself", [True, False])
+def test_blocks_find_links_between_components(itself, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 16)
+    rng = np.random.default_rng(8)
+    base = rng.permutation(1 << 20)[:60].astype(np.uint64)
+    sets, weights = [], []
+    for k in range(24):
+        own = np.unique(np.concatenate((rng.choice(base, 50, replace=False), rng.integers(1 << 21, 1 << 22, 3).astype(np.uint64))))
+        sets.append(own)
+        weights.append(np.where(rng.random(len(own)) < (0.3 if k % 3 == 0 else 0), 2, 1).astype(np.int32))
+    side = np.zeros(24, int) if itself else np.arange(24) % 2
+    node = np.arange(24) * 5
+    part = np.where(np.arange(24) < 6, 0, node)  # the first are one component already
+    group = pa.table({"side": side, "node": node, "c": part, "itself": [itself] * 24, "s1": np.zeros(24, np.int64), "s2": np.zeros(24, np.int64),
+                      "elements": [s.tobytes() for s in sets], "weights": [w.tobytes() for w in weights]})
+    got = minhash.block_links(group, 0.7)
+    counters = [Counter(dict(zip(s.tolist(), w.tolist()))) for s, w in zip(sets, weights)]
+
+    def joined(edges):
+        root = dict(zip(part.tolist(), part.tolist()))
+
+        def top(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for i, j in edges:
+            x, y = top(part[i]), top(part[j])
+            root[max(x, y)] = min(x, y)
+        return {int(n): int(top(c)) for n, c in zip(node, part)}
+
+    want = [(i, j) for i in range(24) for j in range(24) if i < j and (itself or side[i] != side[j]) and probability_jaccard(counters[i], counters[j]) >= 0.7]
+    links = [(a // 5, b // 5) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist())]
+    assert all(probability_jaccard(counters[i], counters[j]) >= 0.7 for i, j in links) and want
+    assert joined(links) == joined(want) and len(links) < 24
