@@ -11,10 +11,11 @@ make buckets; links are verified on whole shingle sets.
 No bucket is turned into rows of pairs.  Equal texts are one node.  First each node is
 verified against the nearest first node of its buckets; the links join most groups.  Then
 nodes of one bucket that are still in different components are compared in blocks of
-bounded size, common shingles of a whole block at once, where their 128-bit sketches are
-near enough; a block gives one link for each two components that it joins.  So no link
-between components is left out.  At a similarity of 0.8 a pair shares no bucket with
-probability (1 - 0.8**4)**32, 5e-8.
+bounded size, common shingles of a whole block at once; a block gives one link for each two
+components that it joins.  Sketches only choose the nearest first node, they leave no pair of
+a block out, so no link between components of a bucket is missed.  At a similarity of 0.8 a
+pair shares no bucket with probability (1 - 0.8**4)**32, 5e-8, where registers are independent;
+an element's order of registers is permuted for that, see ``registers``.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from barlens.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BAND = 128, 4
-#: Sketch bits in which a pair of similarity 0.8 differs: 12.8 expected, standard deviation 3.4; the bound is 7 deviations off.
+#: Sketch bits beyond which a node isn't verified against the first one of its bucket but only in blocks; 12.8 are expected at 0.8.
 FAR_BITS = 37
-ARRIVAL, ORDER, BAND_SALT = seeds(REGISTERS, 101), seeds(2, 102), seeds(REGISTERS // BAND, 103)
+ARRIVAL, ORDER, BAND_SALT, BIT_SALT = seeds(REGISTERS, 101), seeds(2, 102), seeds(REGISTERS // BAND, 103), seeds(REGISTERS, 104)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,27 +55,41 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text[new], element[new], np.diff(np.concatenate((new, [len(element)])))
 
 
+def _visited(j: int, spread: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The register that each element visits as its j-th; odd factors and shifted differences keep every register once."""
+    low = U64(REGISTERS - 1)
+    x = U64(j)
+    for k in (0, 16, 32):
+        x = (x * ((spread >> U64(k)) | U64(1)) + (key >> U64(k))) & low
+        x = x ^ (x >> U64(3))
+    return x
+
+
 def registers(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """For each text the element that holds each register."""
+    """For each text the element that holds each register.
+
+    An element's order is a keyed permutation, not one progression: two elements whose
+    progressions have one step would win or lose neighbouring registers together.
+    """
     m = REGISTERS
     time = np.full(texts * m, np.inf)
     holder = np.zeros(texts * m, U64)
     spread = mix(element ^ ORDER[0])
-    step, place = (spread | U64(1)) & U64(m - 1), mix(element ^ ORDER[1]) & U64(m - 1)  # an odd step visits every register once
+    key = mix(element ^ ORDER[1])
     at = np.zeros(len(element))
     for j in range(m):
         if not len(element):
             break
         uniform = (mix(element ^ ARRIVAL[j]) >> U64(11)).astype(np.float64) * 2.0 ** -53
         at = at - np.log1p(-uniform) / weight * (m / (m - j))  # arrivals at registers not visited yet are thinned
-        slot = text * m + ((place + step * U64(j)) & U64(m - 1)).astype(np.int64)
+        slot = text * m + _visited(j, spread, key).astype(np.int64)
         better = at < time[slot]
         slot, when, who = slot[better], at[better], element[better]
         np.minimum.at(time, slot, when)
         won = when == time[slot]
         holder[slot[won]] = who[won]
         alive = at < time.reshape(texts, m).max(1)[text]
-        text, element, weight, at, step, place = (x[alive] for x in (text, element, weight, at, step, place))
+        text, element, weight, at, spread, key = (x[alive] for x in (text, element, weight, at, spread, key))
     return holder.reshape(texts, m)
 
 
@@ -87,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             key = np.zeros((hi - lo, REGISTERS // BAND), U64) + BAND_SALT
             for k in range(BAND):
                 key = mix(key ^ held[:, k::BAND])
-            bits = np.packbits((mix(held) & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+            bits = np.packbits((mix(held ^ BIT_SALT) & U64(1)).astype(np.uint8), axis=1).view(np.int64)
             some = np.isin(np.arange(hi - lo), text)
             ends = np.concatenate(([0], np.cumsum(some * (REGISTERS // BAND)))).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[some].ravel().view(np.int64)))
@@ -148,22 +163,30 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 BLOCK_NODES, BLOCK_SHINGLES = 256, 8192
 
 
-def common_shingles(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Matrix of how many elements the sets ``a`` share with the sets ``b``."""
+def common_shingles(sets: list[np.ndarray], weights: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of what the elements that the sets ``a`` share with the sets ``b`` weigh in ``a`` and in ``b``."""
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, number, count = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, U64), return_inverse=True, return_counts=True)
     several = count[number] > 1
-    owner, number = owner[several], np.unique(number[several], return_inverse=True)[1]
+    owner, number, weight = owner[several], np.unique(number[several], return_inverse=True)[1], np.concatenate([*weights, np.zeros(0, np.int32)])[several]
     order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    out = np.zeros((len(a), len(b)), np.float32)
+    owner, number, weight = owner[order], number[order], weight[order]
+    plain = bool((weight == 1).all())
+    in_a = np.zeros((len(a), len(b)), np.float32)
+    in_b = in_a if plain else np.zeros_like(in_a)
     for lo in range(0, int(number[-1]) + 1 if len(number) else 0, BLOCK_SHINGLES):
         x, y = np.searchsorted(number, [lo, lo + BLOCK_SHINGLES])
         has = np.zeros((len(sets), BLOCK_SHINGLES), np.float32)
         has[owner[x:y], number[x:y] - lo] = 1
-        out += has[a] @ has[b].T
-    return out
+        if plain:
+            in_a += has[a] @ has[b].T
+        else:
+            heavy = np.zeros_like(has)
+            heavy[owner[x:y], number[x:y] - lo] = weight[x:y]
+            in_a += heavy[a] @ has[b].T
+            in_b += has[a] @ heavy[b].T
+    return in_a, in_b
 
 
 def block_links(group: pa.Table, similarity: float) -> pa.Table:
@@ -172,17 +195,19 @@ def block_links(group: pa.Table, similarity: float) -> pa.Table:
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if group.column("itself")[0].as_py():
         b = a
-    bits = sum(np.bitwise_count(np.asarray(group.column(s))[a].view(U64)[:, None] ^ np.asarray(group.column(s))[b].view(U64)[None, :]) for s in ("s1", "s2"))
-    open_pairs = (component[a][:, None] != component[b][None, :]) & (bits <= FAR_BITS)
+    open_pairs = component[a][:, None] != component[b][None, :]
     sets = [np.frombuffer(x.as_buffer(), U64) for x in group.column("elements")]
     weights = [np.frombuffer(x.as_buffer(), np.int32) for x in group.column("weights")]
     found: list[tuple[int, int]] = []
     if open_pairs.any():
         size, plain = np.array([len(s) for s in sets]), np.array([bool((w == 1).all()) for w in weights])
-        common = common_shingles(sets, a, b)
+        common, common_b = common_shingles(sets, weights, a, b)
         unweighted = plain[a][:, None] & plain[b][None, :]  # there the similarity is the plain one
         near = open_pairs & unweighted & (common >= (similarity - 1e-12) * (size[a][:, None] + size[b][None, :] - common))
-        for i, j in np.argwhere(open_pairs & ~unweighted & (common > 0)):
+        # no similarity exceeds the common elements' share of either text; the slack is for rounding
+        total = np.array([w.sum() for w in weights], float)
+        likely = np.minimum(common / total[a][:, None], common_b / total[b][None, :]) >= similarity - 1e-3
+        for i, j in np.argwhere(open_pairs & ~unweighted & likely):
             near[i, j] = probability_jaccard(sets[a[i]], weights[a[i]], sets[b[j]], weights[b[j]]) >= similarity - 1e-12
         root = {c: c for c in component.tolist()}
 
@@ -227,15 +252,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = stored(verified(nearest, sets, similarity), "op4-links")
     joined = stored(components(links), "op4-joined")
 
-    placed = buckets.join(joined, "node", "left").select("key", "node", "s1", "s2", F.coalesce("component", "node").alias("c"))
+    placed = buckets.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     still = stored(placed.join(open_keys, "key", "left_semi"), "op4-open")
     blocks = still.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
     dealt = still.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a node stands on one side of every block pair that holds its block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sides = dealt.select("key", "node", "s1", "s2", "c", "mine", other).select(
-        "key", "node", "s1", "s2", "c", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"),
+    sides = dealt.select("key", "node", "c", "mine", other).select(
+        "key", "node", "c", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"),
         (F.col("mine") == F.col("other")).alias("itself"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
     more = stored(sides.join(sets, "node").groupBy("key", "b1", "b2").applyInArrow(lambda g: block_links(g, similarity), "a long, b long").distinct(), "op4-more")
     classes = stored(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.take(1) else joined, "op4-classes")

@@ -224,3 +224,27 @@ def test_blocks_find_links_between_components(itself, monkeypatch):
     links = [(a // 5, b // 5) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist())]
     assert all(probability_jaccard(counters[i], counters[j]) >= 0.7 for i, j in links) and want
     assert joined(links) == joined(want) and len(links) < 24
+
+
+def test_short_texts_are_verified_whatever_their_sketches_say(spark):
+    """Pairs of 4 and 5 shingles, similarity 0.8: some sketches differ in more than FAR_BITS bits, none may be lost for that."""
+    n = 6000
+    texts = [(2 * k + more, " ".join(f"w{k}x{i}" for i in range(8 + more))) for k in range(n) for more in (0, 1)]
+    got = minhash.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.class_id != r.doc_id // 2 * 2} == set() and len(got) == 2 * n
+
+
+def test_blocks_link_pairs_of_far_sketches():
+    import pyarrow as pa
+    for weights in ([1, 1, 1, 1], [1, 1, 1, 1, 1]), ([8], [8, 2]):
+        group = pa.table({"side": [0, 0], "node": [3, 9], "c": [3, 9], "itself": [True, True], "s1": [0, -1], "s2": [0, -1],
+                          "elements": [np.arange(len(w), dtype=np.uint64).tobytes() for w in weights],
+                          "weights": [np.array(w, np.int32).tobytes() for w in weights]})
+        assert minhash.block_links(group, 0.8).num_rows == 1
+
+
+def test_an_element_visits_every_register_once_in_an_order_of_its_own():
+    keys = np.random.default_rng(3).integers(0, 1 << 63, (2, 500), dtype=np.uint64)
+    order = np.array([minhash._visited(j, *keys) for j in range(minhash.REGISTERS)])
+    assert (np.sort(order, axis=0) == np.arange(minhash.REGISTERS)[:, None]).all()
+    assert len(np.unique(order[1] - order[0])) > 64 and len({tuple(np.diff(o) % minhash.REGISTERS) for o in order.T}) > 490
