@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,7 +128,7 @@ for _category in ("momentum", "trend", "volatility", "volume", "structure", "com
     _register(_category)
 
 
-def _flip_sql() -> str:
+def _flip_ctes() -> str:
     atrs = ", ".join(f"{ewm_sql('tr', f'1.0/{p}')} AS atr{p}" for p in (7, 10, 14))
     st = ", ".join(f"({i}, {p}, {m})" for i, (p, m) in enumerate(sig.SUPERTREND_VARIANTS))
     ps = ", ".join(f"({i}, {s}, {m})" for i, (s, m) in enumerate(sig.PSAR_VARIANTS))
@@ -159,12 +161,29 @@ e AS (SELECT symbol, rn, {sid} AS spec_id, CASE WHEN d = 1 AND pd = -1 THEN 1 WH
    FROM (SELECT *, lag(sar) OVER (PARTITION BY symbol, v ORDER BY rn) AS ps FROM p1) x JOIN q USING (symbol, rn)
   UNION ALL SELECT s1.symbol, s1.rn, 'SUPERTREND_RSI_pullback', CASE WHEN d = 1 AND rsi > 40 AND rsi1 <= 40 THEN 1 WHEN d = -1 AND rsi < 60 AND rsi1 >= 60 THEN -1 ELSE 0 END
    FROM s1 JOIN q USING (symbol, rn) WHERE v = 1),
-f AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY symbol, spec_id ORDER BY rn), 0) AS prev FROM e)
+f AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY symbol, spec_id ORDER BY rn), 0) AS prev FROM e)"""
+
+
+_WITH_TREND = "coalesce((state = 1 AND close > ema200) OR (state = -1 AND close < ema200), false) AS with_trend"
+
+
+def _flip_sql() -> str:
+    return f"""{_flip_ctes()}
 SELECT symbol, {TS_SQL}, spec_id, CAST(state AS INTEGER) AS signal,
-  coalesce((state = 1 AND close > ema200) OR (state = -1 AND close < ema200), false) AS with_trend
+  {_WITH_TREND}
 FROM f JOIN q USING (symbol, rn) WHERE state <> 0 AND state <> prev"""
 
 
+def _flip_signals_ctes() -> str:
+    """The state machines' signals with what follows them, named as in ``_signals_ctes``."""
+    leads = ", ".join(f"ln(lead(close, {h}) OVER {W_SQL} / close) AS fwd{h}" for h in (5, 10, 20, 50))
+    return f"""{_flip_ctes()},
+ld AS (SELECT symbol, timeframe, rn, {leads} FROM numbered),
+sigs AS (SELECT symbol, timeframe, q.ts, spec_id, state, state AS signal, fwd5, fwd10, fwd20, fwd50,
+  {_WITH_TREND}
+  FROM f JOIN q USING (symbol, rn) JOIN ld USING (symbol, rn) WHERE state <> 0 AND state <> prev)"""
+
+
 @query("signals_trend_flips", _flip_sql())
 def signals_trend_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperTrend and PSAR signals, whose state passes from bar to bar."""
@@ -173,9 +192,10 @@ def signals_trend_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- forward statistics ---------------------------------------------------------
 
-# all but the state machines, whose SQL is recursive and stands in signals_trend_flips
+# the state machines, whose SQL is recursive, have queries of their own, as in signals_trend_flips;
+# no family of variants has members on both sides
 _SWEPT = [s for s in SPECS if s not in FLIPS]
-_STAT_SQL = f"""WITH {_signals_ctes(_SWEPT)},
+_STAT_CTES = f""",
 rp AS (SELECT *, unnest(CASE WHEN with_trend THEN [false, true] ELSE [false] END) AS regime_filter FROM sigs),
 fr AS ({' UNION ALL '.join(f"SELECT spec_id, regime_filter, symbol, timeframe, CAST({h} AS INTEGER) AS horizon, signal, fwd{h} * signal AS ret FROM rp WHERE fwd{h} IS NOT NULL" for h in (5, 10, 20, 50))}),
 sd AS (SELECT *, 'both' AS side FROM fr UNION ALL SELECT *, CASE WHEN signal > 0 THEN 'long' ELSE 'short' END FROM fr),
@@ -184,30 +204,36 @@ ag AS (SELECT spec_id, regime_filter, symbol, timeframe, horizon, side, count(*)
 tt AS (SELECT *, n AS n_samples, m / nullif(sd / sqrt(n), 0) AS t FROM ag),
 stats AS (SELECT spec_id, regime_filter, symbol, timeframe, horizon, side, n, CASE WHEN n >= 10 THEN hit END AS hit_rate, CASE WHEN n >= 10 THEN m END AS avg_log_return,
   CASE WHEN n >= 10 THEN pf END AS profit_factor, CASE WHEN n >= 10 THEN t END AS t_stat, CASE WHEN n >= 10 THEN {_P_SQL} END AS p_value FROM tt)"""
+_STAT_SQL = f"WITH {_signals_ctes(_SWEPT)}" + _STAT_CTES
+_FLIP_STAT_SQL = _flip_signals_ctes() + _STAT_CTES
 
 
-def swept_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sig.with_regime_param(sig.signals_long(bars_1h(spark, sf_dir), _SWEPT, horizons=(5, 10, 20, 50), round_step=STEP))
+def swept_stats(spark: SparkSession, sf_dir: str, specs: list[sig.Spec]) -> DataFrame:
+    found = sig.with_regime_param(sig.signals_long(bars_1h(spark, sf_dir), specs, horizons=(5, 10, 20, 50), round_step=STEP))
     return fwd.signal_stats(found, keys=["spec_id", "regime_filter", *KEYS])
 
 
-@query("signal_stats", _STAT_SQL + """
+_SIGNAL_STATS = """
 SELECT spec_id, regime_filter, symbol, timeframe, horizon, side, n, round(hit_rate, 6) AS hit_rate, round(avg_log_return, 7) AS avg_log_return,
-  round(profit_factor, 5) AS profit_factor, round(t_stat, 4) AS t_stat, round(p_value, 5) AS p_value FROM stats""")
-def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = swept_stats(spark, sf_dir)
+  round(profit_factor, 5) AS profit_factor, round(t_stat, 4) AS t_stat, round(p_value, 5) AS p_value FROM stats"""
+
+
+def _signal_stats(spark: SparkSession, sf_dir: str, specs: list[sig.Spec]) -> DataFrame:
+    s = swept_stats(spark, sf_dir, specs)
     return s.select("spec_id", "regime_filter", *KEYS, "horizon", "side", "n", r("hit_rate").alias("hit_rate"),
                     r("avg_log_return", 7).alias("avg_log_return"), r("profit_factor", 5).alias("profit_factor"),
                     r("t_stat", 4).alias("t_stat"), r("p_value", 5).alias("p_value"))
 
 
-@query("sweep_best_variant", _STAT_SQL + """,
+_BEST_VARIANT = """,
 named AS (SELECT *, split_part(spec_id, '_', 1) AS family FROM stats WHERE horizon = 5 AND side = 'both' AND profit_factor IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY family, symbol, timeframe ORDER BY round(profit_factor, 9) DESC, spec_id, regime_filter) AS rank FROM named)
-SELECT family, symbol, spec_id, regime_filter, n, round(profit_factor, 5) AS profit_factor, rank FROM k WHERE rank <= 3""")
-def sweep_best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT family, symbol, spec_id, regime_filter, n, round(profit_factor, 5) AS profit_factor, rank FROM k WHERE rank <= 3"""
+
+
+def _best_variant(spark: SparkSession, sf_dir: str, specs: list[sig.Spec]) -> DataFrame:
     """Best three parameter variants per indicator family and symbol by profit factor five bars ahead."""
-    s = swept_stats(spark, sf_dir).where("horizon = 5 AND side = 'both'")
+    s = swept_stats(spark, sf_dir, specs).where("horizon = 5 AND side = 'both'")
     s = s.withColumn("family", F.split_part("spec_id", F.lit("_"), F.lit(1))).withColumns(
         {"_order": F.struct("spec_id", "regime_filter"), "_pf": F.round("profit_factor", 9)})
     best = sweep(s, by=["family", *KEYS], metric="_pf", order="_order", keep=3)
@@ -215,13 +241,15 @@ def sweep_best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("rank").cast("long"))
 
 
-@query("entry_knowledge", _STAT_SQL + """
+_KNOWLEDGE = """
 SELECT spec_id, symbol, horizon, CASE WHEN coalesce(profit_factor >= 1.4 AND hit_rate >= 0.53 AND t_stat >= 1.8 AND p_value < 0.10, false) THEN 'works'
   WHEN coalesce(profit_factor <= 0.8 OR (t_stat <= -1.5 AND hit_rate <= 0.47), false) THEN 'fails' ELSE 'partial' END AS category,
   coalesce(round(least(greatest(1 - round(p_value, 6), 0), 1), 2), 0.5) AS confidence, CASE WHEN n >= 10 THEN round(t_stat / sqrt(n) * sqrt(252), 2) END AS sharpe
-FROM stats WHERE side = 'both' AND NOT regime_filter""")
-def entry_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = swept_stats(spark, sf_dir).where("side = 'both' AND NOT regime_filter")
+FROM stats WHERE side = 'both' AND NOT regime_filter"""
+
+
+def _knowledge(spark: SparkSession, sf_dir: str, specs: list[sig.Spec]) -> DataFrame:
+    s = swept_stats(spark, sf_dir, specs).where("side = 'both' AND NOT regime_filter")
     c = F.col
     return s.select(
         "spec_id", "symbol", "horizon",
@@ -230,6 +258,16 @@ def entry_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
         (sharpe_from_t(c("t_stat"), c("n")) + F.lit(0.0)).alias("sharpe"))
 
 
+def _register_swept(name: str, sql: str, fn: Callable[[SparkSession, str, list[sig.Spec]], DataFrame]) -> None:
+    query(name, _STAT_SQL + sql)(lambda spark, sf_dir: fn(spark, sf_dir, _SWEPT))
+    query(f"{name}_flips", _FLIP_STAT_SQL + sql)(lambda spark, sf_dir: fn(spark, sf_dir, FLIPS))
+
+
+_register_swept("signal_stats", _SIGNAL_STATS, _signal_stats)
+_register_swept("sweep_best_variant", _BEST_VARIANT, _best_variant)
+_register_swept("entry_knowledge", _KNOWLEDGE, _knowledge)
+
+
 @query("param_grid", """
 WITH p AS (SELECT unnest([10, 14, 21]) AS period), t AS (SELECT unnest([25, 30]) AS threshold), f AS (SELECT unnest([false, true]) AS regime_filter)
 SELECT symbol, period, threshold, regime_filter, '{"period":' || period || ',"regime_filter":' || regime_filter || ',"threshold":' || threshold || '}' AS params_id
