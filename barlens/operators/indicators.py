@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from barlens.functions.core import KEYS, safe_div
 from barlens.operators.blocks import (
-    FRAME_KEYS, FRAME_SQL, Step, blocked, column, columns, frame, lag, lag_sql, rolling, rolling_sql, sql_columns,
-    trailing,
+    BLOCK_ROWS, FRAME_KEYS, FRAME_SQL, SLICE_BARS, Step, blocked, column, columns, frame, lag, lag_sql, own_rows, reach,
+    rolling, rolling_sql, run_steps, sql_columns, trailing,
 )
 from barlens.operators.recurrence import ewm, span_alpha, warm_up, wilder_alpha
 
@@ -469,14 +469,14 @@ def asof_higher(bars: DataFrame, higher: DataFrame, value_cols: list[str], width
     return out.select(*bars.columns, *[F.col(f"_v.{x}").alias(f"higher_{x}") for x in value_cols])
 
 
-def market_structure(lookback: int = 5, memory: int = 250, slope: int = 10) -> list[Step]:
+def market_structure(bars: DataFrame, lookback: int = 5, slope: int = 10, *, block_rows: int = BLOCK_ROWS,
+                     slice_bars: int = SLICE_BARS) -> DataFrame:
     """Regime columns: swing structure, slope of the average, band width and volume regimes.
 
-    A swing counts from the bar on which it is confirmed; the one before it is
-    looked for in the last ``memory`` bars.
+    A swing counts from the bar on which it is confirmed and is compared with the one before
+    it, however long ago that was: the last swings and comparisons are carried from block to
+    block (one row per block).
     """
-    back = f"OVER ({FRAME_SQL} ROWS BETWEEN {memory} PRECEDING AND 1 PRECEDING)"
-    upto = f"OVER ({FRAME_SQL} ROWS BETWEEN {memory} PRECEDING AND CURRENT ROW)"
     side = f"ROWS BETWEEN {2 * lookback} PRECEDING AND {lookback + 1} PRECEDING"
     after = f"ROWS BETWEEN {lookback - 1} PRECEDING AND CURRENT ROW"
 
@@ -486,14 +486,9 @@ def market_structure(lookback: int = 5, memory: int = 250, slope: int = 10) -> l
         return (f"CASE WHEN {full} AND {level} {sign} {agg}({x}) OVER ({FRAME_SQL} {side}) "
                 f"AND {level} {sign} {agg}({x}) OVER ({FRAME_SQL} {after}) THEN {level} END")
 
-    return [
+    steps = [
         sql_columns([], {"_sh": confirmed("high", "max", ">"), "_sl": confirmed("low", "min", "<")}, before=2 * lookback),
-        sql_columns(["_sh", "_sl"], {
-            "_hh": f"CASE WHEN _sh IS NOT NULL THEN _sh > last(_sh, true) {back} END",
-            "_hl": f"CASE WHEN _sl IS NOT NULL THEN _sl > last(_sl, true) {back} END"}, before=memory),
-        sql_columns(["_hh", "_hl"], {"_h": f"last(_hh, true) {upto}", "_l": f"last(_hl, true) {upto}"}, before=memory),
-        sql_columns(["_h", "_l"], {
-            "structure": "CASE WHEN _h AND _l THEN 'up' WHEN NOT _h AND NOT _l THEN 'down' ELSE 'mixed' END",
+        sql_columns([], {
             "ma": rolling_sql("avg(close)", "close", 50), "volume_mean": rolling_sql("avg(volume)", "volume", 20),
             "_w": f"4D * ({rolling_sql('stddev_samp(close)', 'close', 20)})"}, before=50),
         rolling_quantiles({"_w25": 0.25, "_w75": 0.75}, "_w"),
@@ -503,6 +498,23 @@ def market_structure(lookback: int = 5, memory: int = 250, slope: int = 10) -> l
             "volume_regime": "CASE WHEN volume > 1.5D * volume_mean THEN 'high' WHEN volume < 0.5D * volume_mean THEN 'low' WHEN volume_mean IS NOT NULL THEN 'normal' END",
         }, before=slope),
     ]
+    behind, ahead = reach(steps)
+    df = run_steps(blocked(bars, before=behind, after=ahead, block_rows=block_rows, slice_bars=slice_bars), steps).where("_own")
+    earlier, upto = (f"OVER ({FRAME_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})" for end in ("1 PRECEDING", "CURRENT ROW"))
+    sides = ("h", "l")
+    df = df.selectExpr("*", *[f"_s{x} > last(_s{x}, true) {earlier} AS _c{x}" for x in sides],
+                       *[f"first(_s{x}, true) {upto} AS _f{x}" for x in sides])
+    ends = df.groupBy(*FRAME_KEYS).agg(*[F.expr(e) for x in sides for e in (
+        f"min(IF(_s{x} IS NOT NULL, struct(ts, _s{x} AS v), NULL)).v AS _first{x}", f"max(IF(_s{x} IS NOT NULL, struct(ts, _s{x} AS v), NULL)).v AS _last{x}",
+        f"max(IF(_c{x} IS NOT NULL, struct(ts, _c{x} AS v), NULL)).v AS _inner{x}")])
+    gone = f"OVER (PARTITION BY {', '.join(KEYS)} ORDER BY _blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ends = ends.selectExpr("*", *[f"last(_last{x}, true) {gone} AS _swing{x}" for x in sides])
+    # a block with a single swing compares it with the one carried in
+    ends = ends.selectExpr(*FRAME_KEYS, "_swingh", "_swingl", *[
+        f"last(coalesce(_inner{x}, _first{x} > _swing{x}), true) {gone} AS _compared{x}" for x in sides])
+    df = df.join(ends, list(FRAME_KEYS)).selectExpr("*", *[
+        f"coalesce(last(_c{x}, true) {upto}, _f{x} > _swing{x}, _compared{x}) AS _{x}" for x in sides])
+    return own_rows(df.withColumn("structure", F.expr("CASE WHEN _h AND _l THEN 'up' WHEN NOT _h AND NOT _l THEN 'down' ELSE 'mixed' END")))
 
 
 def apply_indicator(bars: DataFrame, fn, schema: str, *, before: int, block_rows: int = 16384) -> DataFrame:

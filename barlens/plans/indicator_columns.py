@@ -406,7 +406,7 @@ d AS (SELECT *, last_value(hh IGNORE NULLS) {upto} AS h9, last_value(hl IGNORE N
   CASE WHEN w < w25 THEN 'narrow' WHEN w > w75 THEN 'wide' WHEN w25 IS NOT NULL THEN 'normal' END AS width_regime,
   CASE WHEN volume > 1.5 * vm THEN 'high' WHEN volume < 0.5 * vm THEN 'low' WHEN vm IS NOT NULL THEN 'normal' END AS volume_regime FROM d""")
 def market_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = compute(bars_1d(spark, sf_dir), ind.market_structure())
+    df = ind.market_structure(bars_1d(spark, sf_dir))
     return df.select("symbol", ts_text().alias("ts"), "structure", r("ma_slope", 4).alias("ma_slope"), "width_regime", "volume_regime")
 
 

@@ -192,3 +192,26 @@ def test_reach_adds_up():
     steps = [ind.true_range("tr"), ewm([("atr", "tr", wilder_alpha(14))]), ind.sma("m", "atr", 20)]
     before, after = reach(steps)
     assert before >= 1 + 540 + 20 and after == 0
+
+
+def test_market_structure_remembers_swings_of_any_age(spark):
+    """Rising swings, then three hundred bars without one, then a random walk; in small blocks, beside brute force."""
+    rng = np.random.default_rng(5)
+    zigzag = np.concatenate([np.linspace(a, b, 8, endpoint=False) for a, b in ((100, 110), (110, 104), (104, 116), (116, 109), (109, 121))])
+    close = np.concatenate((zigzag, np.full(300, 121.0), 121 + np.cumsum(rng.normal(0, 1, 200)), np.full(280, 130.0), 130 + np.cumsum(rng.normal(0, 1, 60))))
+    pdf = pd.DataFrame({"symbol": "AAA", "timeframe": "1h", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(len(close)), unit="h"),
+                        "open": close, "high": close + 0.5, "low": close - 0.5, "close": close, "volume": 1.0})
+    got = ordered(ind.market_structure(spark.createDataFrame(pdf), block_rows=64, slice_bars=16))
+    k, want, last, state = 5, [], {}, {}
+    for t in range(len(pdf)):
+        for name, sign in (("high", 1), ("low", -1)):
+            x = pdf[name].to_numpy() * sign
+            level = x[t - k] if t >= 2 * k else None
+            if level is not None and level > x[t - 2 * k:t - k].max() and level > x[t - k + 1:t + 1].max():
+                if name in last:
+                    state[name] = level * sign > last[name]
+                last[name] = level * sign
+        both = [state.get("high"), state.get("low")]
+        want.append("up" if both == [True, True] else "down" if both == [False, False] else "mixed")
+    assert got["structure"].tolist() == want
+    assert want[330] == "up" and len(got) == len(pdf)
