@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import bpe, exact_dedup, lattice, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity, url_reputation
+from barlens.llm import bpe, exact_dedup, forced_bpe, lattice, lloyd, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity, url_reputation
 from barlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_phrase_dedup": lambda s, d: phrase_dedup.drop_repeated_phrases(table(s, d, "documents")),
     "op9_bpe_merge_replay": lambda s, d: bpe.encode_decode(table(s, d, "documents")),
     "op10_url_reputation": lambda s, d: url_reputation.judge_urls(table(s, d, "pages"), table(s, d, "labels")),
+    "op12_bpe_forced_boundaries": lambda s, d: forced_bpe.encode_decode(table(s, d, "documents")),
+    "op13_vector_codes_by_resident_lloyd": lambda s, d: lloyd.compressed(table(s, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
@@ -46,4 +48,24 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 WINDOW same AS (PARTITION BY t)""",
     "op10_url_reputation": url_reputation.ORACLE,
+    "op13_vector_codes_by_resident_lloyd": """
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+cells AS (SELECT r, unnest(embedding) AS y, unnest(range(len(embedding))) AS i, len(embedding) // 16 AS width FROM v),
+x AS MATERIALIZED (SELECT r, CAST(i // width AS BIGINT) AS p, i % width AS k, CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT) AS c FROM cells),
+b0 AS (SELECT p, r - 1 AS e, k, c FROM x WHERE r <= 64),
+far0 AS (SELECT x.r, x.p, b.e, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN b0 b ON b.p = x.p AND b.k = x.k GROUP BY x.r, x.p, b.e),
+near0 AS (SELECT r, p, min_by(e, d * 64 + e) AS e, min(d) AS d FROM far0 GROUP BY r, p),
+b1 AS (SELECT b.p, b.e, b.k, coalesce(m.c, b.c) AS c FROM b0 b LEFT JOIN (
+  SELECT n.p, n.e, x.k, CAST(floor(CAST(sum(x.c) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM near0 n JOIN x ON x.r = n.r AND x.p = n.p GROUP BY n.p, n.e, x.k) m ON m.p = b.p AND m.e = b.e AND m.k = b.k),
+far1 AS (SELECT x.r, x.p, b.e, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN b1 b ON b.p = x.p AND b.k = x.k GROUP BY x.r, x.p, b.e),
+near1 AS (SELECT r, p, min_by(e, d * 64 + e) AS e, min(d) AS d FROM far1 GROUP BY r, p),
+b2 AS (SELECT b.p, b.e, b.k, coalesce(m.c, b.c) AS c FROM b1 b LEFT JOIN (
+  SELECT n.p, n.e, x.k, CAST(floor(CAST(sum(x.c) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM near1 n JOIN x ON x.r = n.r AND x.p = n.p GROUP BY n.p, n.e, x.k) m ON m.p = b.p AND m.e = b.e AND m.k = b.k),
+far2 AS (SELECT x.r, x.p, b.e, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN b2 b ON b.p = x.p AND b.k = x.k GROUP BY x.r, x.p, b.e),
+near2 AS (SELECT r, p, min_by(e, d * 64 + e) AS e, min(d) AS d FROM far2 GROUP BY r, p),
+codes AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, k)) FROM b2) AS codebooks_sha256
+FROM v JOIN codes USING (r)""",
 }
