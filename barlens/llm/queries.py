@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import bpe, exact_dedup, forced_bpe, lattice, lloyd, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity, url_reputation
+from barlens.llm import bpe, conversations, exact_dedup, forced_bpe, lattice, lloyd, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity, url_reputation
 from barlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_phrase_dedup": lambda s, d: phrase_dedup.drop_repeated_phrases(table(s, d, "documents")),
     "op9_bpe_merge_replay": lambda s, d: bpe.encode_decode(table(s, d, "documents")),
     "op10_url_reputation": lambda s, d: url_reputation.judge_urls(table(s, d, "pages"), table(s, d, "labels")),
+    "op11_conversation_repair_by_word_graph": lambda s, d: conversations.repair_damaged(table(s, d, "conversations")),
     "op12_bpe_forced_boundaries": lambda s, d: forced_bpe.encode_decode(table(s, d, "documents")),
     "op13_vector_codes_by_resident_lloyd": lambda s, d: lloyd.compressed(table(s, d, "embeddings")),
 }
