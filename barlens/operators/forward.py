@@ -12,7 +12,7 @@ from barlens.functions.core import (
 )
 from barlens.operators.blocks import Step, column, compute, frame
 from barlens.operators.conditions import check_ids, inputs, with_conditions
-from barlens.operators.quantiles import exact_quantiles, value_bucket
+from barlens.operators.quantiles import average_ranks, exact_quantiles, value_bucket
 from barlens.session import materialise
 
 
@@ -68,7 +68,7 @@ def condition_stats(bars: DataFrame, *, ids: Sequence[str] | None = None,
     hist = materialise(
         hits.groupBy(*keys, "bucket").agg(
             F.count(F.lit(1)).alias("n"), F.sum(ret).alias("s"), F.sum(ret * ret).alias("ss"),
-            F.count_if(ret > 0).alias("wins")),
+            F.count_if(ret > 0).alias("wins"), F.min(ret).alias("lo"), F.max(ret).alias("hi")),
         "condition-hist")
     median = exact_quantiles(hits, keys, "ret", {"median_return": 0.5}, hist=hist)
     sums = hist.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "wins")]).where(F.col("n") >= min_n)
@@ -142,25 +142,6 @@ def direction_of(hit_rate: Column) -> Column:
     return F.when(rate > 0.5, "bull").when(rate < 0.5, "bear").otherwise("none")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average rank of each value in its group without ranking a group in one task.
-
-    Equal values are counted, counts are ranked inside logarithmic value buckets,
-    and bucket totals give the offsets.
-    """
-    from pyspark.sql import Window
-    keys = list(keys)
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_b", value_bucket(F.col("_v")))
-    order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t")).select(
-        *keys, "_b", F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.join(base, [*keys, "_b"]).select(
-        *keys, "_v", (F.col("_base") + F.sum("_c").over(inner) - (F.col("_c") - 1) / 2).alias(out))
-    return df.withColumn("_v", F.col(value)).join(ranks, [*keys, "_v"]).drop("_v")
-
-
 def feature_forward_corr(df: DataFrame, keys: Sequence[str], feature: str, ret: str) -> DataFrame:
     """Pearson and Spearman correlation of a feature with the next return."""
     keys = list(keys)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barlens.functions.core import KEYS, r, ts_text
 from barlens.operators import evaluation as ev
 from barlens.operators import resampling as rs
+from barlens.operators.permutation import PRIME, places_sql
 from barlens.operators import sweep as sw
 from barlens.plans.catalog import BARS_1D, BARS_1H, RN, TS_SQL, W_SQL, bars_1d, bars_1h, ema_sql, query
 from barlens.session import materialise, table
@@ -294,14 +295,15 @@ def viable_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frac(*parts: str) -> str:
-    """Draw number (rep - 1) % 4 of the md5 of the parts, where the replicate stands as its group of four."""
-    text = ", ".join("(rep - 1) // 4" if p == "rep" else p for p in parts)
-    return f"CAST('0x' || substr(md5(concat_ws(':', {text})), CAST(8 * ((rep - 1) % 4) + 1 AS INTEGER), 8) AS UBIGINT) / 4294967296.0"
+    """Draw of replicate ``rep`` from the md5 of the parts: two numbers that move from replicate to replicate, multiplied."""
+    digest = f"md5(concat_ws(':', {', '.join(parts)}))"
+    h = [f"(CAST('0x' || substr({digest}, {at}, 7) AS BIGINT) % {PRIME} + rep * {step} % {PRIME}) % {PRIME}" for at, step in zip((1, 8), rs.DRAW_STEPS)]
+    return f"(({h[0]}) * ({h[1]})) % {PRIME} / {PRIME}.0"
 
 
 _SHARPE = "({s} / {n}) / greatest(sqrt(greatest(({ss} - {s} * {s} / {n}) / ({n} - 1), 0)), 1e-10) * sqrt({n})"
 _ACT = f"act AS (SELECT strategy_id, count(*) AS n, {_SHARPE.format(n='count(*)', s='sum(pnl)', ss='sum(pnl * pnl)')} AS actual FROM trades GROUP BY 1)"
-REPS = 100
+REPS = 1000
 _TEST = """SELECT strategy_id, any_value(n) AS n, round(any_value(actual), 5) + 0.0 AS actual, round(avg(stat), 5) + 0.0 AS null_mean, round(stddev_pop(stat), 5) + 0.0 AS null_std, round(quantile_cont(stat, 0.95), 5) + 0.0 AS null_p95,
   round(avg(CASE WHEN stat >= actual - 1e-9 THEN 1.0 ELSE 0 END), 6) AS p_value, round(CASE WHEN stddev_pop(stat) > 1e-9 THEN (any_value(actual) - avg(stat)) / stddev_pop(stat) ELSE 0 END, 4) + 0.0 AS z FROM reps JOIN act USING (strategy_id) GROUP BY 1"""
 
@@ -339,7 +341,7 @@ def _ci_out(c: DataFrame) -> DataFrame:
     return c.select("strategy_id", "replicates", *[r(x, 5).alias(x) for x in ("boot_mean", "boot_std", "ci_low", "ci_high")], r("p_value").alias("p_value"))
 
 
-@query("bootstrap_ci", f"""WITH {ORDERS}, u AS (SELECT strategy_id, pnl, rep, {_frac('42', 'rep', 'trade_id')} AS u FROM trades, range(1, {REPS + 1}) q(rep)), w AS (SELECT *, {_poisson('u')} AS w FROM u),
+@query("bootstrap_ci", f"""WITH {ORDERS}, u AS (SELECT strategy_id, pnl, rep, {_frac("'42'", 'trade_id')} AS u FROM trades, range(1, {REPS + 1}) q(rep)), w AS (SELECT *, {_poisson('u')} AS w FROM u),
 reps AS (SELECT strategy_id, rep, {_SHARPE.format(n='sum(w)', s='sum(w * pnl)', ss='sum(w * pnl * pnl)')} AS stat FROM w WHERE w > 0 GROUP BY 1, 2 HAVING sum(w) > 1) {_CI}""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ci_out(rs.bootstrap_ci(orders_ledger(spark, sf_dir), BY, ["trade_id"], REPS))
@@ -347,20 +349,23 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("block_bootstrap", f"""WITH {ORDERS}, nr AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY entry_ts, trade_id) - 1 AS rn, count(*) OVER (PARTITION BY strategy_id) AS nn FROM trades),
 b AS (SELECT strategy_id, CASE WHEN nn >= 60 THEN rn // 20 ELSE rn END AS blk, count(*) AS c, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM nr GROUP BY 1, 2),
-u AS (SELECT b.*, rep, {_frac('42', 'rep', 'strategy_id', 'blk')} AS u FROM b, range(1, {REPS + 1}) q(rep)), w AS (SELECT *, {_poisson('u')} AS w FROM u),
+u AS (SELECT b.*, rep, {_frac("'42'", 'strategy_id', 'blk')} AS u FROM b, range(1, {REPS + 1}) q(rep)), w AS (SELECT *, {_poisson('u')} AS w FROM u),
 reps AS (SELECT strategy_id, rep, {_SHARPE.format(n='sum(w * c)', s='sum(w * s)', ss='sum(w * ss)')} AS stat FROM w WHERE w > 0 GROUP BY 1, 2 HAVING sum(w * c) > 1) {_CI}""")
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ci_out(rs.block_bootstrap(orders_ledger(spark, sf_dir), BY, ["entry_ts", "trade_id"], 20, REPS))
 
 
+PERMS = 300
+
+
 def _permuted_sql(bars: str, n: int) -> str:
-    def h(tag: str) -> str:
-        return f"md5(concat_ws(':', '42', '{tag}', perm_id, symbol, timeframe, rn))"
+    def places(tag: str, source: str, x: str, size: str) -> str:
+        return places_sql(source, x, size, "perm_id", f"'42', '{tag}', symbol, timeframe", "perm_id, symbol, timeframe, rn")
     return f"""{bars}, {RN},
-mv AS (SELECT symbol, timeframe, ts, rn, volume, ln(open) AS lo, ln(high) - ln(open) AS dh, ln(low) - ln(open) AS dl, ln(close) - ln(open) AS dc, ln(open) - ln(lag(close) OVER {W_SQL}) AS gap FROM numbered),
+mv AS (SELECT symbol, timeframe, ts, rn, count(*) OVER (PARTITION BY symbol, timeframe) AS n, volume, ln(open) AS lo, ln(high) - ln(open) AS dh, ln(low) - ln(open) AS dl, ln(close) - ln(open) AS dc, ln(open) - ln(lag(close) OVER {W_SQL}) AS gap FROM numbered),
 cp AS (SELECT mv.*, perm_id FROM mv, range(1, {n + 1}) q(perm_id)),
-sh AS (SELECT perm_id, symbol, dh, dl, dc, row_number() OVER (PARTITION BY perm_id, symbol ORDER BY {h('shape')}) - 1 AS pos FROM cp),
-gp AS (SELECT perm_id, symbol, gap, row_number() OVER (PARTITION BY perm_id, symbol ORDER BY {h('gap')}) AS pos FROM cp WHERE rn > 0),
+sh AS (SELECT perm_id, symbol, dh, dl, dc, y AS pos FROM {places('shape', 'cp', 'rn', 'n')} JOIN mv USING (symbol, timeframe, rn)),
+gp AS (SELECT perm_id, symbol, gap, y + 1 AS pos FROM {places('gap', '(SELECT * FROM cp WHERE rn > 0)', '(rn - 1)', '(n - 1)')} JOIN mv USING (symbol, timeframe, rn)),
 jn AS (SELECT cp.perm_id, cp.symbol, cp.timeframe, cp.ts, cp.rn, cp.volume, sh.dh, sh.dl, sh.dc, coalesce(CASE WHEN cp.rn = 0 THEN cp.lo END, 0) + coalesce(gp.gap, 0) + coalesce(p.dc, 0) AS step
   FROM cp JOIN sh ON sh.perm_id = cp.perm_id AND sh.symbol = cp.symbol AND sh.pos = cp.rn LEFT JOIN gp ON gp.perm_id = cp.perm_id AND gp.symbol = cp.symbol AND gp.pos = cp.rn
   LEFT JOIN sh p ON p.perm_id = cp.perm_id AND p.symbol = cp.symbol AND p.pos = cp.rn - 1),
@@ -368,8 +373,20 @@ lv AS (SELECT *, sum(step) OVER (PARTITION BY perm_id, symbol ORDER BY rn ROWS U
 pb AS (SELECT perm_id, symbol, timeframe, ts, exp(nlo) AS open, exp(nlo + dh) AS high, exp(nlo + dl) AS low, exp(nlo + dc) AS close, volume FROM lv)"""
 
 
-@query("bar_permute", f"WITH {_permuted_sql(BARS_1H, 3)} SELECT CAST(perm_id AS INTEGER) AS perm_id, symbol, {TS_SQL}, round(ln(open), 7) + 0.0 AS log_open, round(ln(high), 7) + 0.0 AS log_high, round(ln(low), 7) + 0.0 AS log_low, round(ln(close), 7) + 0.0 AS log_close FROM pb")
+@query("bar_permute", f"""WITH {_permuted_sql(BARS_1H, PERMS)} SELECT CAST(perm_id AS INTEGER) AS perm_id, symbol, count(*) AS n, round(avg(ln(open)), 7) + 0.0 AS mean_open, round(avg(ln(high)), 7) + 0.0 AS mean_high,
+  round(min(ln(low)), 7) + 0.0 AS lowest, round(arg_max(ln(close), ts), 7) + 0.0 AS last_close, round(regr_slope(ln(close), volume), 6) + 0.0 AS on_volume FROM pb GROUP BY 1, 2""")
 def bar_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of 300 permuted copies of every series."""
+    p = rs.bar_permute(bars_1h(spark, sf_dir), PERMS)
+    log = {c: F.ln(c) for c in ("open", "high", "low", "close")}
+    return p.groupBy("perm_id", "symbol").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg(log["open"]), 7).alias("mean_open"), r(F.avg(log["high"]), 7).alias("mean_high"), r(F.min(log["low"]), 7).alias("lowest"),
+        r(F.max_by(log["close"], "ts"), 7).alias("last_close"), r(F.regr_slope(log["close"], F.col("volume")), 6).alias("on_volume"))
+
+
+@query("bar_permute_rows", f"WITH {_permuted_sql(BARS_1H, 3)} SELECT CAST(perm_id AS INTEGER) AS perm_id, symbol, {TS_SQL}, round(ln(open), 7) + 0.0 AS log_open, round(ln(high), 7) + 0.0 AS log_high, round(ln(low), 7) + 0.0 AS log_low, round(ln(close), 7) + 0.0 AS log_close FROM pb")
+def bar_permute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars themselves of three copies."""
     p = rs.bar_permute(bars_1h(spark, sf_dir), 3)
     return p.select("perm_id", "symbol", ts_text().alias("ts"), *[r(F.ln(c), 7).alias(f"log_{c}") for c in ("open", "high", "low", "close")])
 
@@ -384,14 +401,11 @@ def _pf_sql(src: str, by: str) -> str:
   WHERE signal <> 0 AND fwd IS NOT NULL GROUP BY {by})"""
 
 
-@query("permutation_pvalue", f"""WITH {_permuted_sql(BARS_1H, 20)}, re AS {_pf_sql('bars', 'symbol')}, pe AS {_pf_sql('pb', 'symbol, perm_id')}
+@query("permutation_pvalue", f"""WITH {_permuted_sql(BARS_1H, PERMS)}, re AS {_pf_sql('bars', 'symbol')}, pe AS {_pf_sql('pb', 'symbol, perm_id')}
 SELECT re.symbol, round(any_value(re.pf), 5) AS real_pf, count(pe.pf) AS n_valid, count(*) FILTER (WHERE pe.pf >= re.pf) AS n_better,
   round((count(*) FILTER (WHERE pe.pf >= re.pf) + 1) * 1.0 / (count(pe.pf) + 1), 4) AS p_value FROM re LEFT JOIN pe ON pe.symbol = re.symbol AND pe.pf IS NOT NULL GROUP BY 1""")
 def permutation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often permuted bars give an EMA cross at least the profit factor of the real bars."""
+    """How often 300 permutations of the bars give an EMA cross at least the profit factor of the real bars."""
     bars = materialise(bars_1h(spark, sf_dir), "bars")
-    perms = rs.bar_permute(bars, 20).withColumn("symbol", F.concat_ws("#", "symbol", "perm_id"))
-    perm_pf = rs.cross_profit_factor(materialise(perms, "permuted"), ["symbol"], 5, 20).withColumn(
-        "symbol", F.substring_index("symbol", "#", 1))
-    p = rs.mcpt_pvalue(rs.cross_profit_factor(bars, ["symbol"], 5, 20), perm_pf, ["symbol"])
+    p = rs.mcpt_pvalue(rs.cross_profit_factor(bars, ["symbol"], 5, 20), rs.permuted_cross_profit_factor(bars, ["symbol"], 5, 20, n=PERMS), ["symbol"])
     return p.select("symbol", r("real_pf", 5).alias("real_pf"), "n_valid", "n_better", "p_value")
