@@ -17,6 +17,7 @@ from barlens.functions.core import (
 )
 from barlens.operators.blocks import SLICE_BARS, timeframe_seconds
 from barlens.operators.numbering import number_rows
+from barlens.session import materialise
 
 
 def daily_equity(trades: DataFrame, by: Sequence[str], cash: float = 100000.0) -> DataFrame:
@@ -249,52 +250,88 @@ def recent_window(bars: DataFrame, days: int = 90, min_all: int = 50, min_recent
     return near.join(counts, list(KEYS)).where((F.col("_all") >= min_all) & (F.col("_recent") >= min_recent)).drop("_end", "_all", "_recent")
 
 
+SHORT_FOLDS = "short_folds"
+
+
 def expanding_folds(bars: DataFrame, n_folds: int = 5, min_size: int = 500) -> DataFrame:
-    """Bars once per fold and split: fold i trains on [0, (i+1) f) and tests on [(i+1) f, (i+2) f)."""
+    """Bars once per fold and split: fold i trains on [0, (i+1) f) and tests on [(i+1) f, (i+2) f).
+
+    A series whose folds would have fewer than ``min_size`` bars stays in the result: its bars come once,
+    without fold and split, with ``reject_reason`` 'short_folds'.
+    """
     if n_folds < 3:
         raise ValueError("at least three folds are needed")
     slice_ = F.floor(F.unix_seconds("ts") / (timeframe_seconds(F.col("timeframe")) * SLICE_BARS))
     numbered = number_rows(bars, KEYS, slice_, ["ts"], "rn", "_total").withColumn("_size", F.floor(F.col("_total") / (n_folds + 1)))
-    numbered = numbered.where(F.col("_size") >= min_size)
-    place = F.floor(F.col("rn") / F.col("_size"))
-    folds = F.filter(
+    short = F.col("_size") < min_size
+    place = F.floor(F.col("rn") / F.when(short, F.lit(1)).otherwise(F.col("_size")))
+    of_fold = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda i: F.struct(
             i.alias("fold"), F.when(place <= i, "train").when(place == i + 1, "test").alias("split"))),
         lambda x: x["split"].isNotNull())
-    return numbered.select("*", F.inline(folds)).drop("_total", "_size")
+    unplaced = F.array(F.struct(F.lit(None).cast("int").alias("fold"), F.lit(None).cast("string").alias("split")))
+    return numbered.select("*", F.when(short, F.lit(SHORT_FOLDS)).alias("reject_reason"), F.inline(F.when(short, unplaced).otherwise(of_fold))).drop("_total", "_size")
 
 
 def fold_ranges(folds: DataFrame) -> DataFrame:
-    return folds.groupBy(*KEYS, "fold", "split").agg(
+    """Bars and first and last time of each series, fold and split; of a short series once, without fold and split."""
+    return folds.groupBy(*KEYS, "fold", "split", "reject_reason").agg(
         F.count(F.lit(1)).alias("bars"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
 
 
+def in_folds(trades: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Trades with each fold and split of their series that their entry lies in.
+
+    Times are cut into slices of ``SLICE_BARS`` bar widths; a range is listed under every slice it touches and a
+    trade looks into its own slice only, so a hot series is met slice by slice and not as one key.
+    """
+    width = timeframe_seconds(F.col("timeframe")) * SLICE_BARS
+    place = lambda c: F.floor(F.unix_seconds(c) / width)
+    listed = ranges.where("fold IS NOT NULL").select(*KEYS, "fold", "split", "from_ts", "to_ts", F.explode(F.sequence(place("from_ts"), place("to_ts"))).alias("_slice"))
+    return trades.withColumn("_slice", place("entry_ts")).join(listed, [*KEYS, "_slice"]).where("entry_ts BETWEEN from_ts AND to_ts").drop("_slice", "from_ts", "to_ts")
+
+
 def fold_metrics(trades: DataFrame, ranges: DataFrame, variant: str) -> DataFrame:
-    """Per symbol and fold the variant that is best in training and how it does in the test part.
+    """Per series and fold the variant that is best in training and how it does in the test part.
 
-    ``ranges`` has one row per symbol, fold and split.  A trade counts where it is entered.
+    ``trades`` has symbol, timeframe, entry_ts, pnl and the variant, ``ranges`` one row per series, fold and
+    split.  A trade counts where it is entered.  ``is_sharpe`` and ``oos_sharpe`` are annual (trades per calendar year), as in the
+    trade metrics, and choose the variant; ``is_trade_sharpe`` and ``oos_trade_sharpe`` go by the number of trades.  A fold
+    without training trades has no variant and zeros; a short series comes once with its ``reject_reason``.
     """
-    r_ = ranges.select("symbol", "fold", "split", "from_ts", "to_ts")
-    placed = trades.join(r_, "symbol").where((F.col("entry_ts") >= F.col("from_ts")) & (F.col("entry_ts") <= F.col("to_ts")))
-    m = _moments(placed, ["symbol", variant, "fold", "split"]).withColumn("sharpe", _sharpe())
-    wide = m.groupBy("symbol", variant, "fold").agg(
-        F.max(F.when(F.col("split") == "train", F.col("sharpe"))).alias("is_sharpe"),
-        F.coalesce(F.max(F.when(F.col("split") == "test", F.col("sharpe"))), F.lit(0.0)).alias("oos_sharpe"))
-    w = Window.partitionBy("symbol", "fold").orderBy(F.desc_nulls_last(F.round("is_sharpe", 9)), variant)
-    return wide.where("is_sharpe IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    by = [*KEYS, "fold"]
+    yearly = _moments(in_folds(trades, ranges).withColumn("_y", F.year("entry_ts")), [*by, variant, "split", "_y"])
+    m = yearly.groupBy(*by, variant, "split").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.avg("n").alias("_per_year"))
+    n, mean = F.col("n"), F.col("s") / F.col("n")
+    annual = F.coalesce(sharpe_trade_annual(mean, sd_from_sums(n, F.col("s"), F.col("ss")), F.col("_per_year")), F.lit(0.0))
+    m = m.select(*by, variant, "split", "n", annual.alias("annual"), _sharpe().alias("count"))
+
+    def of(split: str, c: str):
+        return F.max(F.when(F.col("split") == split, F.col(c)))
+    wide = m.groupBy(*by, variant).agg(
+        of("train", "annual").alias("is_sharpe"), F.coalesce(of("test", "annual"), F.lit(0.0)).alias("oos_sharpe"), of("train", "count").alias("is_trade_sharpe"),
+        F.coalesce(of("test", "count"), F.lit(0.0)).alias("oos_trade_sharpe"), F.coalesce(of("test", "n"), F.lit(0)).alias("oos_trades"))
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(F.round("is_sharpe", 9)), variant)
+    best = wide.where("is_sharpe IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    every = ranges.select(*by, "reject_reason").distinct().join(best, by, "left")
+    placed = F.col("fold").isNotNull()
+    return every.select(*by, variant, *[F.when(placed, F.coalesce(c, F.lit(0))).alias(c) for c in ("is_sharpe", "oos_sharpe", "is_trade_sharpe", "oos_trade_sharpe", "oos_trades")], "reject_reason")
 
 
 def wf_summary(folds: DataFrame, by: Sequence[str], min_oos_sharpe: float = 0.6, max_ratio: float = 2.5) -> DataFrame:
-    """Mean, deviation (population), minimum, overfitting ratio and the first reason to reject."""
+    """Mean, deviation (population), minimum, overfitting ratio and the first reason to reject.
+
+    A series that had no folds keeps its own reason and has no figures.
+    """
     oos = F.col("oos_sharpe")
     agg = folds.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_folds"), F.avg(oos).alias("mean_oos"), F.stddev_pop(oos).alias("std_oos"),
+        *([F.max("reject_reason").alias("_given")] if "reject_reason" in folds.columns else [F.max(F.lit(None).cast("string")).alias("_given")]), F.count(oos).alias("n_folds"), F.avg(oos).alias("mean_oos"), F.stddev_pop(oos).alias("std_oos"),
         F.min(oos).alias("min_oos"), F.avg("is_sharpe").alias("mean_is"), F.count_if(oos < 0).alias("n_negative"))
     mo, mi = F.col("mean_oos"), F.col("mean_is")
-    ratio = F.when(mo > 0, mi / mo).when(mi > 0, 10.0).otherwise(1.0)
+    ratio = F.when(mo.isNull(), None).when(mo > 0, mi / mo).when(mi > 0, 10.0).otherwise(1.0)
     return agg.withColumn("overfitting_ratio", ratio).withColumn("overfitting_flag", F.col("overfitting_ratio") > max_ratio).withColumn(
-        "reject_reason", F.when(mo < min_oos_sharpe, "low_oos_sharpe").when(
-            F.col("n_negative") > F.floor(F.col("n_folds") / 2), "negative_folds").when(F.col("overfitting_flag"), "overfitted"))
+        "reject_reason", F.coalesce("_given", F.when(mo < min_oos_sharpe, "low_oos_sharpe").when(
+            F.col("n_negative") > F.floor(F.col("n_folds") / 2), "negative_folds").when(F.col("overfitting_flag"), "overfitted"))).drop("_given")
 
 
 def robust_params(folds: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -308,18 +345,28 @@ def oos_degradation_gate(oos, train, floor: float = 0.6, share: float = 0.5):
     return oos >= F.greatest(F.lit(floor), share * train)
 
 
-def recent_gate(trades: DataFrame, by: Sequence[str], days: int = 90, min_n: int = 3, floor: float = -0.3) -> DataFrame:
-    """Fails a strategy whose last ``days`` hold at least ``min_n`` trades with a Sharpe below ``floor``."""
+def recent_gate(trades: DataFrame, bars: DataFrame, by: Sequence[str], days: int = 90, min_n: int = 3, floor: float = -0.3,
+                min_all: int = 50, min_recent: int = 30) -> DataFrame:
+    """Fails a strategy that over the last ``days`` of its series' bars makes at least ``min_n`` trades with a Sharpe below ``floor``.
+
+    ``by`` holds symbol and timeframe.  Series with fewer than ``min_all`` bars, or ``min_recent`` in the window, are not judged:
+    they pass with ``judged`` false.  A strategy without recent trades passes with n = 0.
+    """
     by = list(by)
-    ends = trades.groupBy(*by).agg(F.max("entry_ts").alias("_end"))
-    near = trades.join(ends, by).where(F.col("entry_ts") >= F.col("_end") - F.make_dt_interval(F.lit(days)))
-    m = _moments(near, by).withColumn("recent_sharpe", _sharpe())
-    return m.select(*by, "n", "recent_sharpe", (~((F.col("n") >= min_n) & (F.col("recent_sharpe") < floor))).alias("passed"))
+    ends = materialise(bars.groupBy(*KEYS).agg(F.max("ts").alias("_end"), F.count(F.lit(1)).alias("_all")), "ends")
+    since = F.col("_end") - F.make_dt_interval(F.lit(days))
+    recent = bars.join(ends, list(KEYS)).where(F.col("ts") >= since).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_recent"))
+    series = materialise(ends.join(recent, list(KEYS)).select(*KEYS, since.alias("_since"), ((F.col("_all") >= min_all) & (F.col("_recent") >= min_recent)).alias("judged")), "recent")
+    near = F.when(F.col("entry_ts") >= F.col("_since"), F.col("pnl"))
+    m = _moments(trades.join(series, list(KEYS)).select(*by, "judged", near.alias("pnl")), [*by, "judged"])
+    found = m.withColumn("recent_sharpe", F.when(F.col("n") > 0, _sharpe()))
+    fails = F.col("judged") & (F.col("n") >= min_n) & (F.col("recent_sharpe") < floor)
+    return found.select(*by, "judged", "n", "recent_sharpe", (~F.coalesce(fails, F.lit(False))).alias("passed"))
 
 
 def purged_folds(folds: DataFrame, label_bars: int, embargo_bars: int) -> DataFrame:
-    """Train rows whose label window or embargo reaches into the fold's test rows are left out."""
+    """Train rows whose label window or embargo reaches into the fold's test rows are left out; short series stay as they are."""
     tests = folds.where("split = 'test'").groupBy(*KEYS, "fold").agg(F.min("rn").alias("_a"), F.max("rn").alias("_b"))
-    joined = folds.join(tests, [*KEYS, "fold"])
+    joined = folds.join(tests, [*KEYS, "fold"], "left")
     overlaps = (F.col("rn") + label_bars >= F.col("_a")) & (F.col("rn") <= F.col("_b") + embargo_bars)
-    return joined.where((F.col("split") == "test") | ~overlaps).drop("_a", "_b")
+    return joined.where(F.col("split").isNull() | (F.col("split") == "test") | ~overlaps).drop("_a", "_b")

@@ -12,8 +12,9 @@ from barlens.operators import evaluation as ev
 from barlens.operators import resampling as rs
 from barlens.operators.permutation import PRIME, places_sql
 from barlens.operators import sweep as sw
-from barlens.plans.catalog import BARS_1D, BARS_1H, RN, TS_SQL, W_SQL, bars_1d, bars_1h, ema_sql, query
+from barlens.plans.catalog import BARS_1D, BARS_1H, RN, TS_SQL, W_SQL, bars_1d, bars_1h, ema_sql, query, ticks
 from barlens.session import materialise, table
+from barlens.sources.bars import bars_from_ticks
 
 # two ledgers: orders (years of daily trades) and events (hours of a month)
 ORDERS = """trades AS (SELECT o_orderpriority AS strategy_id, o_orderstatus AS symbol, CAST(o_orderdate AS TIMESTAMP) AS entry_ts,
@@ -195,76 +196,105 @@ def session_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_1h(spark, sf_dir).where((F.hour("ts") >= 7) & (F.hour("ts") < 17)).select("symbol", ts_text().alias("ts"), r("close").alias("close"))
 
 
-_FOLDS = f"""{BARS_1D}, {RN}, c AS (SELECT *, count(*) OVER (PARTITION BY symbol) // 4 AS size FROM numbered),
-folds AS (SELECT c.*, f AS fold, CASE WHEN rn < (f + 1) * size THEN 'train' ELSE 'test' END AS split FROM c, range(3) q(f) WHERE rn < (f + 2) * size AND size >= 100),
-ranges AS (SELECT symbol, fold, split, count(*) AS bars, min(ts) AS a, max(ts) AS b FROM folds GROUP BY 1, 2, 3)"""
+# three timeframes of every event type and of all events together: long series have folds, short ones are marked
+_WIDTHS = {"1m": "1 MINUTE", "5m": "5 MINUTE", "1h": "1 HOUR"}
+_MANY = "bars AS (" + " UNION ALL ".join(f"""SELECT symbol, '{tf}' AS timeframe, time_bucket(INTERVAL {w}, ts) AS ts, arg_min(100.0 + value, (ts, event_id)) AS open, max(100.0 + value) AS high,
+  min(100.0 + value) AS low, arg_max(100.0 + value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+  FROM (SELECT event_type AS symbol, * FROM events UNION ALL SELECT 'ALL' AS symbol, * FROM events) GROUP BY 1, 3""" for tf, w in _WIDTHS.items()) + ")"
 
 
-@query("expanding_folds", f"WITH {_FOLDS} SELECT symbol, CAST(fold AS INTEGER) AS fold, split, bars, strftime(a, '%Y-%m-%d') AS from_day, strftime(b, '%Y-%m-%d') AS to_day FROM ranges")
+def _many_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    both = t.union(t.withColumn("symbol", F.lit("ALL")))
+    parts = [bars_from_ticks(both, symbol=F.col("symbol"), ts=F.col("ts"), price=F.col("price"), size=F.lit(1.0), width=w, tie=[F.col("event_id")]) for w in _WIDTHS]
+    return materialise(parts[0].union(parts[1]).union(parts[2]), "bars")
+
+
+_FOLDS = f"""{_MANY}, {RN}, c AS (SELECT *, count(*) OVER (PARTITION BY symbol, timeframe) // 6 AS size FROM numbered),
+folds AS (SELECT c.*, f AS fold, CASE WHEN rn < (f + 1) * size THEN 'train' ELSE 'test' END AS split FROM c, range(5) q(f) WHERE rn < (f + 2) * size AND size >= 500),
+short AS (SELECT symbol, timeframe, count(*) AS bars, min(ts) AS a, max(ts) AS b FROM c WHERE size < 500 GROUP BY 1, 2),
+ranges AS (SELECT symbol, timeframe, fold, split, count(*) AS bars, min(ts) AS a, max(ts) AS b FROM folds GROUP BY 1, 2, 3, 4)"""
+
+
+@query("expanding_folds", f"""WITH {_FOLDS} SELECT symbol, timeframe, CAST(fold AS INTEGER) AS fold, split, bars, strftime(a, '%Y-%m-%d %H:%M') AS from_time, strftime(b, '%Y-%m-%d %H:%M') AS to_time, NULL AS reject_reason FROM ranges
+UNION ALL SELECT symbol, timeframe, NULL, NULL, bars, strftime(a, '%Y-%m-%d %H:%M'), strftime(b, '%Y-%m-%d %H:%M'), 'short_folds' FROM short""")
 def expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ev.fold_ranges(ev.expanding_folds(bars_1d(spark, sf_dir), 3, 100))
-    return f.select("symbol", "fold", "split", "bars", F.date_format("from_ts", "yyyy-MM-dd").alias("from_day"), F.date_format("to_ts", "yyyy-MM-dd").alias("to_day"))
+    f = ev.fold_ranges(ev.expanding_folds(_many_bars(spark, sf_dir)))
+    return f.select(*KEYS, "fold", "split", "bars", F.date_format("from_ts", "yyyy-MM-dd HH:mm").alias("from_time"), F.date_format("to_ts", "yyyy-MM-dd HH:mm").alias("to_time"), "reject_reason")
 
 
-@query("purged_folds", f"""WITH {_FOLDS}, t AS (SELECT symbol, fold, min(rn) AS a, max(rn) AS b FROM folds WHERE split = 'test' GROUP BY 1, 2)
-SELECT symbol, CAST(fold AS INTEGER) AS fold, split, count(*) AS n, CAST(max(rn) AS BIGINT) AS last_row FROM folds JOIN t USING (symbol, fold) WHERE split = 'test' OR NOT (rn + 10 >= a AND rn <= b + 5) GROUP BY 1, 2, 3""")
+@query("purged_folds", f"""WITH {_FOLDS}, t AS (SELECT symbol, timeframe, fold, min(rn) AS a, max(rn) AS b FROM folds WHERE split = 'test' GROUP BY 1, 2, 3)
+SELECT symbol, timeframe, CAST(fold AS INTEGER) AS fold, split, count(*) AS n, CAST(max(rn) AS BIGINT) AS last_row FROM folds JOIN t USING (symbol, timeframe, fold) WHERE split = 'test' OR NOT (rn + 10 >= a AND rn <= b + 5) GROUP BY 1, 2, 3, 4
+UNION ALL SELECT symbol, timeframe, NULL, NULL, bars, bars - 1 FROM short""")
 def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ev.purged_folds(ev.expanding_folds(bars_1d(spark, sf_dir), 3, 100), 10, 5)
-    return p.groupBy("symbol", "fold", "split").agg(F.count(F.lit(1)).alias("n"), F.max("rn").alias("last_row"))
+    p = ev.purged_folds(ev.expanding_folds(_many_bars(spark, sf_dir)), 10, 5)
+    return p.groupBy(*KEYS, "fold", "split").agg(F.count(F.lit(1)).alias("n"), F.max("rn").alias("last_row"))
 
 
-# walk-forward over holding periods of the order of a parameter grid: the variant is the day count modulo three
-_WF = f"""{BARS_1D}, {RN}, c AS (SELECT *, count(*) OVER (PARTITION BY symbol) // 4 AS size FROM numbered),
-folds AS (SELECT c.*, f AS fold, CASE WHEN rn < (f + 1) * size THEN 'train' ELSE 'test' END AS split FROM c, range(3) q(f) WHERE rn < (f + 2) * size AND size >= 100),
-ranges AS (SELECT symbol, fold, split, min(ts) AS a, max(ts) AS b FROM folds GROUP BY 1, 2, 3),
-trades AS (SELECT symbol, p AS variant, ts AS entry_ts, lead(close, 5) OVER {W_SQL.replace('symbol, timeframe', 'symbol, p')} - close AS pnl, close - lag(close, p) OVER {W_SQL.replace('symbol, timeframe', 'symbol, p')} AS mom
+# walk-forward over holding rules of three momentum lengths as a parameter grid
+_TRADES = f"""trades AS (SELECT symbol, timeframe, p AS variant, ts AS entry_ts, lead(close, 5) OVER {W_SQL.replace('timeframe', 'timeframe, p', 1)} - close AS pnl, close - lag(close, p) OVER {W_SQL.replace('timeframe', 'timeframe, p', 1)} AS mom
   FROM bars, (VALUES (5), (10), (20)) q(p)),
-picked AS (SELECT * FROM trades WHERE mom > 0 AND pnl IS NOT NULL),
-m AS (SELECT t.symbol, variant, fold, split, avg(pnl) / stddev_samp(pnl) * sqrt(count(*)) AS sharpe FROM picked t JOIN ranges r ON t.symbol = r.symbol AND entry_ts BETWEEN a AND b GROUP BY 1, 2, 3, 4),
-w AS (SELECT symbol, variant, fold, max(sharpe) FILTER (WHERE split = 'train') AS is_sharpe, coalesce(max(sharpe) FILTER (WHERE split = 'test'), 0) AS oos_sharpe FROM m GROUP BY 1, 2, 3),
-fm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY round(is_sharpe, 9) DESC, variant) AS k FROM w WHERE is_sharpe IS NOT NULL) WHERE k = 1)"""
-
-
-def _wf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barlens.operators.blocks import Step, compute, lag_sql, sql_columns
-    bars = materialise(bars_1d(spark, sf_dir), "bars")
-    ranges = materialise(ev.fold_ranges(ev.expanding_folds(bars, 3, 100)), "folds")
+picked AS (SELECT * FROM trades WHERE mom > 0 AND pnl IS NOT NULL)"""
+_WF = f"""{_FOLDS}, {_TRADES},
+yearly AS (SELECT t.symbol, t.timeframe, variant, fold, split, year(entry_ts) AS y, count(*) AS c, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM picked t JOIN ranges r ON t.symbol = r.symbol AND t.timeframe = r.timeframe AND entry_ts BETWEEN a AND b GROUP BY ALL),
+m AS (SELECT symbol, timeframe, variant, fold, split, sum(c) AS n, coalesce(sum(s) / sum(c) / nullif(sqrt(greatest((sum(ss) - sum(s) * sum(s) / sum(c)) / nullif(sum(c) - 1, 0), 0)), 0), 0) AS ratio, sqrt(greatest(avg(c), 1)) AS annual FROM yearly GROUP BY 1, 2, 3, 4, 5),
+w AS (SELECT symbol, timeframe, variant, fold, max(ratio * annual) FILTER (WHERE split = 'train') AS is_sharpe, coalesce(max(ratio * annual) FILTER (WHERE split = 'test'), 0) AS oos_sharpe,
+  max(ratio * sqrt(n)) FILTER (WHERE split = 'train') AS is_trade_sharpe, coalesce(max(ratio * sqrt(n)) FILTER (WHERE split = 'test'), 0) AS oos_trade_sharpe, coalesce(max(n) FILTER (WHERE split = 'test'), 0) AS oos_trades FROM m GROUP BY 1, 2, 3, 4),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe, fold ORDER BY round(is_sharpe, 9) DESC, variant) AS k FROM w WHERE is_sharpe IS NOT NULL) WHERE k = 1),
+fm AS (SELECT r.symbol, r.timeframe, r.fold, variant, coalesce(is_sharpe, 0) AS is_sharpe, coalesce(oos_sharpe, 0) AS oos_sharpe, coalesce(is_trade_sharpe, 0) AS is_trade_sharpe, coalesce(oos_trade_sharpe, 0) AS oos_trade_sharpe, coalesce(oos_trades, 0) AS oos_trades, NULL AS reject_reason
+  FROM (SELECT DISTINCT symbol, timeframe, fold FROM ranges) r LEFT JOIN best b ON b.symbol = r.symbol AND b.timeframe = r.timeframe AND b.fold = r.fold
+  UNION ALL SELECT symbol, timeframe, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'short_folds' FROM short)"""
+
+
+def _momentum_trades(bars: DataFrame) -> DataFrame:
+    from barlens.operators.blocks import compute, lag_sql, sql_columns
     moves = compute(bars, [
-        sql_columns([], {"pnl": f"lead(close, 5) OVER (PARTITION BY symbol, timeframe, _blk ORDER BY ts) - close"}, after=5),
+        sql_columns([], {"pnl": "lead(close, 5) OVER (PARTITION BY symbol, timeframe, _blk ORDER BY ts) - close"}, after=5),
         sql_columns([], {f"mom{p}": f"close - {lag_sql('close', p)}" for p in (5, 10, 20)}, before=20)])
-    trades = moves.select("symbol", F.col("ts").alias("entry_ts"), "pnl", F.explode(F.array(*[
+    return moves.select(*KEYS, F.col("ts").alias("entry_ts"), "pnl", F.explode(F.array(*[
         F.struct(F.lit(p).alias("variant"), F.col(f"mom{p}").alias("mom")) for p in (5, 10, 20)])).alias("v")).select(
-            "symbol", "entry_ts", "pnl", "v.*").where("mom > 0 AND pnl IS NOT NULL")
-    return ev.fold_metrics(trades, ranges, "variant")
+            *KEYS, "entry_ts", "pnl", "v.*").where("mom > 0 AND pnl IS NOT NULL")
+
+
+def _wf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _many_bars(spark, sf_dir)
+    ranges = materialise(ev.fold_ranges(ev.expanding_folds(bars)), "folds")
+    return ev.fold_metrics(_momentum_trades(bars), ranges, "variant")
 
 
-@query("fold_metrics", f"WITH {_WF} SELECT symbol, variant, CAST(fold AS INTEGER) AS fold, round(is_sharpe, 5) + 0.0 AS is_sharpe, round(oos_sharpe, 5) + 0.0 AS oos_sharpe FROM fm")
+_FM = ("is_sharpe", "oos_sharpe", "is_trade_sharpe", "oos_trade_sharpe")
+
+
+@query("fold_metrics", f"WITH {_WF} SELECT symbol, timeframe, variant, CAST(fold AS INTEGER) AS fold, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in _FM)}, oos_trades, reject_reason FROM fm")
 def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_wf(spark, sf_dir), 5, "symbol", "variant", "fold")
+    return _wf(spark, sf_dir).select(*KEYS, "variant", "fold", *[r(c, 5).alias(c) for c in _FM], "oos_trades", "reject_reason")
 
 
-@query("walk_forward_summary", f"""WITH {_WF}, a AS (SELECT symbol, count(*) AS n_folds, avg(oos_sharpe) AS mo, stddev_pop(oos_sharpe) AS so, min(oos_sharpe) AS mi, avg(is_sharpe) AS ms, count(*) FILTER (WHERE oos_sharpe < 0) AS ng FROM fm GROUP BY 1),
-b AS (SELECT *, CASE WHEN mo > 0 THEN ms / mo WHEN ms > 0 THEN 10.0 ELSE 1.0 END AS ratio FROM a)
-SELECT symbol, n_folds, round(mo, 5) + 0.0 AS mean_oos, round(so, 5) AS std_oos, round(mi, 5) + 0.0 AS min_oos, round(ratio, 5) AS overfitting_ratio, ratio > 2.5 AS overfitting_flag,
-  CASE WHEN mo < 0.6 THEN 'low_oos_sharpe' WHEN ng > n_folds // 2 THEN 'negative_folds' WHEN ratio > 2.5 THEN 'overfitted' END AS reject_reason FROM b""")
+@query("walk_forward_summary", f"""WITH {_WF}, a AS (SELECT symbol, timeframe, count(oos_sharpe) AS n_folds, avg(oos_sharpe) AS mo, stddev_pop(oos_sharpe) AS so, min(oos_sharpe) AS mi, avg(is_sharpe) AS ms, count(*) FILTER (WHERE oos_sharpe < 0) AS ng, max(reject_reason) AS given FROM fm GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN mo IS NULL THEN NULL WHEN mo > 0 THEN ms / mo WHEN ms > 0 THEN 10.0 ELSE 1.0 END AS ratio FROM a)
+SELECT symbol, timeframe, n_folds, round(mo, 5) + 0.0 AS mean_oos, round(so, 5) AS std_oos, round(mi, 5) + 0.0 AS min_oos, round(ratio, 5) AS overfitting_ratio, ratio > 2.5 AS overfitting_flag,
+  coalesce(given, CASE WHEN mo < 0.6 THEN 'low_oos_sharpe' WHEN ng > n_folds // 2 THEN 'negative_folds' WHEN ratio > 2.5 THEN 'overfitted' END) AS reject_reason FROM b""")
 def walk_forward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ev.wf_summary(_wf(spark, sf_dir), ["symbol"])
-    return s.select("symbol", "n_folds", *[r(c, 5).alias(c) for c in ("mean_oos", "std_oos", "min_oos", "overfitting_ratio")], "overfitting_flag", "reject_reason")
+    s = ev.wf_summary(_wf(spark, sf_dir), list(KEYS))
+    return s.select(*KEYS, "n_folds", *[r(c, 5).alias(c) for c in ("mean_oos", "std_oos", "min_oos", "overfitting_ratio")], "overfitting_flag", "reject_reason")
 
 
-@query("robust_params", f"""WITH {_WF}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(oos_sharpe, 9), fold) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT * EXCLUDE (k) FROM fm))
-SELECT symbol, variant, CAST(fold AS INTEGER) AS fold, round(oos_sharpe, 5) + 0.0 AS oos_sharpe, oos_sharpe >= greatest(0.6, 0.5 * is_sharpe) AS holds_up FROM k WHERE r = (n - 1) // 2 + 1""")
+@query("robust_params", f"""WITH {_WF}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY round(oos_sharpe, 9), fold) AS r, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM fm)
+SELECT symbol, timeframe, variant, CAST(fold AS INTEGER) AS fold, round(oos_sharpe, 5) + 0.0 AS oos_sharpe, oos_sharpe >= greatest(0.6, 0.5 * is_sharpe) AS holds_up, reject_reason FROM k WHERE r = (n - 1) // 2 + 1""")
 def robust_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ev.robust_params(_wf(spark, sf_dir), ["symbol"])
-    return p.select("symbol", "variant", "fold", r("oos_sharpe", 5).alias("oos_sharpe"), ev.oos_degradation_gate(F.col("oos_sharpe"), F.col("is_sharpe")).alias("holds_up"))
+    p = ev.robust_params(_wf(spark, sf_dir), list(KEYS))
+    return p.select(*KEYS, "variant", "fold", r("oos_sharpe", 5).alias("oos_sharpe"), ev.oos_degradation_gate(F.col("oos_sharpe"), F.col("is_sharpe")).alias("holds_up"), "reject_reason")
 
 
-@query("recent_gate", f"""WITH {ORDERS}, e AS (SELECT strategy_id, max(entry_ts) AS e FROM trades GROUP BY 1)
-SELECT strategy_id, count(*) AS n, round(avg(pnl) / stddev_samp(pnl) * sqrt(count(*)), 5) + 0.0 AS recent_sharpe, NOT (count(*) >= 3 AND avg(pnl) / stddev_samp(pnl) * sqrt(count(*)) < -0.3) AS passed
-FROM trades JOIN e USING (strategy_id) WHERE entry_ts >= e - INTERVAL 90 DAY GROUP BY 1""")
+@query("recent_gate", f"""WITH {BARS_1D}, {_TRADES}, e AS (SELECT symbol, timeframe, max(ts) AS e, count(*) AS n_all FROM bars GROUP BY 1, 2),
+q AS (SELECT e.*, (SELECT count(*) FROM bars b WHERE b.symbol = e.symbol AND b.ts >= e.e - INTERVAL 90 DAY) AS n_recent FROM e),
+g AS (SELECT q.symbol, variant, n_all >= 50 AND n_recent >= 30 AS judged, count(*) FILTER (WHERE entry_ts >= e - INTERVAL 90 DAY) AS n, avg(pnl) FILTER (WHERE entry_ts >= e - INTERVAL 90 DAY) AS m,
+  stddev_samp(pnl) FILTER (WHERE entry_ts >= e - INTERVAL 90 DAY) AS sd FROM picked JOIN q ON picked.symbol = q.symbol GROUP BY 1, 2, 3)
+SELECT symbol, variant, judged, n, CASE WHEN n > 0 THEN round(coalesce(m / nullif(sd, 0) * sqrt(n), 0), 5) + 0.0 END AS recent_sharpe, NOT coalesce(judged AND n >= 3 AND m / nullif(sd, 0) * sqrt(n) < -0.3, false) AS passed FROM g""")
 def recent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ev.recent_gate(orders_ledger(spark, sf_dir), BY)
-    return g.select("strategy_id", "n", r("recent_sharpe", 5).alias("recent_sharpe"), "passed")
+    bars = materialise(bars_1d(spark, sf_dir), "bars")
+    g = ev.recent_gate(_momentum_trades(bars), bars, [*KEYS, "variant"])
+    return g.select("symbol", "variant", "judged", "n", r("recent_sharpe", 5).alias("recent_sharpe"), "passed")
 
 
 _SYMTF = """g AS (SELECT o_orderpriority AS strategy_id, o_orderstatus AS symbol, CASE o_orderkey % 3 WHEN 0 THEN '1h' WHEN 1 THEN '4h' ELSE '1d' END AS timeframe, (o_totalprice - 250000.0) / 1000 AS pnl FROM orders),
@@ -285,9 +315,9 @@ def best_symbol_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("viable_timeframes", f"""WITH {_SYMTF}, k AS (SELECT *, row_number() OVER (PARTITION BY strategy_id, symbol ORDER BY trades DESC, timeframe) AS rank FROM mt WHERE trades > 0)
-SELECT strategy_id, symbol, timeframe, trades, rank FROM k WHERE rank <= 2""")
+SELECT strategy_id, symbol, timeframe, trades, rank FROM k WHERE rank <= 3""")
 def viable_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = sw.viable_timeframes(_symtf(spark, sf_dir), by=["strategy_id", "symbol"], top=2)
+    v = sw.viable_timeframes(_symtf(spark, sf_dir), by=["strategy_id", "symbol"], top=3)
     return v.select("strategy_id", "symbol", "timeframe", "trades", F.col("rank").cast("long"))
 
 

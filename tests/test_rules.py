@@ -102,6 +102,35 @@ def test_folds(spark):
                    (0, "test"): (6, 12), (1, "test"): (12, 18), (2, "test"): (18, 24)}
 
 
+def test_short_series_and_two_timeframes_keep_apart(spark):
+    long = closes(spark, range(1, 41))
+    both = long.union(long.withColumn("timeframe", F.lit("2h"))).union(closes(spark, range(1, 6)).withColumn("symbol", F.lit("short")))
+    ranges = ev.fold_ranges(ev.expanding_folds(both, 3, 4))
+    mark = [x for x in ranges.collect() if x.symbol == "short"]
+    assert [(x.fold, x.split, x.bars, x.reject_reason) for x in mark] == [(None, None, 5, "short_folds")]
+    trades = both.selectExpr("symbol", "timeframe", "ts AS entry_ts", "1 AS variant", "close % 7 - 2 AS pnl")
+    alone = ev.fold_metrics(trades.where("timeframe = '2h'"), ranges.where("timeframe = '2h'"), "variant").collect()
+    got = ev.fold_metrics(trades, ranges, "variant").collect()
+    assert sorted(tuple(x) for x in got if x.timeframe == "2h") == sorted(tuple(x) for x in alone) and len(alone) == 3
+    assert [x.reject_reason for x in got if x.symbol == "short"] == ["short_folds"]
+    summary = {(x.symbol, x.timeframe): x for x in ev.wf_summary(ev.fold_metrics(trades, ranges, "variant"), ["symbol", "timeframe"]).collect()}
+    assert len(summary) == 3 and summary["short", mark[0].timeframe].n_folds == 0
+    untraded = ev.fold_metrics(trades.where("timeframe = 'none'"), ranges, "variant").where("fold IS NOT NULL").collect()
+    assert len(untraded) == 6 and all(x.is_sharpe == 0 and x.variant is None for x in untraded)
+
+
+def test_recent_gate_goes_by_the_bars(spark):
+    bars = closes(spark, range(1, 201))  # hourly bars: all are recent
+    old = bars.selectExpr("symbol", "timeframe", "'s' AS strategy_id", "ts AS entry_ts", "IF(close % 2 = 0, -3.0, 1.0) AS pnl")
+    by = ["symbol", "timeframe", "strategy_id"]
+    row = ev.recent_gate(old, bars, by).first()
+    assert (row.n, row.judged, row.passed) == (200, True, False)
+    gone = ev.recent_gate(old.withColumn("entry_ts", F.expr("entry_ts - INTERVAL 200 DAYS")), bars, by).first()
+    assert (gone.n, gone.recent_sharpe, gone.passed) == (0, None, True)
+    few = ev.recent_gate(old, bars.limit(20), by).first()
+    assert few.judged is False and few.passed
+
+
 def test_walk_forward_summary_and_robust_fold(spark):
     folds = spark.createDataFrame([(0, 1.0, -0.2), (1, 1.0, -0.2)], "fold int, is_sharpe double, oos_sharpe double")
     row = ev.wf_summary(folds.withColumn("k", F.lit(1)), ["k"]).first()
