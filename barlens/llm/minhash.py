@@ -9,11 +9,14 @@ the probability Jaccard similarity of their weighted shingles.  Registers in ban
 make buckets; links are verified on whole shingle sets.
 
 No bucket is turned into rows of pairs.  Equal texts are one node.  First each node is
-verified against the nearest first node of its buckets; the links join most groups.  Then
-nodes of one bucket that are still in different components are compared in blocks of
-bounded size, common shingles of a whole block at once; a block gives one link for each two
-components that it joins.  Sketches only choose the nearest first node, they leave no pair of
-a block out, so no link between components of a bucket is missed.  At a similarity of 0.8 a
+verified against the nearest first node of its buckets; the links join most groups.  Nodes of
+buckets that still hold several components meet once more by shingle, but only by their rarest ones: shingles stand in one
+order, those of few nodes first, and a text enters under no more of them than weigh a fifth of it.
+A link shares four fifths of either text, so the first shingle in common lies among these of both
+(``meetings``).  Nodes that crowd under the same few shingles meet once for all of them.  The nodes of a
+meeting are compared in blocks of bounded size, common shingles of a whole block at once; a block gives one link for each two
+components that it joins.  Sketches only choose the nearest first node, they leave no pair
+out, so no link between components of a bucket is missed.  At a similarity of 0.8 a
 pair shares no bucket with probability (1 - 0.8**4)**32, 5e-8, where registers are independent;
 an element's order of registers is permuted for that, see ``registers``.
 """
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.llm.arrays import U64, chunks, grams, mix, prefix_sums, seeds, slice_hash, word_bounds, word_hashes
@@ -224,6 +227,74 @@ def block_links(group: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+#: Members and bytes of shingles that one task compares at a time, in one or more meetings.
+PACK_MEMBERS, PACK_BYTES = 2048, 16 << 20
+
+
+def flat_shingles(sets: DataFrame) -> DataFrame:
+    """node, c, element, weight and the text's total weight, one row per shingle."""
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(len(batch)):
+            element, weight = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64), np.frombuffer(batch.column(3)[i].as_buffer(), np.int32)
+            if len(element):
+                same = [np.full(len(element), x, np.int64) for x in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), weight.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same[0], same[1], element, weight.astype(np.int64), same[2])], ["node", "c", "element", "weight", "total"])
+
+    return map_batches(sets.select("node", "c", "elements", "weights"), run, "node long, c long, element long, weight long, total long")
+
+
+def _crossing(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys under which nodes of different components stand, and how many."""
+    return rows.groupBy(*keys).agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo < _hi").drop("_lo", "_hi")
+
+
+def meetings(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(lists of at most ``BLOCK_NODES`` nodes to compare, larger meetings as rows of meeting, node, n).
+
+    ``sets`` has node, component c, elements and weights.  Two nodes of different components with a similarity of
+    ``similarity`` or more stand together in one of them.  Shingles are in the order of (nodes that have them, hash); those
+    of one component only can't join two and count as the rarest.  Before the first common shingle a text has only
+    what the other lacks, at most 1 - ``similarity`` of its weight.  Nodes that crowd under several shingles
+    would meet as often: shingles that share nodes are one meeting, unless apart they have fewer pairs of nodes.
+    """
+    flat = flat_shingles(sets)
+    crossing = stored(_crossing(flat, "element").withColumnRenamed("n", "df"), "op4-crossing")
+    mine = Window.partitionBy("node")
+    lead = F.col("total") - F.sum("weight").over(mine) + F.coalesce(F.sum("weight").over(mine.orderBy("df", "element").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = flat.join(crossing, "element").withColumn("lead", lead).where(F.col("lead") <= F.col("total") * (1 - similarity + 1e-6)).select("node", "c", "element")
+    prefix = stored(prefix, "op4-prefix")
+    sizes = stored(_crossing(prefix, "element"), "op4-met")
+    lists = prefix.join(sizes.where(F.col("n") <= BLOCK_NODES), "element").groupBy("element").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    crowded = prefix.join(sizes.where(F.col("n") > BLOCK_NODES), "element").select(F.col("element").alias("meeting"), "node", "n")
+    if crowded.isEmpty():
+        return lists, crowded
+    crowded = stored(crowded, "op4-crowded")
+    first = crowded.groupBy("meeting", "n").agg(F.min("node").alias("first"))
+    crowd = stored(components(crowded.join(first.drop("n"), "meeting").select(F.col("node").alias("a"), F.col("first").alias("b"))), "op4-crowds")
+    apart = first.join(crowd, F.col("first") == F.col("node")).groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    together = crowd.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(apart, "component").where(F.col("n") * F.col("n") <= F.col("pairs")).select("component", "n")
+    together = stored(together, "op4-together")
+    as_one = crowd.join(together, "component").select(F.xxhash64(F.lit("crowd"), "component").alias("meeting"), "node", "n")
+    alone = crowded.join(crowd.join(together, "component", "left_anti").select("node"), "node", "left_semi")
+    return lists, as_one.union(alone.select("meeting", "node", "n"))
+
+
+def links_of(sides: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that the blocks of ``sides`` (gid, node, side, itself) give; several small ones are one group of rows."""
+    placed = sides.join(sets, "node")
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("elements")).alias("bytes")).first()
+    packs = 1 + max(size.n // PACK_MEMBERS, (size.bytes or 0) // PACK_BYTES)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("gid")
+        gid = np.asarray(group.column("gid"))
+        edges = [0, *(np.flatnonzero(np.diff(gid)) + 1).tolist(), len(gid)]
+        return pa.concat_tables([block_links(group.slice(a, b - a), similarity) for a, b in zip(edges, edges[1:])])
+
+    packed = placed.withColumn("pack", F.pmod(F.xxhash64("gid"), F.lit(packs)))
+    return packed.groupBy("pack").applyInArrow(run, "a long, b long").distinct()
+
+
 def _bits_apart(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
 
@@ -254,15 +325,19 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     placed = buckets.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    still = stored(placed.join(open_keys, "key", "left_semi"), "op4-open")
-    blocks = still.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
-    dealt = still.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    still = placed.join(open_keys, "key", "left_semi").select("node", "c").distinct()
+    open_sets = stored(still.join(sets, "node"), "op4-open")
+    lists, large = meetings(open_sets, similarity)
+    # a gid that two lists share only makes one larger block
+    listed = lists.select(F.xxhash64("nodes").alias("gid"), F.explode("nodes").alias("node"), F.lit(0).alias("side"), F.lit(True).alias("itself"))
+    blocks = large.withColumns({"blocks": F.ceil(F.col("n") / BLOCK_NODES).cast("int")}).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a node stands on one side of every block pair that holds its block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sides = dealt.select("key", "node", "c", "mine", other).select(
-        "key", "node", "c", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"),
-        (F.col("mine") == F.col("other")).alias("itself"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    more = stored(sides.join(sets, "node").groupBy("key", "b1", "b2").applyInArrow(lambda g: block_links(g, similarity), "a long, b long").distinct(), "op4-more")
+    cut = blocks.select("meeting", "node", "mine", other).select(
+        F.xxhash64("meeting", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"), "node",
+        (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("itself"))
+    sides = stored(listed.union(cut), "op4-sides")
+    more = stored(links_of(sides, open_sets, similarity), "op4-more")
     classes = stored(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.take(1) else joined, "op4-classes")
 
     of_text = nodes.select("sha", "node").join(classes, "node", "left").select("sha", F.coalesce("component", "node").alias("class_id"))

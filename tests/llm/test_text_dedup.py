@@ -1,6 +1,7 @@
 """Dedup operators beside brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -248,3 +249,65 @@ def test_an_element_visits_every_register_once_in_an_order_of_its_own():
     order = np.array([minhash._visited(j, *keys) for j in range(minhash.REGISTERS)])
     assert (np.sort(order, axis=0) == np.arange(minhash.REGISTERS)[:, None]).all()
     assert len(np.unique(order[1] - order[0])) > 64 and len({tuple(np.diff(o) % minhash.REGISTERS) for o in order.T}) > 490
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_crowds_of_texts_that_are_not_near_enough(spark, monkeypatch, block):
+    """A large group at similarities around the threshold: no link between components is missed, rows stay linear."""
+    monkeypatch.setattr(minhash, "BLOCK_NODES", block)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+
+    def changed(times):
+        words = list(base)
+        for _ in range(times):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        return words
+    texts = [changed(rng.randint(2, 7)) for _ in range(70)] + [changed(1) for _ in range(3)]
+    texts += [t[:35] + t[:35] for t in texts[:6]]  # shingles that occur twice
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingled(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    similar = {}
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            similar[i, j] = probability_jaccard(sets[i], sets[j])
+            if similar[i, j] >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert sum(0.5 < s < 0.8 for s in similar.values()) > 500
+    seen = {}
+    monkeypatch.setattr(minhash, "stored", lambda df, label, keep=minhash.stored: seen.setdefault(label, keep(df, label)) if label in ("op4-sides", "op4-met") else keep(df, label))
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [(r.class_id) for r in sorted(got)] == [find(i) for i in range(len(rows))]
+    if block == 4 and "op4-sides" in seen:
+        assert seen["op4-sides"].count() < len(rows) * len(rows) / block
+
+
+def test_every_link_meets_under_a_rare_shingle(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 8)
+    rng = np.random.default_rng(9)
+    common = rng.integers(1, 2**60, 40)
+    rows = []
+    for i in range(60):
+        own = rng.integers(1, 2**60, rng.integers(0, 9))
+        element = np.unique(np.concatenate((rng.choice(common, rng.integers(30, 40), replace=False), own))).astype(np.uint64)
+        element = np.sort(element)
+        weight = rng.integers(1, 3, len(element)).astype(np.int32)
+        rows.append((i, i, bytearray(element.tobytes()), bytearray(weight.tobytes())))
+    sets = spark.createDataFrame(rows, "node long, c long, elements binary, weights binary")
+    lists, large = minhash.meetings(sets, 0.8)
+    met = [set(r.nodes) for r in lists.collect()]
+    by = {}
+    for r in large.collect():
+        by.setdefault(r.meeting, set()).add(r.node)
+    assert all(r.n == len(by[r.meeting]) for r in large.collect())
+    met += by.values()
+    arrays = [(np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.int32)) for r in rows]
+    links = [(i, j) for i in range(60) for j in range(i + 1, 60) if minhash.probability_jaccard(*arrays[i], *arrays[j]) >= 0.8 or np.isin(*[arrays[k][0] for k in (i, j)]).all()]
+    assert all(any({i, j} <= m for m in met) for i, j in links)
