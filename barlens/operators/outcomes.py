@@ -21,6 +21,7 @@ from barlens.operators import indicators as ind
 from barlens.operators.blocks import (
     FRAME_KEYS, Step, blocked, lag_sql, reach, rolling_sql, run_steps, sql_columns,
 )
+from barlens.operators.forward import categorise_exit, confidence_from_p
 from barlens.operators.recurrence import ewm, span_alpha, wilder_alpha
 from barlens.operators.quantiles import exact_quantiles
 
@@ -94,6 +95,11 @@ def with_params(paths: DataFrame, name: str, values: Sequence[float]) -> DataFra
     return paths.select("*", F.explode(F.array(*[F.lit(float(x)) for x in values])).alias(name))
 
 
+def with_grid(paths: DataFrame, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """Each path once per row of parameters."""
+    return paths.select("*", F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in rows])))
+
+
 def barrier_outcomes(paths: DataFrame, *, stop: str, target_r: str, keep: Sequence[str] = ()) -> DataFrame:
     """First of stop (at 1R), target and time; ``stop`` and ``target_r`` are SQL over the path's columns."""
     df = in_r(paths, stop).selectExpr(
@@ -208,6 +214,24 @@ def exit_rule_stats(trades: DataFrame, by: Sequence[str], min_n: int = 10) -> Da
     return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.when(ok, e).alias(n) for n, e in parts.items()])
 
 
+def exit_knowledge(trades: DataFrame, baseline: DataFrame, by: Sequence[str], trade: Sequence[str]) -> DataFrame:
+    """Verdict and confidence of each exit rule (``by``) against a baseline exit of the same trades.
+
+    ``trade`` names a trade in both tables.  Profit factors and mean R are taken over the trades that both have; the
+    p-value is that of the paired differences (two-sided Student), so an entry's own luck cancels out.
+    """
+    base = baseline.select(*trade, F.col("pnl_r").alias("_base"))
+    x, b = F.col("pnl_r"), F.col("_base")
+    d = x - b
+    agg = trades.select(*dict.fromkeys([*by, *trade]), "pnl_r").join(base, list(trade)).groupBy(*by).agg(
+        F.count(d).alias("n"), profit_factor(x).alias("profit_factor"), profit_factor(b).alias("base_profit_factor"),
+        F.avg(x).alias("avg_pnl_r"), F.avg(b).alias("base_pnl_r"), F.avg(d).alias("improvement"), F.stddev_samp(d).alias("_sd"))
+    t = t_stat(F.col("improvement"), F.col("_sd"), F.col("n"))
+    out = agg.withColumn("p_value", student_t_pvalue(t, F.col("n") - 1))
+    verdict = categorise_exit(F.col("profit_factor"), F.col("base_profit_factor"), F.col("avg_pnl_r"), F.col("base_pnl_r"), F.col("p_value"))
+    return out.withColumn("verdict", verdict).withColumn("confidence", confidence_from_p(F.col("p_value"))).drop("_sd")
+
+
 def improvement(rule: DataFrame, baseline: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rule statistics with the mean R gained over the baseline's."""
     base = baseline.select(*on, F.col("avg_pnl_r").alias("base_pnl_r"), F.col("profit_factor").alias("base_profit_factor"))

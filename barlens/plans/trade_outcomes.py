@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.functions.core import r, ts_text
+from barlens.functions.core import KEYS, r, ts_text
 from barlens.operators import outcomes as oc
 from barlens.operators import sequential as seq
+from barlens.operators.recurrence import ewm, wilder_alpha
 from barlens.plans.catalog import BARS_1D, BARS_1H, DIFFS, RN, W_SQL, bars_1d, bars_1h, ema_sql, ewm_sql, query, roll_sql
+from barlens.plans.condition_research import _P_SQL
 from barlens.session import materialise
 
 N = 40
 
 
-def _entry_sql(bars: str, fast: int = 5, slow: int = 20) -> str:
+def _entry_sql(bars: str, fast: int = 20, slow: int = 50) -> str:
     return f"""{bars}, {RN}, {DIFFS},
 em AS (SELECT *, {ema_sql('close', fast)} AS ef, {ema_sql('close', slow)} AS es, {ewm_sql('tr', '1.0/14')} AS atr14 FROM tr),
 sg AS (SELECT *, CASE WHEN ef > es AND lag(ef) OVER {W_SQL} <= lag(es) OVER {W_SQL} THEN 1
@@ -67,18 +69,12 @@ def _rule_stats(trades: DataFrame, *by: str) -> DataFrame:
     return s.select(*by, "n", *[r(c).alias(c) for c in STATS_SQL.split(", ")[1:]])
 
 
-def _paths(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
-    return oc.forward_paths(bars_1d(spark, sf_dir), oc.ema_cross_entry(5, 20), n)
-
-
 _KEY = "symbol, ts"
-_E1D = "WITH " + _entry_sql(BARS_1D.replace("bars AS", "bars AS", 1))
-# daily series run past the range in which EMA(5) can be written as one scaled sum
-_E1D = _E1D.replace(ema_sql("close", 5), ema_sql("close", 10))
+_E1D = "WITH " + _entry_sql(BARS_1D)
 
 
 def _daily_paths(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
-    return oc.forward_paths(bars_1d(spark, sf_dir), oc.ema_cross_entry(10, 20), n)
+    return oc.forward_paths(bars_1d(spark, sf_dir), oc.ema_cross_entry(), n)
 
 
 @query("barrier_outcomes", f"{_E1D}, {_path_sql(N, '1.5 * atr14')}, {_barrier_sql(_KEY, '2.0')} SELECT {_OUT} FROM tr8")
@@ -88,16 +84,51 @@ def barrier_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r("pnl_r").alias("pnl_r"), r("mae_r").alias("mae_r"), r("mfe_r").alias("mfe_r"), "bars_held")
 
 
-_MULTS = "(VALUES (CAST(1.0 AS DOUBLE)), (1.5), (2.0), (2.5), (3.0)) q(atr_mult)"
-
-
-@query("atr_stop_grid", f"{_E1D}, {_path_sql(N, 'atr_mult * atr14', params=', ' + _MULTS)}, {_barrier_sql('symbol, ts, atr_mult', '2.0')} "
-       + _rule_stats_sql("atr_mult"))
+# stops of 1 to 3 ATR of two periods on two entries, and the baseline of 20 pips, a pip being a ten-thousandth of the price
+_GRID = [("atr_stop", p, m) for p in (10, 14) for m in (1.0, 1.5, 2.0, 2.5, 3.0)]
+_BASELINE = ("fixed_20_pips", 0, 0.0)
+_GRID_KEY = "entry_rule, symbol, ts, rule, atr_period, atr_mult"
+_GRID_VALUES = ", ".join(f"('{a}', {b}, CAST({c} AS DOUBLE))" for a, b, c in [*_GRID, _BASELINE])
+_GRID_RISK = "CASE WHEN rule = 'fixed_20_pips' THEN entry * 0.002 ELSE atr_mult * CASE WHEN atr_period = 10 THEN atr10 ELSE atr14 END END"
+_GRID_SQL = f"""WITH {BARS_1D}, {RN}, {DIFFS},
+em AS (SELECT *, {ema_sql('close', 20)} AS ef, {ema_sql('close', 50)} AS es, {ewm_sql('tr', '1.0/14')} AS atr14, {ewm_sql('tr', '1.0/10')} AS atr10,
+  100 - 100 / (1 + {ewm_sql('gain', '1.0/14', 1)} / nullif({ewm_sql('loss', '1.0/14', 1)}, 0)) AS rsi FROM tr),
+sg AS (SELECT *, 'ema_cross' AS entry_rule, CASE WHEN ef > es AND lag(ef) OVER {W_SQL} <= lag(es) OVER {W_SQL} THEN 1 WHEN ef < es AND lag(ef) OVER {W_SQL} >= lag(es) OVER {W_SQL} THEN -1 ELSE 0 END AS signal FROM em
+  UNION ALL SELECT *, 'rsi_mr' AS entry_rule, CASE WHEN rsi > 30 AND lag(rsi) OVER {W_SQL} <= 30 THEN 1 WHEN rsi < 70 AND lag(rsi) OVER {W_SQL} >= 70 THEN -1 ELSE 0 END AS signal FROM em),
+{_path_sql(N, _GRID_RISK, params=f', (VALUES {_GRID_VALUES}) q(rule, atr_period, atr_mult)').replace('JOIN sg b', 'JOIN em b')}, {_barrier_sql(_GRID_KEY, '2.0')}"""
+
+
+def _grid_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = materialise(bars_1d(spark, sf_dir), "bars")
+    shorter = ewm([("atr10", "tr", wilder_alpha(10))])
+    paths = None
+    for name, entry in (("ema_cross", oc.ema_cross_entry()), ("rsi_mr", oc.rsi_entry())):
+        part = oc.forward_paths(bars, [*entry, shorter], N, keep=("atr14", "atr10")).withColumn("entry_rule", F.lit(name))
+        paths = part if paths is None else paths.unionByName(part)
+    grid = oc.with_grid(paths, ("rule", "atr_period", "atr_mult"), [*_GRID, _BASELINE])
+    return oc.barrier_outcomes(grid, stop=_GRID_RISK, target_r="2.0D", keep=["entry_rule", "rule", "atr_period", "atr_mult"])
+
+
+@query("atr_stop_grid", f"{_GRID_SQL} " + _rule_stats_sql("entry_rule, rule, atr_period, atr_mult"))
 def atr_stop_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stop distances of 1 to 3 ATR with a target of 2R."""
-    paths = oc.with_params(_daily_paths(spark, sf_dir), "atr_mult", [1.0, 1.5, 2.0, 2.5, 3.0])
-    s = _rule_stats(oc.barrier_outcomes(paths, stop="atr_mult * atr14", target_r="2.0D", keep=["atr_mult"]), "atr_mult")
-    return s
+    """Stop distances of 1 to 3 ATR with a target of 2R, on EMA crosses and RSI entries, beside the fixed stop."""
+    return _rule_stats(_grid_trades(spark, sf_dir), "entry_rule", "rule", "atr_period", "atr_mult")
+
+
+@query("exit_knowledge", f"""{_GRID_SQL},
+d AS (SELECT a.entry_rule, a.atr_period, a.atr_mult, a.pnl_r, b.pnl_r AS base_r, a.pnl_r - b.pnl_r AS d FROM tr8 a JOIN tr8 b ON a.entry_rule = b.entry_rule AND a.symbol = b.symbol AND a.ts = b.ts AND b.rule = 'fixed_20_pips' WHERE a.rule = 'atr_stop'),
+g AS (SELECT entry_rule, atr_period, atr_mult, count(*) AS n_samples, avg(pnl_r) AS r, avg(base_r) AS base, sum(greatest(pnl_r, 0)) / nullif(abs(sum(least(pnl_r, 0))), 0) AS pf,
+  sum(greatest(base_r, 0)) / nullif(abs(sum(least(base_r, 0))), 0) AS base_pf, avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0) AS t FROM d GROUP BY 1, 2, 3),
+p AS (SELECT *, {_P_SQL} AS p FROM g)
+SELECT entry_rule, atr_period, atr_mult, n_samples AS n, round(pf, 5) AS profit_factor, round(base_pf, 5) AS base_profit_factor, round(r, 5) + 0.0 AS avg_pnl_r, round(r - base, 5) + 0.0 AS improvement, round(p, 5) AS p_value,
+  CASE WHEN pf - base_pf >= 0.2 AND r - base >= 0.15 AND p < 0.10 THEN 'works' WHEN pf < base_pf THEN 'fails' ELSE 'partial' END AS verdict,
+  coalesce(round(least(greatest(1 - p, 0), 1), 2), 0.5) AS confidence FROM p""")
+def exit_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each stop distance works, fails or is mixed against the fixed stop, trade by trade."""
+    trades = materialise(_grid_trades(spark, sf_dir), "trades")
+    base = trades.where(F.col("rule") == _BASELINE[0])
+    k = oc.exit_knowledge(trades.where("rule = 'atr_stop'"), base, ["entry_rule", "atr_period", "atr_mult"], ["entry_rule", *KEYS, "ts"])
+    return k.select("entry_rule", "atr_period", "atr_mult", "n", *[r(c, 5).alias(c) for c in ("profit_factor", "base_profit_factor", "avg_pnl_r", "improvement", "p_value")], "verdict", "confidence")
 
 
 def _trail_sql(best: str) -> str:
@@ -184,7 +215,7 @@ xs AS (SELECT symbol, ts, coalesce(min(step) FILTER (WHERE {test}), max(step)) A
  FROM tr8 JOIN sg e ON e.symbol = tr8.symbol AND e.ts = tr8.ts JOIN sg b ON b.symbol = e.symbol AND b.rn = e.rn + tr8.bars_held) """
        + _rule_stats_sql("overnight", "o"))
 def session_close_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = oc.forward_paths(bars_1h(spark, sf_dir), oc.ema_cross_entry(5, 20), 24)
+    paths = oc.forward_paths(bars_1h(spark, sf_dir), oc.ema_cross_entry(), 24)
     return _rule_stats(oc.session_close_outcomes(paths, close_hour=17), "overnight")
 
 
@@ -214,8 +245,8 @@ def _indicator_exit_sql() -> str:
         for name, (lo, sh) in ((n, (a.replace("x.high", "bh").replace("x.low", "bl").replace("x.", "i_"), b.replace("x.high", "bh").replace("x.low", "bl").replace("x.", "i_")))
                                for n, (a, b) in oc.INDICATOR_EXITS.items()))
     extra = "".join(f", b.{c} AS i_{c}" for c in oc.EXIT_COLUMNS)
-    return f"""WITH {_COLUMNS}, sg AS (SELECT *, CASE WHEN ema5 > ema20 AND lag(ema5) OVER {W_SQL} <= lag(ema20) OVER {W_SQL} THEN 1
-  WHEN ema5 < ema20 AND lag(ema5) OVER {W_SQL} >= lag(ema20) OVER {W_SQL} THEN -1 ELSE 0 END AS signal FROM l5),
+    return f"""WITH {_COLUMNS}, sg AS (SELECT *, CASE WHEN ema20 > ema50 AND lag(ema20) OVER {W_SQL} <= lag(ema50) OVER {W_SQL} THEN 1
+  WHEN ema20 < ema50 AND lag(ema20) OVER {W_SQL} >= lag(ema50) OVER {W_SQL} THEN -1 ELSE 0 END AS signal FROM l5),
 {_path_sql(N, '1.5 * atr14', extra)}, xs AS ({xs}),
 hel AS (SELECT p.*, rule, xstep FROM pth p JOIN xs USING (symbol, ts)),
 tr8 AS (SELECT symbol, ts, rule, any_value(xstep) AS bars_held, any_value(pl) FILTER (WHERE step = xstep) AS pnl_r,
@@ -229,7 +260,7 @@ SELECT st.*, round(raw - base_pnl_r, 6) + 0.0 AS improvement FROM ({_rule_stats_
 @query("indicator_exits", _indicator_exit_sql())
 def indicator_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six indicator exits on EMA cross entries against a fixed target of 2R."""
-    entry = oc.ema_cross_entry(5, 20)
+    entry = oc.ema_cross_entry()
     paths = materialise(oc.forward_paths(
         bars_1h(spark, sf_dir), [*oc.path_indicators(), *entry], N, path=(*oc.OHLC, *oc.EXIT_COLUMNS)), "paths")
     rules = None
@@ -264,7 +295,7 @@ FROM x GROUP BY h"""
 def _register_pending(kind: str) -> None:
     @query(f"pending_{kind}_orders", _pending_sql(kind))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        paths = oc.forward_paths(bars_1h(spark, sf_dir), oc.ema_cross_entry(5, 20), 60)
+        paths = oc.forward_paths(bars_1h(spark, sf_dir), oc.ema_cross_entry(), 60)
         s = oc.pending_order_stats(oc.pending_order_outcomes(paths, kind=kind, offset_atr=0.2, max_wait=10), [])
         nums = [c for c in s.columns if c not in ("horizon", "signals", "count", "market_count")]
         return s.select("horizon", "signals", "count", "market_count", *[r(c, 5 if c.endswith("t_stat") else 6).alias(c) for c in nums])
@@ -274,7 +305,7 @@ _register_pending("limit")
 _register_pending("stop")
 
 HOLD = 10
-_LEDGER = f"""{_entry_sql(BARS_1D).replace(ema_sql('close', 5), ema_sql('close', 10))},
+_LEDGER = f"""{_entry_sql(BARS_1D, 10, 20)},
 lg AS (SELECT symbol, signal, lead(ts, 1) OVER {W_SQL} AS entry_ts, lead(open, 1) OVER {W_SQL} AS eo, lead(ts, {HOLD}) OVER {W_SQL} AS exit_ts, lead(close, {HOLD}) OVER {W_SQL} AS xc FROM sg),
 trades AS (SELECT 'ema_cross' AS strategy_id, symbol, entry_ts, exit_ts, signal AS direction, signal * (xc / eo - 1) - 0.0004 AS return_pct, (signal * (xc / eo - 1) - 0.0004) * eo AS pnl
   FROM lg WHERE signal <> 0 AND xc IS NOT NULL)"""
