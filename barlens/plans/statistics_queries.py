@@ -204,3 +204,17 @@ SELECT symbol, CAST(hour AS INTEGER) AS hour, round(volume, 3) AS volume, round(
 def volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = st.volume_profile(bars_1h(spark, sf_dir), ["symbol"])
     return p.select("symbol", "hour", r("volume", 3).alias("volume"), r("vwap_share", 7).alias("vwap_share"), r("twap_share", 7).alias("twap_share"))
+
+
+_IMPACT = f"""lr AS (SELECT symbol, volume, ln(close / lag(close) OVER {W_SQL}) AS ret FROM bars),
+m AS (SELECT symbol, stddev_samp(ret) AS volatility, avg(volume) AS volume FROM lr GROUP BY symbol)"""
+
+
+@query("market_impact", f"""WITH {BARS_1D}, {_IMPACT} SELECT symbol, size_share, round(volatility, 8) AS volatility, round(volume, 3) AS volume, round(1.0 * volatility * sqrt(size_share), 8) AS impact FROM m, (VALUES (CAST(0.001 AS DOUBLE)), (0.01), (0.1)) q(size_share)""")
+def market_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square-root impact of orders of a thousandth, a hundredth and a tenth of a symbol's mean daily volume."""
+    rets = compute(bars_1d(spark, sf_dir), [ind.returns("ret", "log")])
+    m = rets.groupBy("symbol").agg(F.stddev_samp("ret").alias("volatility"), F.avg("volume").alias("volume"))
+    grid = m.select("*", F.explode(F.array(*[F.lit(x) for x in (0.001, 0.01, 0.1)])).alias("size_share"))
+    impact = st.square_root_impact(F.col("volatility"), F.col("size_share") * F.col("volume"), F.col("volume"))
+    return grid.select("symbol", "size_share", r("volatility", 8).alias("volatility"), r("volume", 3).alias("volume"), r(impact, 8).alias("impact"))

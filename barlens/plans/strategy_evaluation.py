@@ -11,6 +11,7 @@ from barlens.functions.core import KEYS, r, ts_text
 from barlens.operators import evaluation as ev
 from barlens.operators import resampling as rs
 from barlens.operators.permutation import PRIME, places_sql
+from barlens.operators import statistics as st
 from barlens.operators import sweep as sw
 from barlens.plans.catalog import BARS_1D, BARS_1H, RN, TS_SQL, W_SQL, bars_1d, bars_1h, ema_sql, query, ticks
 from barlens.session import materialise, table
@@ -58,6 +59,15 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("strategy_id", F.date_format("day", "yyyy-MM-dd").alias("day"), r("equity", 6).alias("equity"), r("peak", 6).alias("peak"), r("drawdown", 7).alias("drawdown"))
 
 
+@query("recovery_factor", f"""WITH {ORDERS}, {_EQUITY}, dr AS (SELECT strategy_id, max(peak - equity) AS worst FROM dd GROUP BY 1), n AS (SELECT strategy_id, sum(pnl) AS net FROM trades GROUP BY 1)
+SELECT strategy_id, round(net, 5) + 0.0 AS net, round(worst, 5) AS worst_drawdown, round(net / nullif(worst, 0), 6) + 0.0 AS recovery_factor FROM n JOIN dr USING (strategy_id)""")
+def recovery_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net profit over the largest fall of the daily equity from its peak."""
+    e = ev.daily_equity(orders_ledger(spark, sf_dir), BY).groupBy("strategy_id").agg(
+        F.sum("pnl").alias("net"), F.max(F.col("peak") - F.col("equity")).alias("worst_drawdown"))
+    return e.select("strategy_id", r("net", 5).alias("net"), r("worst_drawdown", 5).alias("worst_drawdown"), r(st.recovery_factor(F.col("net"), F.col("worst_drawdown"))).alias("recovery_factor"))
+
+
 @query("drawdown_profile", f"""WITH {ORDERS}, {_EQUITY},
 sp AS (SELECT *, day - coalesce(last_value(CASE WHEN drawdown = 0 THEN day END IGNORE NULLS) OVER (PARTITION BY strategy_id ORDER BY day ROWS UNBOUNDED PRECEDING),
   first_value(day) OVER (PARTITION BY strategy_id ORDER BY day)) AS under FROM dd)
