@@ -72,6 +72,10 @@ def lag_sql(col: str, k: int = 1) -> str:
     return f"lag({col}, {k}) OVER ({FRAME_SQL})"
 
 
+def lead_sql(col: str, k: int = 1) -> str:
+    return f"lead({col}, {k}) OVER ({FRAME_SQL})"
+
+
 def rolling_sql(agg: str, col: str, n: int, min_n: int | None = None) -> str:
     """Trailing aggregate over ``n`` rows, null until ``min_n`` (default ``n``) values are present."""
     w = f"OVER ({FRAME_SQL} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"

@@ -1,7 +1,6 @@
 """Row-after-row state machines over long series, run block by block.
 
-Some indicators (and the rule that only one position may be open) carry a state
-that no window expresses.  Blocks are run in parallel, each from the state that
+Some indicators carry a state that no window expresses.  Blocks are run in parallel, each from the state that
 its warm-up rows suggest; then every block's starting state is checked against
 the final state of the block before it, and only blocks that started wrongly are
 run again from the right state.  The first block of a series starts from the
@@ -169,40 +168,3 @@ def psar(bars: DataFrame, variants: Sequence[tuple[float, float]], **layout: int
     outs = {**{f"psar_{k}": "double" for k in range(len(variants))},
             **{f"psar_dir_{k}": "int" for k in range(len(variants))}}
     return run_machine(bars, psar_machine(variants), outs, reads=["high", "low"], **layout)
-
-
-def flat_only_machine(max_daily_losses: int | None) -> Machine:
-    """Takes an entry only while no position is open, and not after the day's losses are used up."""
-    def run(pdf: pd.DataFrame, state: list[float] | None):
-        busy, day, losses = state if state is not None else (-np.inf, -1.0, 0.0)
-        entry, leave, pnl = (pdf[c].to_numpy() for c in ("entry_s", "exit_s", "pnl"))
-        keep = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            today = entry[i] // 86400
-            if today != day:
-                day, losses = float(today), 0.0
-            if entry[i] < busy or (max_daily_losses is not None and losses >= max_daily_losses):
-                continue
-            keep[i] = True
-            busy = float(leave[i])
-            losses += pnl[i] < 0
-        return {"taken": keep}, [float(busy), float(day), float(losses)]
-
-    return run
-
-
-def flat_only(trades: DataFrame, *, max_daily_losses: int | None = None, **layout: int) -> DataFrame:
-    """Trades taken when only one position per strategy and symbol may be open.
-
-    Entries of one strategy and symbol have distinct times.
-    """
-    series = trades.select(
-        "*", F.concat_ws("\u0001", "strategy_id", "symbol").alias("_series"),
-        F.unix_seconds("entry_ts").cast("double").alias("entry_s"),
-        F.unix_seconds("exit_ts").cast("double").alias("exit_s"))
-    slim = series.select(F.col("_series").alias("symbol"), F.lit("1h").alias("timeframe"),
-                         F.col("entry_ts").alias("ts"), "entry_s", "exit_s", "pnl")
-    taken = run_machine(slim, flat_only_machine(max_daily_losses), {"taken": "boolean"},
-                        reads=["entry_s", "exit_s", "pnl"], before=64, **layout).where("taken")
-    kept = taken.select(F.col("symbol").alias("_series"), F.col("ts").alias("entry_ts"))
-    return series.join(kept, ["_series", "entry_ts"], "left_semi").drop("_series", "entry_s", "exit_s")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from barlens.functions.core import KEYS, r, ts_text
 from barlens.operators import outcomes as oc
-from barlens.operators import sequential as seq
+from barlens.operators import positions
+from barlens.operators.blocks import compute, lag_sql, lead_sql, sql_columns
 from barlens.operators.recurrence import ewm, wilder_alpha
-from barlens.plans.catalog import BARS_1D, BARS_1H, DIFFS, RN, W_SQL, bars_1d, bars_1h, ema_sql, ewm_sql, query, roll_sql
+from barlens.plans.catalog import BARS_15M, BARS_1D, BARS_1H, DIFFS, RN, W_SQL, bars_15m, bars_1d, bars_1h, ema_sql, ewm_sql, query, roll_sql
 from barlens.plans.condition_research import _P_SQL
 from barlens.session import materialise
 
@@ -337,4 +338,25 @@ tk AS (SELECT * FROM nx WHERE k = 1
 SELECT {_TRADE_COLS} FROM tk""")
 def flat_only_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades left when entries are skipped while a position is open."""
-    return _trades_out(seq.flat_only(materialise(ledger(spark, sf_dir), "ledger")))
+    return _trades_out(positions.flat_only(ledger(spark, sf_dir)))
+
+
+
+_TRIES = f"""tries AS (SELECT 'every_bar' AS strategy_id, symbol, ts AS entry_ts, lead(ts, 2) OVER {W_SQL} AS exit_ts,
+  sign(lag(close) OVER {W_SQL} - lag(open) OVER {W_SQL}) * (lead(close, 2) OVER {W_SQL} - open) AS pnl FROM bars)"""
+
+
+@query("daily_loss_limit", f"""WITH RECURSIVE {BARS_15M}, {_TRIES},
+lined AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts) AS k FROM tries WHERE exit_ts IS NOT NULL AND pnl IS NOT NULL),
+s AS (SELECT symbol, CAST(0 AS BIGINT) AS k, TIMESTAMP '1900-01-01' AS busy, DATE '1900-01-01' AS day, 0 AS losses, false AS taken FROM lined GROUP BY symbol
+  UNION ALL SELECT symbol, k, CASE WHEN took THEN exit_ts ELSE busy END, today, lost + CASE WHEN took AND pnl < 0 THEN 1 ELSE 0 END, took
+  FROM (SELECT *, entry_ts >= busy AND lost < 3 AS took FROM (
+    SELECT n.*, s.busy, CAST(n.entry_ts AS DATE) AS today, CASE WHEN s.day = CAST(n.entry_ts AS DATE) THEN s.losses ELSE 0 END AS lost
+    FROM s JOIN lined n ON n.symbol = s.symbol AND n.k = s.k + 1)))
+SELECT n.symbol, strftime(n.entry_ts, '%Y-%m-%d %H:%M:%S') AS ts, round(n.pnl, 4) + 0.0 AS pnl FROM lined n JOIN s ON s.symbol = n.symbol AND s.k = n.k WHERE s.taken""")
+def daily_loss_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quarter hour follows the bar before it for three bars; a day ends after three losses."""
+    tries = compute(bars_15m(spark, sf_dir), [sql_columns([], {
+        "exit_ts": lead_sql("ts", 2), "pnl": f"signum({lag_sql('close')} - {lag_sql('open')}) * ({lead_sql('close', 2)} - open)"}, before=1, after=2)])
+    tries = tries.where("exit_ts IS NOT NULL AND pnl IS NOT NULL").select(F.lit("every_bar").alias("strategy_id"), "symbol", F.col("ts").alias("entry_ts"), "exit_ts", "pnl")
+    return positions.flat_only(tries, max_daily_losses=3).select("symbol", ts_text("entry_ts").alias("ts"), r("pnl", 4).alias("pnl"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barlens.operators import conditions as cnd
 from barlens.operators import indicators as ind
 from barlens.operators import outcomes as oc
+from barlens.operators import positions
 from barlens.operators import sequential as seq
 from barlens.operators import signals as sig
 from barlens.operators.blocks import blocked, compute, reach
@@ -136,11 +137,42 @@ def test_flat_only_against_a_loop(walk, spark):
             busy = row.exit_ts
             lost += row.pnl < 0
     trades = spark.createDataFrame(t[["strategy_id", "symbol", "entry_ts", "exit_ts", "pnl"]])
-    for layout in ({}, SMALL):
-        got = seq.flat_only(trades, max_daily_losses=2, **layout).select("symbol", "entry_ts").toPandas()
+    for layout in ({}, {"block_rows": 7}):
+        got = positions.flat_only(trades, max_daily_losses=2, **layout).select("symbol", "entry_ts").toPandas()
         assert sorted(map(tuple, got.itertuples(index=False))) == sorted(want)
 
 
+def test_positions_with_ties_open_trades_and_limits(spark):
+    """Equal entries, trades of no length, missing exits, and paths that never meet, block by block."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for book in range(6):
+        at = np.sort(rng.integers(0, 4 * 86400, 300))
+        for k, sec in enumerate(at):
+            length = 7200 if book % 2 else int(rng.integers(0, 9000))
+            rows.append((f"b{book}", None if book == 5 else "x", int(sec), None if book == 4 and k == 250 else int(sec) + length,
+                         None if k % 17 == 0 else float(rng.normal()), k))
+    trades = spark.createDataFrame(rows, "strategy_id string, symbol string, e long, x long, pnl double, id int").selectExpr(
+        "strategy_id", "symbol", "timestamp_seconds(e) AS entry_ts", "timestamp_seconds(x) AS exit_ts", "pnl", "id")
+    for limit in (None, 1, 3):
+        want = set()
+        for book in range(6):
+            busy, day, lost = -1, None, 0
+            mine = sorted((r for r in rows if r[0] == f"b{book}"), key=lambda r: (r[2], 1 << 60 if r[3] is None else r[3], (r[4] or 0) < 0))
+            for _, _, e, x, pnl, k in mine:
+                if e // 86400 != day:
+                    day, lost = e // 86400, 0
+                if e < busy or (limit and lost >= limit):
+                    continue
+                want.add((f"b{book}", e, x))
+                busy, lost = 1 << 60 if x is None else x, lost + ((pnl or 0) < 0)
+        for block in (16384, 11):
+            got = positions.flat_only(trades, max_daily_losses=limit, block_rows=block)
+            kept = got.selectExpr("strategy_id", "unix_seconds(entry_ts) AS e", "unix_seconds(exit_ts) AS x").collect()
+            assert {tuple(r) for r in kept} == want and len(kept) == len(want)
+    assert positions.flat_only(trades.where("false")).count() == 0
+
+
 def test_no_look_ahead(walk):
     """Later bars change no condition, signal or indicator of an earlier bar."""
     pdf, bars = walk
