@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from barlens.functions.core import KEYS, safe_div
 from barlens.operators.blocks import (
-    BLOCK_ROWS, FRAME_KEYS, FRAME_SQL, SLICE_BARS, Step, blocked, column, columns, frame, lag, lag_sql, own_rows, reach,
+    BLOCK_ROWS, FRAME_KEYS, FRAME_SQL, SLICE_BARS, Step, blocked, column, columns, compute, frame, lag, lag_sql, own_rows, reach,
     rolling, rolling_sql, run_steps, sql_columns, trailing,
 )
 from barlens.operators.recurrence import ewm, span_alpha, warm_up, wilder_alpha
+from barlens.session import materialise
 
 
 def c() -> Column:
@@ -411,36 +412,79 @@ def streaks(bars: DataFrame) -> DataFrame:
     )
 
 
-def cluster_levels(levels: DataFrame, keys: list[str], price: str, tol: float = 0.003,
+def adaptive_swings(bars: DataFrame, least: int = 3, most: int = 10, share: int = 40, min_bars: int = 30) -> DataFrame:
+    """Bars of series with at least ``min_bars`` bars, with ``lookback``, ``last_close``, ``swing_high`` and ``swing_low``.
+
+    The lookback is a ``share``-th of the series' bars within [least, most].  A bar is a swing if all that many bars on
+    both sides are lower (higher), so what is computed once for all lookbacks is how far the nearest bar is that is not.
+    """
+    size = materialise(bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_bars"), F.max_by("close", "ts").alias("last_close")).where(
+        F.col("_bars") >= min_bars).select(*KEYS, "last_close", F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("_bars") / share))).cast("int").alias("lookback")), "series-size")
+
+    def nearest(x: str, other: str) -> str:
+        sides = [" OR ".join(f"coalesce({side}({x}, {k}) OVER ({FRAME_SQL}) {other} {x}, true)" for side in ("lag", "lead")) for k in range(1, most + 1)]
+        return "CASE " + " ".join(f"WHEN {s} THEN {k}" for k, s in enumerate(sides, 1)) + f" ELSE {most + 1} END"
+
+    steps = [sql_columns([], {"near_high": nearest("high", ">="), "near_low": nearest("low", "<=")}, before=most, after=most)]
+    df = compute(bars.join(size, list(KEYS)), steps)
+    return df.withColumns({
+        "swing_high": F.when(F.col("near_high") > F.col("lookback"), h()), "swing_low": F.when(F.col("near_low") > F.col("lookback"), l()),
+    }).drop("near_high", "near_low")
+
+
+def cluster_levels(levels: DataFrame, keys: list[str], price: str, ref: str, tol: float = 0.003,
                    min_touches: int = 2, top: int = 8) -> DataFrame:
-    """Group nearby price levels: a gap above ``tol`` to the next lower price starts a new group.
+    """Greedy groups of nearby prices around a moving centre: touches, level, rank per group.
 
-    Equal prices are counted before any ordering, and the ordering runs in price
-    bands, so the work does not pile up on one series.
+    In rising order a price joins the group before it if it lies within ``tol * ref`` of that group's mean so far,
+    else it starts a group.  ``ref`` is one value per key (the last close).  Equal prices always share a group, so
+    they are counted first.  A gap above the tolerance starts a group whatever came before: such gaps, found in price
+    bands, cut a key into chains that are followed independently, one row per different price and a batch at a time.
     """
-    counted = levels.groupBy(*keys, F.col(price).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    banded = counted.withColumn("_band", F.floor(F.ln("_p") * 64))
+    counted = levels.where(F.col(price).isNotNull() & F.col(ref).isNotNull()).groupBy(*keys, F.col(price).cast("double").alias("_p")).agg(
+        F.count(F.lit(1)).alias("_n"), (F.max(F.abs(ref)) * tol).alias("_tol"))
+    banded = materialise(counted.withColumn("_band", F.floor(F.signum("_p") * F.ln(1 + F.abs("_p")) * 64)), "level-bands")
     inner = Window.partitionBy(*keys, "_band").orderBy("_p")
     outer = Window.partitionBy(*keys).orderBy("_band")
     bands = banded.groupBy(*keys, "_band").agg(F.max("_p").alias("_top"))
     prev = bands.select(*keys, "_band", F.lag("_top").over(outer).alias("_below"))
+    same = [*keys, "_band"]
     marked = (
-        banded.join(prev, [*keys, "_band"])
+        banded.join(prev, same)
         .withColumn("_prev", F.coalesce(F.lag("_p").over(inner), F.col("_below")))
-        .withColumn("_new", F.coalesce((F.col("_p") - F.col("_prev")) / F.col("_prev") > tol, F.lit(True)).cast("int"))
+        .withColumn("_new", F.coalesce(F.col("_p") - F.col("_prev") > F.col("_tol"), F.lit(True)).cast("int"))
     )
-    starts = marked.groupBy(*keys, "_band").agg(F.sum("_new").alias("_s"))
-    base = starts.select(*keys, "_band", F.coalesce(
+    starts = marked.groupBy(*same).agg(F.sum("_new").alias("_s"))
+    base = starts.select(*same, F.coalesce(
         F.sum("_s").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    ids = marked.join(base, [*keys, "_band"]).withColumn(
-        "_id", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_base"))
-    groups = ids.groupBy(*keys, "_id").agg(
-        F.sum("_n").alias("touches"), (F.sum(F.col("_p") * F.col("_n")) / F.sum("_n")).alias("level"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("touches"), "level"))
-    return (
-        groups.where(F.col("touches") >= min_touches).withColumn("rank", rank)
-        .where(F.col("rank") <= top).drop("_id")
+    chains = marked.join(base, same).withColumn(
+        "_chain", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_base"))
+    n_keys = len(keys)
+
+    def follow(parts):
+        import pandas as pd
+        names = [*keys, "touches", "level"]
+        chain, held, total, n = None, None, 0.0, 0
+        for pdf in parts:
+            done = []
+            for row in pdf.itertuples(index=False, name=None):
+                p, count, width = row[n_keys + 1:]
+                if row[:n_keys + 1] != chain or p - total / n > width:
+                    if n:
+                        done.append((*held, n, total / n))
+                    chain, held, total, n = row[:n_keys + 1], row[:n_keys], 0.0, 0
+                total, n = total + p * count, n + count
+            yield pd.DataFrame(done, columns=names)
+        if n:
+            yield pd.DataFrame([(*held, n, total / n)], columns=names)
+
+    key_ddl = ", ".join(f"`{k}` {levels.schema[k].dataType.simpleString()}" for k in keys)
+    groups = (
+        chains.select(*keys, "_chain", "_p", "_n", "_tol").repartition(*keys, "_chain").sortWithinPartitions(*keys, "_chain", "_p")
+        .mapInPandas(follow, f"{key_ddl}, touches long, level double")
     )
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("touches"), "level"))
+    return groups.where(F.col("touches") >= min_touches).withColumn("rank", rank).where(F.col("rank") <= top)
 
 
 def asof_higher(bars: DataFrame, higher: DataFrame, value_cols: list[str], width: str = "1 day") -> DataFrame:

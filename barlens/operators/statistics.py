@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.core import normal_cdf, safe_corr, safe_div
 from barlens.operators.blocks import Step, rolling_sql, sql_columns
 from barlens.operators.quantiles import exact_quantiles
+from barlens.session import materialise
 
 
 def moments(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
@@ -105,39 +108,71 @@ def value_at_risk(df: DataFrame, by: Sequence[str], x: str, level: float = 0.95)
         *by, "n", "var", "cvar", (-(F.col("mean") + F.col("std") * zcf)).alias("cornish_fisher_var"))
 
 
-def _side_by_side(df: DataFrame, x: str, symbols: Sequence[str], on: str) -> DataFrame:
-    """One row per timestamp with a column per symbol."""
-    return df.where(F.col("symbol").isin(*symbols)).groupBy(on).agg(*[
-        F.max(F.when(F.col("symbol") == s, F.col(x))).alias(f"x{i}") for i, s in enumerate(symbols)])
+def _finite(x: str) -> Column:
+    return F.abs(F.col(x).cast("double")) < F.lit(math.inf)
 
 
-def _pairwise(wide: DataFrame, symbols: Sequence[str], stat, name: str) -> DataFrame:
-    """A statistic of every two columns, all in one aggregation over the timestamps."""
-    cells = []
-    for i, a in enumerate(symbols):
-        for j in range(i + 1, len(symbols)):
-            x, y = F.col(f"x{i}"), F.col(f"x{j}")
-            both = x.isNotNull() & y.isNotNull()
-            cells.append((a, symbols[j], F.count_if(both), stat(F.when(both, x), F.when(both, y))))
-    one = wide.agg(*[e.alias(f"{t}{k}") for k, (_, _, n, v) in enumerate(cells) for t, e in (("n", n), ("v", v))])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{k}").alias("n"), F.col(f"v{k}").alias(name))
-                     for k, (a, b, _, _) in enumerate(cells)])
-    return one.select(F.inline(rows))
+#: Symbols of a tile and timestamps of a block: what one task multiplies is two matrices of this shape.
+TILE, BLOCK = 64, 4096
 
 
-def correlation_matrix(df: DataFrame, x: str, symbols: Sequence[str], on: str = "ts") -> DataFrame:
-    """Correlation of the named symbols over the timestamps that two of them share.
+def co_moments(df: DataFrame, x: str, on: str = "ts", *, centred: bool = False, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """a, b (a < b) and n, sx, sy, sxx, syy, sxy over the values of ``on`` at which both symbols have ``x``.
 
-    Symbols become columns, so no pairs of rows are made.
+    A tiled Gram matrix: symbols are cut into tiles and timestamps into blocks, each by hash, and every two tiles
+    meet once per block as two matrices, whose products are summed over blocks.  A row is sent once per tile, and no
+    list of symbols or pairs is made on the driver.  Of several rows of a symbol and timestamp the largest counts;
+    missing, NaN and infinite values are left out.  ``centred`` takes a symbol's mean off first, so that squares don't cancel.
     """
-    return _pairwise(_side_by_side(df, x, symbols, on), symbols, safe_corr, "corr")
-
-
-def tail_dependence(df: DataFrame, x: str, symbols: Sequence[str], q: float = 0.1, on: str = "ts") -> DataFrame:
-    """P(second below its q-quantile | first below its own) for the named symbols."""
+    known = df.where(F.col("symbol").isNotNull() & F.col(on).isNotNull() & _finite(x))
+    cells = known.groupBy("symbol", F.col(on).alias("_on")).agg(F.max(F.col(x).cast("double")).alias("_x"))
+    cells = materialise(cells, "cells")
+    size = cells.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("_on").alias("t")).first()
+    tiles, blocks = max(1, math.ceil(size["s"] / tile)), max(1, math.ceil(size["t"] / block))
+    if centred:
+        mid = materialise(cells.groupBy("symbol").agg(F.avg("_x").alias("_mid")), "means")
+        cells = cells.join(mid, "symbol").withColumn("_x", F.col("_x") - F.col("_mid")).drop("_mid")
+    own = F.pmod(F.xxhash64("symbol"), F.lit(tiles))
+    sent = cells.withColumns({"_own": own, "_blk": F.pmod(F.xxhash64("_on"), F.lit(blocks))}).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    sent = sent.select("symbol", "_on", "_x", "_own", "_blk", F.least("_own", "_other").alias("_ta"), F.greatest("_own", "_other").alias("_tb"))
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def multiply(pdf):
+        ta, tb = pdf["_ta"].iloc[0], pdf["_tb"].iloc[0]
+        row, _ = pd.factorize(pdf["_on"])
+        sides = []
+        for t in (ta, tb):
+            here = (pdf["_own"] == t).to_numpy()
+            col, names = pd.factorize(pdf["symbol"][here], sort=True)
+            value, there = (np.zeros((row.max() + 1, len(names))) for _ in range(2))
+            value[row[here], col], there[row[here], col] = pdf["_x"].to_numpy()[here], 1.0
+            sides.append((np.asarray(names, dtype=object), value, there))
+        (na, va, ma), (nb, vb, mb) = sides
+        found = dict(zip(sums, (ma.T @ mb, va.T @ mb, ma.T @ vb, (va * va).T @ mb, ma.T @ (vb * vb), va.T @ vb)))
+        left, right = (g.ravel() for g in np.meshgrid(na, nb, indexing="ij"))
+        out = pd.DataFrame({"a": left, "b": right, **{k: v.ravel() for k, v in found.items()}})
+        out = out[(out["n"] > 0) & ((out["a"] < out["b"]) if ta == tb else True)]
+        turned = out.rename(columns={"a": "b", "b": "a", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"})[out.columns]
+        return pd.concat([out[out["a"] < out["b"]], turned[turned["a"] < turned["b"]]])
+
+    parts = sent.groupBy("_ta", "_tb", "_blk").applyInPandas(multiply, "a string, b string, " + ", ".join(f"{k} double" for k in sums))
+    return parts.groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in sums]).withColumn("n", F.round("n").cast("long"))
+
+
+def correlation_matrix(df: DataFrame, x: str, on: str = "ts", **tiling: int) -> DataFrame:
+    """Correlation of every two symbols over the timestamps that both have; null where a side is constant there."""
+    n, sx, sy = (F.col(c) for c in ("n", "sx", "sy"))
+    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
+    # what rounding leaves of a constant side's variance is not a variance
+    ok = (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy"))
+    return co_moments(df, x, on, centred=True, **tiling).select("a", "b", "n", F.when(ok, (F.col("sxy") - sx * sy / n) / F.sqrt(vx) / F.sqrt(vy)).alias("corr"))
+
+
+def tail_dependence(df: DataFrame, x: str, q: float = 0.1, on: str = "ts", **tiling: int) -> DataFrame:
+    """P(second below its q-quantile | first below its own) for every two symbols."""
     cut = exact_quantiles(df, ["symbol"], x, {"_cut": q})
     flags = df.where(F.col(x).isNotNull()).join(cut, "symbol").withColumn("_low", F.when(F.col(x) <= F.col("_cut"), 1.0).otherwise(0.0))
-    return _pairwise(_side_by_side(flags, "_low", symbols, on), symbols, lambda a, b: safe_div(F.sum(a * b), F.sum(a)), "tail_dependence")
+    return co_moments(flags, "_low", on, **tiling).select("a", "b", "n", safe_div(F.col("sxy"), F.col("sx")).alias("tail_dependence"))
 
 
 def serial_dependence(df: DataFrame, by: Sequence[str], x: str, lags: Sequence[int]) -> DataFrame:

@@ -281,18 +281,29 @@ def swing_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         df.select("symbol", ts_text().alias("ts"), ts_text("confirmed_ts").alias("confirmed_ts")), ["symbol", "ts"])
 
 
-@query("cluster_levels", f"""WITH {BARS_1H}, a AS (SELECT *, {_swing_sql(3)} FROM bars),
-p AS (SELECT symbol, swing_high AS p FROM a WHERE swing_high IS NOT NULL UNION ALL SELECT symbol, swing_low FROM a WHERE swing_low IS NOT NULL),
-g AS (SELECT *, coalesce((p - lag(p) OVER (PARTITION BY symbol ORDER BY p)) / lag(p) OVER (PARTITION BY symbol ORDER BY p) > 0.003, true) AS fresh FROM p),
-i AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY symbol ORDER BY p ROWS UNBOUNDED PRECEDING) AS id FROM g),
-c AS (SELECT symbol, id, count(*) AS touches, avg(p) AS level FROM i GROUP BY symbol, id HAVING count(*) >= 2),
-k AS (SELECT symbol, touches, round(level, 6) AS level, row_number() OVER (PARTITION BY symbol ORDER BY touches DESC, level) AS rank FROM c)
+_SIDES = [f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {a} AND {b})" for a, b in (("L PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", "L FOLLOWING"))]
+
+
+def _adaptive_sql(x: str, agg: str, sign: str) -> str:
+    return " AND ".join(f"count(*) OVER {w} = L AND {x} {sign} {agg}({x}) OVER {w}" for w in _SIDES)
+
+
+@query("cluster_levels", f"""WITH RECURSIVE {BARS_1H},
+n AS (SELECT symbol, CAST(greatest(3, least(10, count(*) // 40)) AS BIGINT) AS L, arg_max(close, ts) AS ref FROM bars GROUP BY symbol HAVING count(*) >= 30),
+a AS (SELECT bars.*, L, ref FROM bars JOIN n USING (symbol)),
+p AS (SELECT symbol, ref, high AS p FROM a QUALIFY {_adaptive_sql('high', 'max', '>')} UNION ALL SELECT symbol, ref, low FROM a QUALIFY {_adaptive_sql('low', 'min', '<')}),
+o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p) AS k FROM p),
+g AS (SELECT symbol, k, p AS centre, CAST(1 AS BIGINT) AS touches, CAST(1 AS BIGINT) AS id FROM o WHERE k = 1
+  UNION ALL SELECT symbol, k, CASE WHEN joins THEN (centre * touches + p) / (touches + 1) ELSE p END, CASE WHEN joins THEN touches + 1 ELSE 1 END, CASE WHEN joins THEN id ELSE id + 1 END
+  FROM (SELECT o.symbol, o.k, o.p, g.centre, g.touches, g.id, abs(o.p - g.centre) <= o.ref * 0.003 AS joins FROM g JOIN o ON o.symbol = g.symbol AND o.k = g.k + 1)),
+c AS (SELECT symbol, id, max(touches) AS touches, arg_max(centre, k) AS level FROM g GROUP BY symbol, id HAVING max(touches) >= 2),
+k AS (SELECT symbol, touches, round(level, 6) AS level, row_number() OVER (PARTITION BY symbol ORDER BY touches DESC, c.level) AS rank FROM c)
 SELECT symbol, touches, level, rank FROM k WHERE rank <= 8""")
 def cluster_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swings = compute(bars_1h(spark, sf_dir), [ind.swing_levels(3)])
-    levels = swings.select("symbol", F.explode(F.array_compact(F.array("swing_high", "swing_low"))).alias("price"))
-    found = ind.cluster_levels(levels, ["symbol"], "price")
-    return found.select("symbol", F.col("touches").cast("long"), r("level").alias("level"), F.col("rank").cast("long"))
+    swings = ind.adaptive_swings(bars_1h(spark, sf_dir))
+    levels = swings.select("symbol", "last_close", F.explode(F.array_compact(F.array("swing_high", "swing_low"))).alias("price"))
+    found = ind.cluster_levels(levels, ["symbol"], "price", "last_close")
+    return found.select("symbol", "touches", r("level").alias("level"), F.col("rank").cast("long"))
 
 
 @query("daily_levels", f"""WITH {BARS_1H},

@@ -16,11 +16,6 @@ from barlens.session import materialise
 _RET = f"{BARS_1D}, rt AS (SELECT *, close / lag(close) OVER {W_SQL} - 1 AS ret, ln(close / lag(close) OVER {W_SQL}) AS lr FROM bars)"
 
 
-def _symbols(df: DataFrame) -> list[str]:
-    """The instruments of a table: a short list, each of which becomes a column."""
-    return sorted(x["symbol"] for x in df.select("symbol").where("symbol IS NOT NULL").distinct().collect())
-
-
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute(bars_1d(spark, sf_dir), [ind.returns("ret"), ind.returns("lr", "log")])
 
@@ -98,14 +93,14 @@ def value_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("correlation_matrix", f"""WITH {_RET} SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(corr(x.ret, y.ret), 6) AS corr FROM rt x JOIN rt y ON x.ts = y.ts AND x.symbol < y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2""")
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = st.correlation_matrix(_returns(spark, sf_dir), "ret", _symbols(bars_1d(spark, sf_dir))).where("n > 0")
+    df = st.correlation_matrix(materialise(_returns(spark, sf_dir), "returns"), "ret")
     return rr(df, 6, "a", "b", "n")
 
 
 @query("tail_dependence", f"""WITH {_RET}, q AS (SELECT symbol, quantile_cont(ret, 0.1) AS q FROM rt GROUP BY 1), l AS (SELECT rt.symbol, ts, ret <= q AS low FROM rt JOIN q USING (symbol) WHERE ret IS NOT NULL)
 SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(count(*) FILTER (WHERE x.low AND y.low) * 1.0 / nullif(count(*) FILTER (WHERE x.low), 0), 6) AS tail_dependence FROM l x JOIN l y ON x.ts = y.ts AND x.symbol < y.symbol GROUP BY 1, 2""")
 def tail_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = st.tail_dependence(ret := materialise(_returns(spark, sf_dir), "returns"), "ret", _symbols(ret)).where("n > 0")
+    df = st.tail_dependence(materialise(_returns(spark, sf_dir), "returns"), "ret")
     return rr(df, 6, "a", "b", "n")
 
 
