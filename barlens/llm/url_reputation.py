@@ -4,7 +4,7 @@ A page whose document is labelled (its path ends in the document's number) is an
 bad if the label says low quality or toxic.  The bad rates are shrunk through beta-binomial
 priors: the suffix towards all pages, the registered domain towards its suffix, the host
 towards its domain.  A level's prior strength is estimated by moments
-from how much its groups differ beyond chance.  A page without a rule is blocked when
+from how much the groups of one parent differ beyond chance.  A page without a rule is blocked when
 the lower bound of its host's posterior bad rate exceeds the threshold.  Only DataFrame
 functions run; the rates are one row per host, the only shuffled side that grows with
 pages is (page, host, path), and it joins on host as a left side that can be split.
@@ -64,16 +64,21 @@ def domain_of(host: Column) -> Column:
     return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def strength(groups: DataFrame, rate: float) -> float:
-    """Prior size M of a level by moments: between-group variance p(1-p)/(M+1), after the binomial noise is taken out."""
-    row = groups.where("n > 0").agg(
-        F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("n") * (F.col("k") / F.col("n") - rate) * (F.col("k") / F.col("n") - rate)).alias("ss")).first()
-    noise = rate * (1 - rate)
-    if row["g"] is None or row["g"] < 2 or noise <= 0:
+def strength(groups: DataFrame, parent: str) -> float:
+    """Prior size M of a level by moments around its parents' rates.
+
+    Among the groups of one parent with rate r, sum n (k/n - r)^2 is (groups - 1) r (1 - r) by chance plus
+    r (1 - r) (N - sum n^2 / N) / (M + 1) where the groups differ.  Both sides are summed over all parents, so what
+    parents differ in does not count as a difference between their groups; a lone group says nothing.
+    """
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    per = groups.where("n > 0").groupBy(parent).agg(
+        F.count(F.lit(1)).alias("g"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(n * n).alias("nn"), F.sum(k * k / n).alias("kk"))
+    noise = k / n * (1 - k / n)
+    row = per.agg(F.sum(F.col("kk") - k * k / n - (F.col("g") - 1) * noise).alias("over"), F.sum(noise * (n - F.col("nn") / n)).alias("room")).first()
+    if not row["room"] or row["room"] <= 0 or row["over"] <= 0:
         return STRENGTHS[1]
-    spread = (row["ss"] - (row["g"] - 1) * noise) / (row["n"] - row["nn"] / row["n"])
-    return STRENGTHS[1] if spread <= 0 else min(max(noise / spread - 1, STRENGTHS[0]), STRENGTHS[1])
+    return min(max(row["room"] / row["over"] - 1, STRENGTHS[0]), STRENGTHS[1])
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
@@ -88,7 +93,8 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     suffixes = hosts.groupBy("suffix").agg(*sums)
     total = suffixes.agg(*sums).first()
     rate = total["k"] / total["n"] if total["n"] else 0.5
-    m_suffix, m_domain, m_host = (strength(g, rate) for g in (suffixes, domains, hosts))
+    m_suffix = strength(suffixes.withColumn("all", F.lit(1)), "all")
+    m_domain, m_host = strength(domains, "suffix"), strength(hosts, "domain")
 
     def shrunk(prior: Column, m: float) -> Column:
         return (F.col("k") + F.lit(m) * prior) / (F.col("n") + F.lit(m))
@@ -147,12 +153,11 @@ hosts AS (SELECT host, n, k, array_to_string(labels[-parts:], '.') AS suffix, ar
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix),
 total AS (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0.5) AS rate FROM suffixes),
-levels AS (SELECT 'host' AS level, n, k FROM hosts UNION ALL SELECT 'domain', n, k FROM domains UNION ALL SELECT 'suffix', n, k FROM suffixes),
-moments AS (
-  SELECT level, count(*) AS g, sum(n) AS n, sum(n * n) AS nn, sum(n * pow(k / n - rate, 2)) AS ss, any_value(rate * (1 - rate)) AS noise
-  FROM levels, total WHERE n > 0 GROUP BY level),
-spreads AS (SELECT level, CASE WHEN g < 2 OR noise <= 0 THEN 0 ELSE (ss - (g - 1) * noise) / (n - nn / n) END AS spread, noise FROM moments),
-strengths AS (SELECT level, CASE WHEN spread <= 0 THEN 1000.0 ELSE least(greatest(noise / spread - 1, 1.0), 1000.0) END AS m FROM spreads),
+levels AS (SELECT 'host' AS level, domain AS parent, n, k FROM hosts UNION ALL SELECT 'domain', suffix, n, k FROM domains UNION ALL SELECT 'suffix', '', n, k FROM suffixes),
+rated AS (SELECT *, sum(k) OVER w / sum(n) OVER w AS r FROM levels WHERE n > 0 WINDOW w AS (PARTITION BY level, parent)),
+families AS (SELECT level, parent, count(*) AS g, sum(n) AS n, sum(n * n) AS nn, sum(n * pow(k / n - r, 2)) AS ss, any_value(r * (1 - r)) AS noise FROM rated GROUP BY level, parent),
+moments AS (SELECT level, sum(ss - (g - 1) * noise) AS over_chance, sum(noise * (n - nn / n)) AS room FROM families GROUP BY level),
+strengths AS (SELECT level, CASE WHEN room <= 0 OR over_chance <= 0 THEN 1000.0 ELSE least(greatest(room / over_chance - 1, 1.0), 1000.0) END AS m FROM moments),
 m AS (SELECT coalesce(max(m) FILTER (WHERE level = 'host'), 1000.0) AS mh, coalesce(max(m) FILTER (WHERE level = 'domain'), 1000.0) AS md, coalesce(max(m) FILTER (WHERE level = 'suffix'), 1000.0) AS ms FROM strengths),
 by_suffix AS (SELECT suffix, (k + ms * rate) / (n + ms) AS r FROM suffixes, total, m),
 by_domain AS (SELECT d.domain, (d.k + md * s.r) / (d.n + md) AS r FROM domains d JOIN by_suffix s USING (suffix), m),

@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barlens.llm import bpe, lattice, mixing, quality, toxicity, url_reputation
 
@@ -199,3 +200,23 @@ def test_urls_beside_sql(spark, labels):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
     assert url_reputation.judge_urls(pages.limit(0), labels).count() == 0
+
+
+def test_prior_strength_is_that_within_the_parent(spark):
+    """Hosts that differ by suffix only are shrunk to their domain; hosts that differ inside a domain are not."""
+    rng = np.random.default_rng(8)
+
+    def hosts(rate):
+        return spark.createDataFrame([(f"h{h}.d{d}.{s}", n, int(rng.binomial(n, rate(i, h)))) for i, s in enumerate(("aa", "bb", "cc")) for d in range(12)
+                                      for h in range(6) for n in [int(rng.integers(20, 200))]], "host string, n long, k long")
+    by_suffix = hosts(lambda i, h: (0.1, 0.4, 0.8)[i])
+    parts = by_suffix.selectExpr("*", "substring_index(host, '.', -2) AS domain", "substring_index(host, '.', -1) AS suffix")
+    domains = parts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
+    assert url_reputation.strength(parts, "domain") > 150 and url_reputation.strength(domains, "suffix") > 150
+    assert url_reputation.strength(suffixes, "all") < 10
+    own = hosts(lambda i, h: (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)[h]).selectExpr("*", "substring_index(host, '.', -2) AS domain")
+    assert url_reputation.strength(own, "domain") < 10
+    assert url_reputation.strength(own.where("host LIKE 'h0.%'"), "domain") == url_reputation.STRENGTHS[1]
+    rates = {r.host: r.mean for r in url_reputation.host_reputation(by_suffix).collect()}
+    assert all(abs(m - {"aa": 0.1, "bb": 0.4, "cc": 0.8}[h[-2:]]) < 0.1 for h, m in rates.items())
