@@ -143,6 +143,42 @@ def test_raking_equals_a_plain_fit(spark):
         assert abs(r.weight - weight[int(r.source[1]), int(r.lang[1]), int(r.topic[1])]) < 1e-4
 
 
+def _shares(cells, r, name):
+    got = cells.join(r, ["source", "lang", "topic"]).toPandas()
+    taken = got.tokens * got.probability
+    return taken.groupby(got[name]).sum() / taken.sum(), taken.sum() / got.tokens.sum(), got
+
+
+def test_probabilities_meet_targets_where_cells_are_whole(spark):
+    """With a large budget many cells are taken whole; the sample has its marginals all the same."""
+    rng = np.random.default_rng(16)
+    base = rng.normal(5, 0.5, (40, 1, 1)) + rng.normal(0, 0.5, (40, 3, 4)) + np.array([0, 0.8, 1.6])[None, :, None] + np.arange(4) * 0.5
+    n = np.exp(base).astype(int) * (rng.random((40, 3, 4)) < 0.9)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(n[i, j, k])) for i in range(40) for j in range(3) for k in range(4) if n[i, j, k]],
+                                  "source string, lang string, topic string, tokens long")
+    rake = mixing.rake(cells, budget=0.7).cache()
+    for axis, name in (((1, 2), "source"), ((0, 2), "lang"), ((0, 1), "topic")):
+        share, budget, got = _shares(cells, rake, name)
+        own = n.sum(axis)
+        want = mixing.filled(own ** mixing.TEMPER / (own ** mixing.TEMPER).sum(), own.astype(float), own.sum() * 0.7) / (own.sum() * 0.7)
+        assert abs(budget - 0.7) < 1e-3
+        assert all(abs(share[f"{name[0]}{i}"] - w) < 1e-3 for i, w in enumerate(want))
+    assert (got.probability >= 0.999999).mean() > 0.1 and got.probability.max() <= 1 and got.error.max() < mixing.BOUNDED_TOLERANCE
+    # a source of one language and a source of the other cannot meet both targets: the miss is told
+    small = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    torn = mixing.rake(small, budget=0.5, lang_targets={"x": 0.9, "y": 0.1}).collect()
+    assert all(r.error > 0.1 and 0 <= r.probability <= 1 for r in torn)
+
+
+def test_bounded_factor_by_bisection():
+    rng = np.random.default_rng(9)
+    n, g = rng.integers(0, 50, (30, 8)).astype(float), np.append(rng.random(7) * 5, 0.0)
+    quota = n[:, :7].sum(1) * rng.random(30)
+    factor, chance = mixing.bounded(n, quota, g)
+    assert np.allclose((n * chance).sum(1), quota) and (chance <= 1).all() and np.allclose(chance, np.minimum(1, factor[:, None] * g))
+    assert (mixing.bounded(n, n.sum(1), np.ones(8))[1] > 1 - 1e-12).all()
+
+
 @tables
 def test_quality_on_held_out_rows(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
