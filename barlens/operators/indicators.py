@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,10 +260,67 @@ def swing_levels(lookback: int) -> Step:
     return columns([], exprs, ["swing_high", "swing_low", "confirmed_ts"], before=lookback, after=lookback)
 
 
+def last_swings(bars: DataFrame, lookbacks: Sequence[int], *, block_rows: int = BLOCK_ROWS,
+                slice_bars: int = SLICE_BARS) -> DataFrame:
+    """The last confirmed strict local low and high, ``swl<k>`` and ``swh<k>``, of every lookback.
+
+    A swing counts from the bar that confirms it, ``k`` bars later, until the next one does, however
+    long that takes: the last level of a block is carried to the blocks after it (one row per block).
+    """
+    steps = []
+    for k in lookbacks:
+        old = f"OVER ({FRAME_SQL} ROWS BETWEEN {2 * k} PRECEDING AND {k + 1} PRECEDING)"
+        new = f"OVER ({FRAME_SQL} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+        steps.append(sql_columns([], {
+            f"_s{side}{k}": f"CASE WHEN count({x}) {old} = {k} AND {lag_sql(x, k)} {sign} {agg}({x}) {old} "
+                            f"AND {lag_sql(x, k)} {sign} {agg}({x}) {new} THEN {lag_sql(x, k)} END"
+            for side, x, agg, sign in (("l", "low", "min", "<"), ("h", "high", "max", ">"))}, before=2 * k))
+    names = [f"{side}{k}" for k in lookbacks for side in ("l", "h")]
+    df = run_steps(blocked(bars, before=reach(steps)[0], block_rows=block_rows, slice_bars=slice_bars), steps).where("_own")
+    inside = frame().rowsBetween(Window.unboundedPreceding, 0)
+    df = materialise(df.select(*bars.columns, "_blk", *[F.last(f"_s{n}", ignorenulls=True).over(inside).alias(f"_s{n}") for n in names]),
+                     "swings")
+    ends = df.groupBy(*FRAME_KEYS).agg(*[F.max_by(f"_s{n}", "ts").alias(f"_e{n}") for n in names])
+    gone = Window.partitionBy(*KEYS).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*FRAME_KEYS, *[F.last(f"_e{n}", ignorenulls=True).over(gone).alias(f"_e{n}") for n in names])
+    return df.join(ends, list(FRAME_KEYS)).select(
+        *bars.columns, *[F.coalesce(f"_s{n}", f"_e{n}").alias(f"sw{n}") for n in names])
+
+
 def round_level(out: str = "round_level", step: float = 0.01) -> Step:
     return column(out, [], lambda: F.floor(c() / step) * step)
 
 
+def nearest_level(step: float = 0.01, within: float = 0.001) -> Step:
+    """The nearest round level (the upper one of two) and whether the close lies within a share of it."""
+    level = f"(floor(close / {step!r}D + 0.5D) * {step!r}D)"
+    return sql_columns([], {"nearest_level": level, "near_level": f"coalesce(abs(close / nullif({level}, 0) - 1) <= {within!r}D, false)"})
+
+
+def size_over_atr(period: int = 14) -> Step:
+    """Body and range of a bar in units of its average true range."""
+    return chain((), ("body_atr", "range_atr"), atr("_atr_size", period), sql_columns(["_atr_size"], {
+        "body_atr": "abs(close - open) / nullif(_atr_size, 0)", "range_atr": "(high - low) / nullif(_atr_size, 0)"}))
+
+
+def gap_fill(horizon: int = 50) -> Step:
+    """Bars until the price is back at the close before a gap, 0 for the same bar.
+
+    Null without a gap and where it stays open for ``horizon`` further bars.
+    """
+    ahead = f"OVER ({FRAME_SQL} ROWS BETWEEN CURRENT ROW AND {horizon} FOLLOWING)"
+    c1 = lag_sql("close")
+
+    def fn(df: DataFrame) -> DataFrame:
+        kept = df.columns
+        df = df.selectExpr("*", f"{c1} AS _c1", f"collect_list(struct(low, high)) {ahead} AS _next")
+        place = ("CASE WHEN open > _c1 THEN array_position(transform(_next, x -> x.low <= _c1), true) "
+                 "WHEN open < _c1 THEN array_position(transform(_next, x -> x.high >= _c1), true) END")
+        return df.selectExpr(*kept, "open - _c1 AS gap_size", f"nullif({place}, 0) - 1 AS fill_lag")
+
+    return Step((), ("gap_size", "fill_lag"), fn, before=1, after=horizon)
+
+
 def candle_anatomy() -> Step:
     def exprs() -> dict[str, Column]:
         body = F.abs(c() - o())

@@ -106,13 +106,14 @@ def cascade_null(children: DataFrame, parents: DataFrame, fk: str, key: str) ->
     return children.join(known, fk, "left").withColumn(fk, F.when(F.col("_known"), F.col(fk))).select(*children.columns)
 
 
-def transitions(table: DataFrame, rules: Sequence[tuple[Column, str, str]], *, key: str, status: str = "status") -> DataFrame:
+def transitions(table: DataFrame, rules: Sequence[tuple[Column, str, str]], *, key: str, status: str = "status",
+                carry: Sequence[Column] = ()) -> DataFrame:
     """Status changes by the first rule (test, new status, reason) that holds."""
     new, why = F.lit(None).cast("string"), F.lit(None).cast("string")
     for test, target, reason in reversed(rules):
         new = F.when(test, target).otherwise(new)
         why = F.when(test, reason).otherwise(why)
-    return table.select(key, F.col(status).alias("old"), new.alias("new"), why.alias("reason")).where("new IS NOT NULL")
+    return table.select(key, F.col(status).alias("old"), new.alias("new"), why.alias("reason"), *carry).where("new IS NOT NULL")
 
 
 def older_than(column: str, as_of: str, minutes: int) -> Column:
@@ -121,16 +122,28 @@ def older_than(column: str, as_of: str, minutes: int) -> Column:
 
 
 def stale_rules(as_of: str) -> list[tuple[Column, str, str]]:
-    """Jobs that ran past their limit, and failed ones that may try again."""
+    """Jobs that ran past their limit, and failed ones that may try again.
+
+    A test counts as stuck only while it holds a ``job_id``; without one it was never sent off.
+    """
     s = F.col("status")
+    sent = F.col("job_id").isNotNull()
     return [
         ((s == "running") & older_than("updated_at", as_of, 35), "failed", "research timed out"),
-        ((s == "backtesting") & older_than("updated_at", as_of, 52), "failed", "backtest timed out"),
-        ((s == "quick_testing") & older_than("updated_at", as_of, 20), "failed", "quick test timed out"),
+        ((s == "backtesting") & sent & older_than("updated_at", as_of, 52), "failed", "backtest timed out"),
+        ((s == "quick_testing") & sent & older_than("updated_at", as_of, 20), "failed", "quick test timed out"),
         ((s == "failed") & (F.coalesce("retry_count", F.lit(0)) < 3) & older_than("updated_at", as_of, 15), "pending", "retry"),
     ]
 
 
+def stale_jobs(table: DataFrame, as_of: str, *, key: str) -> DataFrame:
+    """The stale transitions with the columns they set: a retry raises ``retry_count``, every one clears ``job_id``."""
+    tries = F.coalesce("retry_count", F.lit(0)).cast("long")
+    changed = transitions(table, stale_rules(as_of), key=key, carry=[tries.alias("_tries")])
+    return changed.select(key, "old", "new", "reason", (F.col("_tries") + F.when(F.col("new") == "pending", 1).otherwise(0)).alias("retry_count"),
+                          F.lit(None).cast("string").alias("job_id"))
+
+
 def classify_error(text: Column) -> Column:
     """'quality_rejection', 'infrastructure', 'code_bug' or 'unknown' by the first list that matches."""
     low = F.lower(text)
@@ -164,14 +177,14 @@ def promising(by_timeframe: Column) -> Column:
 
 
 def fan_out(tasks: DataFrame, symbols: Sequence[str] = FAN_OUT_SYMBOLS, batch: int | None = None) -> DataFrame:
-    """Copies of finished tasks for the other symbols; ``batch``, where given, is the number made per cycle."""
-    todo = tasks.where("status = 'done' AND NOT coalesce(fanned_out, false) AND parent_task_id IS NULL AND symbol IS NOT NULL")
+    """Copies of finished tasks that name a symbol and a timeframe for the other symbols; ``batch``, where given, is the number made per cycle."""
+    todo = tasks.where("status = 'done' AND NOT coalesce(fanned_out, false) AND parent_task_id IS NULL AND symbol IS NOT NULL AND timeframe IS NOT NULL")
     copies = todo.withColumn("new_symbol", F.explode(F.array(*[F.lit(s) for s in symbols]))).where("new_symbol <> symbol")
     title = F.when(F.contains("title", "symbol"), F.replace("title", "symbol", "new_symbol")).otherwise(
         F.concat("title", F.lit(" — "), "new_symbol"))
     order = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("new_symbol"))
     rows = copies.select(
-        F.col("id").alias("parent_task_id"), order.alias("_order"), F.col("new_symbol").alias("symbol"), title.alias("title"),
+        F.col("id").alias("parent_task_id"), order.alias("_order"), F.col("new_symbol").alias("symbol"), "timeframe", title.alias("title"),
         F.replace("question", "symbol", "new_symbol").alias("question"), F.lit("pending").alias("status"))
     if batch is None:
         return rows.drop("_order")

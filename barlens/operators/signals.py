@@ -111,7 +111,7 @@ def catalogue() -> list[Spec]:
         "high >= vwap_upper AND close < vwap_upper")
     for k in (10, 20, 30):
         add(f"swing_bounce_{k}", "swing_levels", "structure",
-            f"abs(low_1 / swl{k} - 1) <= 0.003 AND close > swl{k}", f"abs(high_1 / swh{k} - 1) <= 0.003 AND close < swh{k}")
+            f"abs(low_1 / swl{k}_1 - 1) <= 0.003 AND close > swl{k}_1", f"abs(high_1 / swh{k}_1 - 1) <= 0.003 AND close < swh{k}_1")
     add("prior_session_hl", "prior_session_hl", "structure", "close > prior_high", "close < prior_low")
     add("round_numbers", "round_numbers", "structure",
         "close_1 < rnd_up AND close_1 >= rnd_up * 0.999 AND close > rnd_up",
@@ -228,10 +228,6 @@ def column_steps(names: set[str], round_step: float = 0.01) -> list[Step]:
     if {"hh20", "ll20"} & names:
         rolled["hh20"] = f"CASE WHEN count(high) {earlier} = 20 THEN max(high) {earlier} END"
         rolled["ll20"] = f"CASE WHEN count(low) {earlier} = 20 THEN min(low) {earlier} END"
-    for k, in _family(names, r"sw[lh](\d+)"):
-        w = f"OVER ({FRAME_SQL} ROWS BETWEEN {k + 1} PRECEDING AND 2 PRECEDING)"
-        rolled[f"swl{k}"] = f"CASE WHEN count(low) {w} = {k} THEN min(low) {w} END"
-        rolled[f"swh{k}"] = f"CASE WHEN count(high) {w} = {k} THEN max(high) {w} END"
     cmfs = [p for p, in _family(names, r"cmf(\d+)")]
     if cmfs:
         steps.append(sql_columns([], {"_mfv": "coalesce((2 * close - high - low) / nullif(high - low, 0), 0D) * volume"}))
@@ -273,6 +269,9 @@ def prepare(bars: DataFrame, names: set[str]) -> DataFrame:
         bars = ind.vwap_daily(bars)
     if {"prior_high", "prior_low", "s1", "r1"} & names:
         bars = ind.with_daily_levels(bars)
+    swings = sorted({k for k, in _family(names, r"sw[lh](\d+)")})
+    if swings:
+        bars = ind.last_swings(bars, swings)
     if any(n.startswith("st_dir") for n in names):
         bars = seq.supertrend(bars, SUPERTREND_VARIANTS)
     if any(n.startswith("psar") for n in names):
@@ -291,7 +290,7 @@ def signals_long(bars: DataFrame, specs: Sequence[Spec] | None = None, *, horizo
     specs = list(specs or catalogue())
     base, lagged = columns_of(specs)
     wanted = base | {"ema200"} | set(carry)
-    special = [n for n in wanted if re.match(r"obv|vwap|prior_|s1$|r1$|st_dir|psar", n)]
+    special = [n for n in wanted if re.match(r"obv|vwap|prior_|s1$|r1$|sw[lh]\d|st_dir|psar", n)]
     if special:
         bars = materialise(prepare(bars, wanted), "features")
     steps = column_steps(wanted, round_step)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlens.functions.core import KEYS
+
 
 def param_grid(spark: SparkSession, space: Mapping[str, Sequence], pinned: Mapping[str, object] | None = None) -> DataFrame:
     """Every combination of the lists, in grid order, with its identity as sorted JSON.
@@ -28,6 +30,12 @@ def valid_sessions(grid: DataFrame) -> DataFrame:
     return grid.where(F.col("start_hour") < F.col("end_hour"))
 
 
+def long_enough(stats: DataFrame, bars: DataFrame, min_bars: int = 200) -> DataFrame:
+    """Keeps the results of series with at least so many bars; counted map-side, one row per series."""
+    series = bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_bars)
+    return stats.join(series.select(*KEYS), list(KEYS), "left_semi")
+
+
 def sweep(stats: DataFrame, *, by: Sequence[str], metric: str, order: str, keep: int = 1) -> DataFrame:
     """Best ``keep`` variants of each group; the earlier one in the grid wins a tie.
 

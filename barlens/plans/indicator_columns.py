@@ -331,6 +331,25 @@ def candle_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "inside_bar", "outside_bar", "fractal_high", "fractal_low")
 
 
+@query("bar_sizes", f"""WITH {BARS_1H}, {RN}, {DIFFS}, a AS (SELECT *, {ewm_sql('tr', '1.0/14')} AS atr, floor(close / 0.5 + 0.5) * 0.5 AS nearest FROM tr)
+SELECT symbol, {TS_SQL}, round(abs(close - open) / nullif(atr, 0), 5) + 0.0 AS body_atr, round((high - low) / nullif(atr, 0), 5) + 0.0 AS range_atr,
+  round(nearest, 6) + 0.0 AS nearest_level, coalesce(abs(close / nullif(nearest, 0) - 1) <= 0.001, false) AS near_level FROM a""")
+def bar_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each bar in average true ranges, and its nearest round level."""
+    df = compute(bars_1h(spark, sf_dir), [ind.size_over_atr(14), ind.nearest_level(0.5)])
+    return df.select("symbol", ts_text().alias("ts"), r("body_atr", 5).alias("body_atr"), r("range_atr", 5).alias("range_atr"),
+                     r("nearest_level").alias("nearest_level"), "near_level")
+
+
+@query("gap_fills", f"""WITH {BARS_1H}, {RN}, g AS (SELECT symbol, ts, rn, open, lag(close) OVER {W_SQL} AS c1 FROM numbered)
+SELECT g.symbol, strftime(g.ts, '%Y-%m-%d %H:%M:%S') AS ts, round(any_value(g.open - c1), 6) + 0.0 AS gap_size, min(n.rn) - any_value(g.rn) AS fill_lag FROM g LEFT JOIN numbered n ON n.symbol = g.symbol AND n.rn BETWEEN g.rn AND g.rn + 50
+  AND CASE WHEN g.open > c1 THEN n.low <= c1 ELSE n.high >= c1 END WHERE g.open <> c1 GROUP BY g.symbol, g.ts""")
+def gap_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gap between two bars and how many bars later the price has come back."""
+    df = compute(bars_1h(spark, sf_dir), [ind.gap_fill(50)]).where("gap_size <> 0")
+    return df.select("symbol", ts_text().alias("ts"), r("gap_size").alias("gap_size"), "fill_lag")
+
+
 @query("streaks", f"""WITH {BARS_1H}, a AS (SELECT *, CAST(sign(close - open) AS INTEGER) AS dir, row_number() OVER {W_SQL} AS i FROM bars),
 b AS (SELECT *, CASE WHEN coalesce(dir <> lag(dir) OVER {W_SQL}, true) THEN i END AS s FROM a)
 SELECT symbol, {TS_SQL}, dir, i - max(s) OVER (PARTITION BY symbol, timeframe ORDER BY ts ROWS UNBOUNDED PRECEDING) + 1 AS streak FROM b""")
@@ -400,11 +419,11 @@ def psar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("symbol", ts_text().alias("ts"), F.col("psar_dir_0").alias("direction"), r("psar_0", 5).alias("sar"))
 
 
-def _structure_sql(n: int = 5, m: int = 250) -> str:
+def _structure_sql(n: int = 5) -> str:
     side = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {2 * n} PRECEDING AND {n + 1} PRECEDING)"
     aft = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    back = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {m} PRECEDING AND 1 PRECEDING)"
-    upto = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {m} PRECEDING AND CURRENT ROW)"
+    back = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    upto = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""{BARS_1D}, a AS (SELECT *, lag(high, {n}) OVER {W_SQL} AS hn, lag(low, {n}) OVER {W_SQL} AS ln, count(*) OVER {side} AS k, max(high) OVER {side} AS mh, min(low) OVER {side} AS ml,
   max(high) OVER {aft} AS ah, min(low) OVER {aft} AS al, {roll_sql('avg(close)', 50)} AS ma, {roll_sql('avg(volume)', 20)} AS vm, 4 * {roll_sql('stddev_samp(close)', 20)} AS w FROM bars),
 b AS (SELECT *, CASE WHEN k = {n} AND hn > mh AND hn > ah THEN hn END AS sh, CASE WHEN k = {n} AND ln < ml AND ln < al THEN ln END AS sl, (ma - lag(ma, 10) OVER {W_SQL}) / 10 AS slope,

@@ -21,7 +21,8 @@ _STATUSES = ["failed", "running", "backtesting", "quick_testing", "quick_tested"
 _ST_EXPR = "CASE (o_orderkey + o_custkey) % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_STATUSES)) + " END"
 _COLS = f"""o_orderkey AS id, {_ST_EXPR} AS status, {_ERR_EXPR} AS error_log, o_orderkey % 5 AS retry_count, o_orderkey % 7 <> 0 AS has_code,
   o_orderkey % 10 = 0 AS is_campaign_root, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey - o_orderkey % 10 END AS campaign_id,
-  round((o_totalprice - 250000.0) / 100000.0, 8) AS sharpe, o_custkey % 60 AS trades, o_custkey AS idea_id"""
+  round((o_totalprice - 250000.0) / 100000.0, 8) AS sharpe, o_custkey % 60 AS trades, o_custkey AS idea_id,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'job-' || o_orderkey END AS job_id"""
 _STRAT = f"strategies AS (SELECT {_COLS}, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM orders)"
 
 
@@ -77,11 +78,11 @@ def cascade_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.cascade_null(o, table(spark, sf_dir, "customer").where("c_acctbal > 0"), "parent_key", "c_custkey")
 
 
-@query("stale_transitions", f"""WITH {_STRAT}, x AS (SELECT *, CASE WHEN status = 'running' AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 35 MINUTE THEN 1 WHEN status = 'backtesting' AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 52 MINUTE THEN 2
-  WHEN status = 'quick_testing' AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 20 MINUTE THEN 3 WHEN status = 'failed' AND retry_count < 3 AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE THEN 4 END AS k FROM strategies)
-SELECT id, status AS old, CASE WHEN k = 4 THEN 'pending' ELSE 'failed' END AS new, CASE k WHEN 1 THEN 'research timed out' WHEN 2 THEN 'backtest timed out' WHEN 3 THEN 'quick test timed out' ELSE 'retry' END AS reason FROM x WHERE k IS NOT NULL""")
+@query("stale_transitions", f"""WITH {_STRAT}, x AS (SELECT *, CASE WHEN status = 'running' AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 35 MINUTE THEN 1 WHEN status = 'backtesting' AND job_id IS NOT NULL AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 52 MINUTE THEN 2
+  WHEN status = 'quick_testing' AND job_id IS NOT NULL AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 20 MINUTE THEN 3 WHEN status = 'failed' AND retry_count < 3 AND updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE THEN 4 END AS k FROM strategies)
+SELECT id, status AS old, CASE WHEN k = 4 THEN 'pending' ELSE 'failed' END AS new, CASE k WHEN 1 THEN 'research timed out' WHEN 2 THEN 'backtest timed out' WHEN 3 THEN 'quick test timed out' ELSE 'retry' END AS reason, retry_count + CASE WHEN k = 4 THEN 1 ELSE 0 END AS retry_count, CAST(NULL AS VARCHAR) AS job_id FROM x WHERE k IS NOT NULL""")
 def stale_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.transitions(strategies(spark, sf_dir), rg.stale_rules(AS_OF), key="id")
+    return rg.stale_jobs(strategies(spark, sf_dir), AS_OF, key="id")
 
 
 def _classify_sql(col: str) -> str:
@@ -126,7 +127,7 @@ def promising(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TASKS = """tasks AS (SELECT c_custkey AS id, CASE c_nationkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'done' END AS status,
   CASE WHEN c_custkey % 11 <> 0 THEN CASE c_custkey % 3 WHEN 0 THEN 'EURUSD' WHEN 1 THEN 'GBPUSD' ELSE 'USDJPY' END END AS symbol, c_custkey % 4 = 0 AS fanned_out,
-  CASE WHEN c_custkey % 6 = 5 THEN c_custkey - 1 END AS parent_task_id FROM customer)"""
+  CASE WHEN c_custkey % 6 = 5 THEN c_custkey - 1 END AS parent_task_id, CASE WHEN c_custkey % 7 <> 0 THEN '1h' END AS timeframe FROM customer)"""
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +137,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fan_out", f"""WITH {_TASKS}, s AS (SELECT unnest(['EURUSD', 'GBPUSD', 'USDJPY', 'AUDUSD', 'USDCAD', 'NZDUSD']) AS sym),
 t AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'Trend of ' || symbol ELSE 'Trend' END AS title, 'Does ' || symbol || ' trend?' AS question FROM tasks)
-SELECT id AS parent_task_id, sym AS symbol, CASE WHEN contains(title, symbol) THEN replace(title, symbol, sym) ELSE title || ' — ' || sym END AS title, replace(question, symbol, sym) AS question, 'pending' AS status
-FROM t, s WHERE status = 'done' AND NOT fanned_out AND parent_task_id IS NULL AND symbol IS NOT NULL AND sym <> symbol""")
+SELECT id AS parent_task_id, sym AS symbol, timeframe, CASE WHEN contains(title, symbol) THEN replace(title, symbol, sym) ELSE title || ' — ' || sym END AS title, replace(question, symbol, sym) AS question, 'pending' AS status
+FROM t, s WHERE status = 'done' AND NOT fanned_out AND parent_task_id IS NULL AND symbol IS NOT NULL AND timeframe IS NOT NULL AND sym <> symbol""")
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tasks(spark, sf_dir).withColumns({
         "title": F.expr("CASE WHEN id % 2 = 0 THEN 'Trend of ' || symbol ELSE 'Trend' END"), "question": F.expr("'Does ' || symbol || ' trend?'")})

@@ -13,7 +13,7 @@ from barlens.operators import indicators as ind
 from barlens.operators import signals as sig
 from barlens.operators.blocks import compute
 from barlens.operators.recurrence import ewm, span_alpha, wilder_alpha
-from barlens.operators.sweep import param_grid, sweep
+from barlens.operators.sweep import long_enough, param_grid, sweep
 from barlens.plans.catalog import (
     BARS_1D, BARS_1H, DIFFS, RN, TS_SQL, W_SQL, bars_1d, bars_1h, ema_sql, ewm_sql, query, roll_sql,
 )
@@ -53,7 +53,12 @@ def _columns_sql() -> str:
     l1 += [f"{roll_sql('sum(mfv)', p)} / nullif({roll_sql('sum(volume)', p)}, 0) AS cmf{p}" for p in (10, 20)]
     l1 += [f"100 * {roll_sql('sum(pf)', p, x='pf')} / nullif({roll_sql('sum(pf)', p, x='pf')} + {roll_sql('sum(nf)', p, x='nf')}, 0) AS mfi{p}" for p in (10, 14)]
     l1 += [f"{upto('max(high)', 20, 1)} AS hh20, {upto('min(low)', 20, 1)} AS ll20"]
-    l1 += [f"{upto('min(low)', k + 1, 2)} AS swl{k}, {upto('max(high)', k + 1, 2)} AS swh{k}" for k in (10, 20, 30)]
+    l1 += [f"last_value(_{x}{k} IGNORE NULLS) OVER {run} AS {x}{k}" for k in (10, 20, 30) for x in ("swl", "swh")]
+    swings = ", ".join(
+        f"CASE WHEN count({x}) OVER {before(2 * k, k + 1)} = {k} AND lag({x}, {k}) OVER {W_SQL} {sign} {agg}({x}) OVER {before(2 * k, k + 1)} "
+        f"AND lag({x}, {k}) OVER {W_SQL} {sign} {agg}({x}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) "
+        f"THEN lag({x}, {k}) OVER {W_SQL} END AS _{name}{k}"
+        for k in (10, 20, 30) for name, x, agg, sign in (("swl", "low", "min", "<"), ("swh", "high", "max", ">")))
     l2 = [f"100 - 100 / (1 + _gain{p} / nullif(_loss{p}, 0)) AS rsi{p}" for p in rsis]
     l2 += [f"ema{f} - ema{s} AS macd_{f}_{s}" for f, s, _ in macds]
     l2 += [f"100 * _pdm{p} / nullif(_tr1{p}, 0) AS pdi{p}, 100 * _mdm{p} / nullif(_tr1{p}, 0) AS mdi{p}, "
@@ -81,7 +86,7 @@ joined AS (SELECT tr.*, prior_high, prior_low, plc FROM tr JOIN levels ON tr.sym
 k0 AS (SELECT *, 2 * ((prior_high + prior_low + plc) / 3) - prior_high AS s1, 2 * ((prior_high + prior_low + plc) / 3) - prior_low AS r1,
   (high + low + close) / 3 AS tp, coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * volume AS mfv,
   high - lag(high) OVER {W_SQL} AS rise, lag(low) OVER {W_SQL} - low AS fall, coalesce(sign(close - pc) * volume, 0) AS dv,
-  ceil(pc / {STEP}) * {STEP} AS rnd_up, floor(pc / {STEP}) * {STEP} AS rnd_dn
+  ceil(pc / {STEP}) * {STEP} AS rnd_up, floor(pc / {STEP}) * {STEP} AS rnd_dn, {swings}
   FROM joined),
 k1 AS (SELECT *, CASE WHEN rise IS NOT NULL THEN CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0 END END AS pdm,
   CASE WHEN rise IS NOT NULL THEN CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0 END END AS mdm, tr AS tr1,
@@ -226,7 +231,8 @@ def _signal_stats(spark: SparkSession, sf_dir: str, specs: list[sig.Spec]) -> Da
 
 
 _BEST_VARIANT = """,
-named AS (SELECT *, split_part(spec_id, '_', 1) AS family FROM stats WHERE horizon = 5 AND side = 'both' AND profit_factor IS NOT NULL),
+named AS (SELECT *, split_part(spec_id, '_', 1) AS family FROM stats WHERE horizon = 5 AND side = 'both' AND profit_factor IS NOT NULL
+  AND (symbol, timeframe) IN (SELECT (symbol, timeframe) FROM bars GROUP BY symbol, timeframe HAVING count(*) >= 200)),
 k AS (SELECT *, row_number() OVER (PARTITION BY family, symbol, timeframe ORDER BY round(profit_factor, 9) DESC, spec_id, regime_filter) AS rank FROM named)
 SELECT family, symbol, spec_id, regime_filter, n, round(profit_factor, 5) AS profit_factor, rank FROM k WHERE rank <= 3"""
 
@@ -234,6 +240,7 @@ SELECT family, symbol, spec_id, regime_filter, n, round(profit_factor, 5) AS pro
 def _best_variant(spark: SparkSession, sf_dir: str, specs: list[sig.Spec]) -> DataFrame:
     """Best three parameter variants per indicator family and symbol by profit factor five bars ahead."""
     s = swept_stats(spark, sf_dir, specs).where("horizon = 5 AND side = 'both'")
+    s = long_enough(s, bars_1h(spark, sf_dir))
     s = s.withColumn("family", F.split_part("spec_id", F.lit("_"), F.lit(1))).withColumns(
         {"_order": F.struct("spec_id", "regime_filter"), "_pf": F.round("profit_factor", 9)})
     best = sweep(s, by=["family", *KEYS], metric="_pf", order="_order", keep=3)

@@ -154,19 +154,32 @@ def tightened_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("strategy_id", bounds.alias("b")).select("strategy_id", "b.start_lo", "b.start_hi", "b.end_lo", "b.end_hi")
 
 
-@query("best_daily_cap", f"""WITH {EVENTS},
+_DAILY_CAP = f"""WITH {EVENTS},
 k AS (SELECT *, row_number() OVER (PARTITION BY strategy_id, CAST(entry_ts AS DATE) ORDER BY entry_ts, trade_id) AS k FROM trades),
 d AS (SELECT strategy_id, round(avg(c), 1) AS a, max(c) AS m FROM (SELECT strategy_id, CAST(entry_ts AS DATE), count(*) AS c FROM trades GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT strategy_id, avg(pnl) / stddev_samp(pnl) * sqrt(count(*)) AS b FROM trades GROUP BY 1),
 c AS (SELECT strategy_id, q.c AS cap, round(avg(pnl) / stddev_samp(pnl) * sqrt(count(*)), 4) AS sh FROM k, range(1, 11) q(c) WHERE k <= q.c GROUP BY 1, 2 HAVING count(*) >= 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY sh DESC, cap) AS r FROM c)
 SELECT strategy_id, round(b, 4) + 0.0 AS baseline_sharpe, CAST(CASE WHEN sh > b THEN cap END AS INTEGER) AS best_daily_cap, sh + 0.0 AS best_sharpe, round(sh - b, 4) + 0.0 AS sharpe_improvement, a AS avg_trades_per_day, m AS max_trades_per_day
-FROM b JOIN d USING (strategy_id) LEFT JOIN (SELECT * FROM r WHERE r = 1) x USING (strategy_id)""")
+FROM b JOIN d USING (strategy_id) LEFT JOIN (SELECT * FROM r WHERE r = 1) x USING (strategy_id)"""
+
+
+@query("best_daily_cap", _DAILY_CAP)
 def best_daily_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = ev.best_daily_cap(events_ledger(spark, sf_dir), BY, "trade_id")
     return b.select("strategy_id", "best_daily_cap", "max_trades_per_day", *[r(c, 4).alias(c) for c in ("baseline_sharpe", "best_sharpe", "sharpe_improvement", "avg_trades_per_day")])
 
 
+@query("tightened_caps", f"""SELECT strategy_id, CAST(CASE WHEN sharpe_improvement > 0.1 AND best_daily_cap IS NOT NULL THEN least(best_daily_cap + 3, 10) END AS INTEGER) AS trades_hi,
+  CAST(CASE WHEN sharpe_improvement > 0.1 AND best_daily_cap IS NOT NULL THEN least(best_daily_cap + 2, 6) END AS INTEGER) AS losses_hi FROM ({_DAILY_CAP})""")
+def tightened_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper search bounds of the daily limits, where a cap raises the Sharpe ratio."""
+    cap, gain = F.col("best_daily_cap"), F.col("sharpe_improvement")
+    return best_daily_cap(spark, sf_dir).select(
+        "strategy_id", F.when(cap.isNotNull(), sw.tighten_cap(gain, cap)).cast("int").alias("trades_hi"),
+        F.when(cap.isNotNull(), sw.tighten_cap(gain, cap, "losses")).cast("int").alias("losses_hi"))
+
+
 @query("bar_profile", f"""WITH {BARS_1H}
 SELECT symbol, count(*) AS bar_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, round(min(close), 5) AS price_min, round(max(close), 5) AS price_max,
   round(avg(close), 5) AS price_mean, round(stddev_samp(close), 4) AS price_std, round(avg(volume), 5) AS avg_volume,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlens.operators import indicators as ind
 from barlens.operators import statistics as st
+from barlens.operators.blocks import compute
 
 
 def greedy(prices, width):
@@ -74,3 +75,35 @@ def test_pairs_of_symbols_by_tiles(spark):
         x, y = (both[c] <= wide[c].quantile(0.1) for c in (a, b))
         assert p == (pytest.approx((x & y).sum() / x.sum()) if x.any() else None)
     assert st.correlation_matrix(df.where("false"), "ret").count() == 0
+
+
+def test_swings_last_until_the_next_one_over_block_borders(spark):
+    """Against a loop; blocks of a few rows, quiet stretches longer than a block, ties and a missing value."""
+    rng = np.random.default_rng(3)
+    n, k = 160, 3
+    low = np.round(100 + rng.normal(0, 1, n).cumsum(), 1)
+    low[60:110] = 90.0  # a flat stretch has no strict swing
+    high = low + 1.0
+    rows = [("A", "1h", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), float(low[i]), float(high[i])) for i in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, low double, high double")
+    got = ind.last_swings(bars, [k], block_rows=8, slice_bars=4).orderBy("ts").collect()
+    lo = hi = None
+    for i in range(n):
+        m = i - k
+        if m >= k:
+            near = [j for j in range(m - k, m + k + 1) if j != m]
+            if all(low[m] < low[j] for j in near):
+                lo = low[m]
+            if all(high[m] > high[j] for j in near):
+                hi = high[m]
+        assert (got[i].swl3, got[i].swh3) == (lo, hi), i
+    assert ind.last_swings(bars.limit(0), [k]).count() == 0
+
+
+def test_gaps_are_filled_by_the_side_they_left(spark):
+    def bar(i, o, h, lo, c):
+        return ("A", "1h", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), float(o), float(h), float(lo), float(c), 1.0)
+    rows = [bar(0, 10, 10, 10, 10), bar(1, 12, 13, 11, 12), bar(2, 12, 13, 10, 12), bar(3, 11, 12, 11, 11), bar(4, 9, 9.5, 8, 9), bar(5, 9, 9, 9, 9)]
+    bars = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double")
+    got = [(r.gap_size, r.fill_lag) for r in compute(bars, [ind.gap_fill(3)]).orderBy("ts").collect()]
+    assert got == [(None, None), (2.0, 1), (0.0, None), (-1.0, 0), (-2.0, None), (0.0, None)]

@@ -348,9 +348,19 @@ def test_every_strategy_is_answered_about_its_dependencies(spark):
 
 
 def test_missing_times_and_counts_are_stale_and_retried(spark):
-    t = spark.createDataFrame([(1, "running", None, 0), (2, "failed", None, None), (3, "failed", None, 3), (4, "live", None, 0)], "id int, status string, updated_at timestamp, retry_count int")
-    got = {r.id: r.new for r in rg.transitions(t, rg.stale_rules("2024-01-01 00:00:00"), key="id").collect()}
-    assert got == {1: "failed", 2: "pending"}
+    t = spark.createDataFrame(
+        [(1, "running", None, 0, "a"), (2, "failed", None, None, None), (3, "failed", None, 3, "b"), (4, "live", None, 0, None),
+         (5, "backtesting", None, 1, None), (6, "backtesting", None, 1, "c"), (7, "failed", None, 2, "d")],
+        "id int, status string, updated_at timestamp, retry_count int, job_id string")
+    got = {r.id: (r.new, r.retry_count, r.job_id) for r in rg.stale_jobs(t, "2024-01-01 00:00:00", key="id").collect()}
+    assert got == {1: ("failed", 0, None), 2: ("pending", 1, None), 6: ("failed", 1, None), 7: ("pending", 3, None)}
+
+
+def test_series_below_the_least_length_are_left_out_of_a_sweep(spark):
+    bars = spark.range(300).selectExpr("CASE WHEN id < 200 THEN 'A' ELSE 'B' END AS symbol", "'1h' AS timeframe")
+    stats = spark.createDataFrame([("A", "1h", 1.0), ("B", "1h", 2.0), ("C", "1h", 3.0)], "symbol string, timeframe string, pf double")
+    assert [r.symbol for r in sw.long_enough(stats, bars).collect()] == ["A"]
+    assert sw.long_enough(stats, bars.limit(0)).count() == 0
 
 
 def test_a_cluster_must_name_its_scratch_folder():
