@@ -24,19 +24,35 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_candles", f"WITH {BARS_1H} SELECT symbol, {TS_SQL}, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars WHERE ts + INTERVAL 1 HOUR <= {_CLOSED}")
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = _stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", (F.col("value") + 100.0).alias("price"), F.lit(1.0).alias("size"))
-    bars = sm.drain(sm.candles(ticks, width="1h", delay="1 hour"), "candles")
+    ticks = _stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", (F.col("value") + 100.0).alias("price"), F.lit(1.0).alias("size"), "event_id")
+    bars = sm.drain(sm.candles(ticks, width="1h", delay="1 hour", tie="event_id"), "candles")
     return bars.select("symbol", ts_text().alias("ts"), *[r(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
-@query("stream_ema", f"""WITH e AS (SELECT event_type AS symbol, '' AS timeframe, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS rn FROM events)
-SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round({ema_sql('value', 50)}, 5) AS ema FROM e""")
+# a slice of six hours is closed, and its rows come out in order, when the watermark has passed its end
+@query("stream_ema", f"""WITH e AS (SELECT event_type AS symbol, '' AS timeframe, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS rn FROM events),
+a AS (SELECT symbol, ts, {ema_sql('value', 50)} AS ema FROM e)
+SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(ema, 5) AS ema FROM a WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= {_CLOSED}""")
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", "value")
-    out = sm.drain(sm.stream_ema(values, n=50), "ema")
+    out = sm.drain(sm.stream_ema(values, n=50, delay="1 hour", slice_seconds=21600), "ema")
     return out.where("NOT late").select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), r("ema", 5).alias("ema"))
 
 
+@query("stream_late_ticks", f"""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events WHERE event_id % 10 <> 0),
+l AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, count(*) AS late FROM events, m WHERE event_id % 10 = 0 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2)
+SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, late, CAST(sum(late) OVER (PARTITION BY symbol) AS BIGINT) AS late_so_far FROM l""")
+def stream_late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the events arrives after the others: what the closed candles have missed, by window."""
+    folder = os.path.join(scratch_dir(spark), f"late-{uuid.uuid4().hex}")
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp"), "event_id")
+    for arrival in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        events.where(arrival).write.mode("append").parquet(f"{folder}/ticks")
+        late = sm.drain(sm.late_ticks(spark.readStream.schema(events.schema).parquet(f"{folder}/ticks"), width="1h", delay="1 hour"),
+                        "late", folder=f"{folder}/late")
+    return late.select("symbol", ts_text().alias("ts"), "late", "late_so_far")
+
+
 @query("stream_budget", f"""WITH d AS (SELECT date_trunc('day', ts) AS day, sum(value / 100) AS spent FROM events GROUP BY 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, round(spent, 5) AS spent, round(greatest(0, 160.0 - spent), 5) AS remaining, spent >= 160 AS over_cap FROM d WHERE day + INTERVAL 1 DAY <= {_CLOSED}""")
 def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

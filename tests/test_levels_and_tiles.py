@@ -84,7 +84,7 @@ def test_swings_last_until_the_next_one_over_block_borders(spark):
     low = np.round(100 + rng.normal(0, 1, n).cumsum(), 1)
     low[60:110] = 90.0  # a flat stretch has no strict swing
     high = low + 1.0
-    rows = [("A", "1h", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), float(low[i]), float(high[i])) for i in range(n)]
+    rows = [("A", "1h", (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), float(low[i]), float(high[i])) for i in range(n)]
     bars = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, low double, high double")
     got = ind.last_swings(bars, [k], block_rows=8, slice_bars=4).orderBy("ts").collect()
     lo = hi = None
@@ -102,7 +102,7 @@ def test_swings_last_until_the_next_one_over_block_borders(spark):
 
 def test_gaps_are_filled_by_the_side_they_left(spark):
     def bar(i, o, h, lo, c):
-        return ("A", "1h", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), float(o), float(h), float(lo), float(c), 1.0)
+        return ("A", "1h", (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), float(o), float(h), float(lo), float(c), 1.0)
     rows = [bar(0, 10, 10, 10, 10), bar(1, 12, 13, 11, 12), bar(2, 12, 13, 10, 12), bar(3, 11, 12, 11, 11), bar(4, 9, 9.5, 8, 9), bar(5, 9, 9, 9, 9)]
     bars = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double")
     got = [(r.gap_size, r.fill_lag) for r in compute(bars, [ind.gap_fill(3)]).orderBy("ts").collect()]
