@@ -19,7 +19,8 @@ class Condition:
     rule: str  # SQL over the columns that ``inputs`` makes
 
 
-# rules are read as SQL expressions; c1, o1 … are earlier bars
+# rules are read as SQL expressions; c1, o1 … are earlier bars. RSI rises or falls only with the close: both averages shrink
+# alike on an unchanged close, and the rounding of their quotient is no direction
 CONDITIONS: tuple[Condition, ...] = tuple(
     Condition(name, category, rule)
     for category, rules in {
@@ -88,8 +89,8 @@ CONDITIONS: tuple[Condition, ...] = tuple(
         "momentum": {
             "rsi_oversold": "rsi14 < 30",
             "rsi_overbought": "rsi14 > 70",
-            "rsi_mid_bull": "rsi14 >= 45 AND rsi14 <= 55 AND rsi14 > rsi14_1",
-            "rsi_mid_bear": "rsi14 >= 45 AND rsi14 <= 55 AND rsi14 < rsi14_1",
+            "rsi_mid_bull": "rsi14 >= 45 AND rsi14 <= 55 AND rsi14 > rsi14_1 AND close > c1",
+            "rsi_mid_bear": "rsi14 >= 45 AND rsi14 <= 55 AND rsi14 < rsi14_1 AND close < c1",
             "rsi_above_50": "rsi14 > 50",
             "rsi_below_50": "rsi14 < 50",
             "rsi_cross_50_up": "rsi14 > 50 AND rsi14_1 <= 50",

@@ -123,9 +123,12 @@ def rsi(out: str, period: int) -> Step:
 
 def bollinger(n: int = 20, k: float = 2.0, mid: str = "bb_mid", upper: str = "bb_upper",
               lower: str = "bb_lower", width: str = "bb_width") -> Step:
+    # the sum of equal prices is rounded, and their average would miss the price itself
+    high, low, average = (rolling_sql(f"{f}(close)", "close", n) for f in ("max", "min", "avg"))
+
     def fn(df: DataFrame) -> DataFrame:
         kept = df.columns
-        df = df.selectExpr("*", f"{rolling_sql('avg(close)', 'close', n)} AS {mid}",
+        df = df.selectExpr("*", f"CASE WHEN {high} = {low} THEN close ELSE {average} END AS {mid}",
                            f"{rolling_sql('stddev_samp(close)', 'close', n)} AS _sd")
         df = df.selectExpr(*kept, mid, f"{mid} + {float(k)!r}D * _sd AS {upper}", f"{mid} - {float(k)!r}D * _sd AS {lower}")
         return df.selectExpr("*", f"{upper} - {lower} AS {width}")

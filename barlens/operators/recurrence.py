@@ -76,7 +76,8 @@ def ewm(averages: Sequence[tuple[str, str, float]]) -> Step:
         df = df.selectExpr("*", *[f"shiftright(_k, {b}) AS _c{b}" for b in bits])
         before, local, carry, final = [], [], [], []
         for out, x, a in scans:
-            b, d = bits_of[a], _decay(a)
+            # powers of one base cancel in every quotient; exp() of a rounded product would be off by its size in roundings
+            b, q = bits_of[a], f"{1 - a!r}D"
             cut = chunks.index(f"_c{b}") + 1
             chunk = f"PARTITION BY {', '.join([keys, *chunks[:cut]])} ORDER BY {', '.join([*chunks[cut:], 'ts'])}"
             end = f"(_k & {(1 << b) - 1}) = {(1 << b) - 1}"
@@ -84,12 +85,12 @@ def ewm(averages: Sequence[tuple[str, str, float]]) -> Step:
             before.append(f"first(_seen_{x} - CASE WHEN {x} IS NULL THEN 0 ELSE 1 END) OVER ({chunk} {up_to_now}) AS _b_{out}")
             pos = f"(_seen_{x} - _b_{out} - 1)"
             weight = f"CASE WHEN _seen_{x} = 1 THEN 1D ELSE {a!r}D END"
-            term = f"coalesce({x} * {weight}, 0D) * exp({pos} * {d!r}D)"
-            local.append(f"sum({term}) OVER ({chunk} {up_to_now}) * exp(-{pos} * {d!r}D) AS _l_{out}")
+            term = f"coalesce({x} * {weight}, 0D) * power({q}, -{pos})"
+            local.append(f"sum({term}) OVER ({chunk} {up_to_now}) * power({q}, {pos}) AS _l_{out}")
             carry.append(f"last(CASE WHEN {end} AND _seen_{x} > _b_{out} THEN _l_{out} END, true) "
                          f"OVER ({whole} {up_to_last}) AS _e_{out}")
             final.append(f"CASE WHEN _seen_{x} > 0 THEN _l_{out} + "
-                         f"coalesce(_e_{out} * exp(-({pos} + 1) * {d!r}D), 0D) END AS {out}")
+                         f"coalesce(_e_{out} * power({q}, {pos} + 1), 0D) END AS {out}")
         kept = df.columns[: -(1 + len(bits) + len(xs))]
         final += [f"last({x}, true) OVER ({FRAME_SQL} {up_to_now}) AS {out}" for out, x, _ in copies]
         return df.selectExpr("*", *before).selectExpr("*", *local).selectExpr("*", *carry).selectExpr(*kept, *final)
