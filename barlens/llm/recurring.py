@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.arrays import BYTE_CODES, U64, anchors, chunks, grams, word_bounds, word_hashes
+from barlens.llm.arrays import BYTE_CODES, U64, anchors, chunks, grams, mix, word_bounds, word_hashes
 from barlens.llm.frames import map_batches, release, stored, text_of
 
 #: A gram in more places than this is routed window by window.
@@ -30,8 +30,8 @@ HOT = 20_000
 SLICE = 50_000
 #: Windows of a run that takes the whole text.
 ALL = 1 << 30
-#: Distinct snippets of one task's share, about.
-SHARE = 10_000
+#: Distinct snippets that a task looks at together, about, and how many such shares it has.
+SHARE, SHARES = 10_000, 4
 
 
 @dataclass(frozen=True)
@@ -102,6 +102,20 @@ def gram_places(docs: DataFrame, units: Units) -> DataFrame:
     return map_batches(docs, run, "gram long, doc long, fp long")
 
 
+def _in_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """One hash of a gram and the text it is in; two that meet cost a snippet that shares nothing."""
+    return mix(hashes + (text.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+
+
+def _among(mine: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Which of ``mine`` are among the grams that the texts' lists hold."""
+    sizes = np.diff(np.asarray(lists.offsets))
+    known = np.sort(_in_text(np.asarray(lists.flatten()).view(U64), np.repeat(np.arange(len(sizes)), sizes)))
+    if not len(known):
+        return np.zeros(len(mine), bool)
+    return known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+
+
 SNIPPETS = "route long, doc long, fp long, start int, anchor int, snippet binary"
 
 
@@ -118,16 +132,9 @@ def snippets(docs: DataFrame, hits: DataFrame, units: Units) -> DataFrame:
             new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1))))
             head, tail, place = start[new], start[np.concatenate((new[1:], [len(start)])) - 1], anchor[new]
             text = np.searchsorted(first, head, "right") - 1
-            warm = np.zeros(len(place), np.int8)
-            cut = np.searchsorted(text, np.arange(hi - lo + 1))
-            for k in range(hi - lo):
-                known, a, b = np.sort(np.asarray(batch.column(3)[lo + k].values).view(U64)), cut[k], cut[k + 1]
-                if a < b and len(known):
-                    at = np.minimum(np.searchsorted(known, gram[place[a:b]]), len(known) - 1)
-                    warm[a:b] = known[at] == gram[place[a:b]]
-                    glowing = np.asarray(batch.column(4)[lo + k].values).view(U64)
-                    if len(glowing):
-                        warm[a:b] *= np.where(np.isin(gram[place[a:b]], glowing), 2, 1).astype(np.int8)
+            mine = _in_text(gram[place], text)
+            warm = _among(mine, batch.column(3).slice(lo, hi - lo)).astype(np.int8)
+            warm *= 1 + _among(mine, batch.column(4).slice(lo, hi - lo)).astype(np.int8)
             one = np.flatnonzero(warm == 1)
             each = np.flatnonzero(warm == 2)
             many = tail[each] - head[each] + 1  # hot: a snippet for each window
@@ -207,7 +214,8 @@ def removed_windows(docs: DataFrame, units: Units, find: Callable, label: str, b
     """
     spark = docs.sparkSession
     known = stored(recurring_grams(docs, units), f"{label}-grams")
-    hits = gram_places(docs, units).join(known, "gram").groupBy("doc", "fp").agg(
+    # dealt by text first: aggregated where they are found, nearly every row would be a list of its own
+    hits = gram_places(docs, units).join(known, "gram").repartition("doc", "fp").groupBy("doc", "fp").agg(
         F.collect_list("gram").alias("known"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     hits = stored(hits, f"{label}-hits")
     release(known)
@@ -215,16 +223,16 @@ def removed_windows(docs: DataFrame, units: Units, find: Callable, label: str, b
     places = cut.withColumn("print", F.xxhash64("snippet", "anchor"))
     distinct = places.groupBy("route", "snippet", "anchor").agg(F.first("print").alias("print"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     total = hits.agg(F.sum(F.size("known")).alias("n")).first()["n"] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARE + 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (SHARES * SHARE) + 1)
     dealt = distinct.withColumn("lead", F.substring(F.col("snippet"), F.col("anchor") + 1, F.lit(units.gram)) if by_range else F.col("route"))
     if by_range:  # splitters sampled from the suffixes' leading bytes; equal leads are never parted
         dealt = dealt.repartitionByRange(tasks, "lead").sortWithinPartitions("lead", "route")
     else:
         dealt = dealt.repartition(tasks, "route").sortWithinPartitions("route")
     owned = dealt.select("route", "print", "snippet", "anchor", "lo", "hi").mapInArrow(in_shares(find, SHARE), "route long, print long, first int, count int, owner long")
-    owned = stored(owned.groupBy("route", "print").agg(F.collect_list(F.struct("first", "count", "owner")).alias("runs")), f"{label}-owned")
-    found = places.select("route", "print", "doc", "fp", "start").join(owned, ["route", "print"]) \
-        .select("doc", "fp", "start", F.explode("runs").alias("r")).where("r.owner < doc").select("doc", "fp", (F.col("start") + F.col("r.first")).alias("start"), F.col("r.count").alias("count"))
+    owned = stored(owned, f"{label}-owned")
+    found = places.select("route", "print", "doc", "fp", "start").join(owned, ["route", "print"]).where("owner < doc") \
+        .select("doc", "fp", (F.col("start") + F.col("first")).alias("start"), "count")
     same = docs.select("doc", "fp", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     copied = same.groupBy("sha").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = same.join(copied, "sha").where("doc > first").select("doc", "fp", F.lit(0).alias("start"), F.lit(ALL).alias("count"))
